@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .licenses import op10_license_scans
 from .packing import op9_best_fit_packing
+from .quality_rules import op2_quality_rules
 from .urls import OP5_SQL, op5_url_filters
 from .warc import OP7_SQL, op7_warc_revisits
 
 LLM_QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op7_warc_revisits": op7_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
