@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from .byte_cnn import op4_quality_classifier
 from .licenses import op10_license_scans
 from .packing import op9_best_fit_packing
 from .quality_rules import op2_quality_rules
 from .simhash import op3_simhash_groups
+from .toxicity import op8_toxicity
 from .urls import OP5_SQL, op5_url_filters
 from .warc import OP7_SQL, op7_warc_revisits
 
 LLM_QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
 }
 LLM_SQL = {
     "op3_simhash_groups": op3_simhash_groups,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
 }
