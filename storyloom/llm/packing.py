@@ -9,6 +9,7 @@ gets; the pieces find theirs by their rank among pieces of their length.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,18 +22,18 @@ from .common import written
 
 CAPACITY, END_ID = 1024, 2
 #: Distinct words whose ids a Python worker remembers before it starts anew.
-WORDS_KEPT, LONGEST_KEPT = 400_000, 40
+WORDS_KEPT, LONGEST_KEPT = 1_000_000, 40
+#: White space but for the space and the line feed.
+OTHER_SPACE = re.compile("[^\\S \n]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _memory: dict = {}
 
 
 def _word_ids(path: str):
-    """A function from a list of texts to their ids as little-endian 32-bit bytes.
+    """A function from a text to its ids as little-endian 32-bit bytes.
 
-    Byte-level BPE splits a text before a space that stands between two other visible characters, so a text cut at such
-    spaces has the ids of its parts.  Parts are remembered; a text with two white-space characters side by side at a cut
-    is encoded whole.
-    """
+    Byte-level BPE splits a text before a space that stands between two visible characters, so a text cut at such spaces
+    has the ids of its parts, each with the space before it.  The ids of short parts are remembered."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,33 +45,27 @@ def _word_ids(path: str):
         _memory[path] = (tokenizer, {})
     tokenizer, known = _memory[path]
 
-    def encode(texts: list[str]) -> None:
-        for text, out in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            known[text] = np.array(out.ids, "<u4").tobytes()
-
     def ids(text: str) -> bytes:
         parts = text.split(" ")
-        # Whitespace of any kind beside a cut changes how the text is split; then the neighbours stay together.
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
+        # White space beside a cut changes how the text is split; then the neighbours stay together.
+        if "  " in text or "\n " in text or " \n" in text or parts[0] == "" or parts[-1] == "" or OTHER_SPACE.search(text):
             joined, parts = parts, []
             for p in joined:
                 if parts and (not p or p[0].isspace() or not parts[-1] or parts[-1][-1].isspace()):
                     parts[-1] += " " + p
                 else:
                     parts.append(p)
-        first = parts[0]
-        parts = [" " + p for p in parts]
-        parts[0] = first
+        first, rest = parts[0], parts[1:]
         if len(known) > WORDS_KEPT:
             known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
-            encode(new)
-        out = b"".join(map(known.__getitem__, parts))
+        new = list(set(rest).difference(known))
+        out = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([first, *(" " + p for p in new)], add_special_tokens=False)]
+        known.update(zip(new, out[1:]))
+        data = out[0] + b"".join(map(known.__getitem__, rest))
         for p in new:
             if len(p) > LONGEST_KEPT:
                 del known[p]
-        return out
+        return data
 
     return ids
 
