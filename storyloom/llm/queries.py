@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_cnn import op4_quality_classifier
+from .decontamination import op1_decontamination
 from .licenses import op10_license_scans
 from .packing import op9_best_fit_packing
 from .quality_rules import op2_quality_rules
@@ -12,6 +13,7 @@ from .urls import OP5_SQL, op5_url_filters
 from .warc import OP7_SQL, op7_warc_revisits
 
 LLM_QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_groups": op3_simhash_groups,
     "op4_quality_classifier": op4_quality_classifier,
