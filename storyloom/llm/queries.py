@@ -6,6 +6,7 @@ from .byte_cnn import op4_quality_classifier
 from .decontamination import op1_decontamination
 from .licenses import op10_license_scans
 from .packing import op9_best_fit_packing
+from .pitman_yor import op6_language_model
 from .quality_rules import op2_quality_rules
 from .simhash import op3_simhash_groups
 from .toxicity import op8_toxicity
@@ -18,6 +19,7 @@ LLM_QUERIES = {
     "op3_simhash_groups": op3_simhash_groups,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": op5_url_filters,
+    "op6_language_model": op6_language_model,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
