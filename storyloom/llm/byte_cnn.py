@@ -142,6 +142,17 @@ def scores(docs: DataFrame, network: Network) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, network: Network, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``least`` or more."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([network.score(t) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> Network:
     """Fit on a bounded sample of the labelled rows that are not held out (crc32 of the id mod 5 is 0)."""
     return Network().fit(sample(docs, labels, "quality", learnable(5, 0), per_class, most_bytes))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .byte_cnn import op4_quality_classifier
 from .decontamination import op1_decontamination
 from .licenses import op10_license_scans
@@ -24,6 +26,7 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {
     "op3_simhash_groups": op3_simhash_groups,
@@ -31,3 +34,5 @@ LLM_SQL = {
     "op5_url_filters": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
