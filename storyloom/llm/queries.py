@@ -29,8 +29,6 @@ LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {
-    "op3_simhash_groups": op3_simhash_groups,
-    "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filters": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
 }
