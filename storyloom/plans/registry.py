@@ -1,6 +1,467 @@
-"""All queries of the library outside its training-data subpackage."""
+"""All queries of the library outside its training-data subpackage, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import NEVER_GROUPED, WINDOW_HOURS, clean_html, hours_between, language_of_url, story_id, title_tokens
+from ..operators import articles as A
+from ..operators import graph as G
+from ..operators import learning as L
+from ..operators import metrics as M
+from ..operators import scoring as S
+from ..operators import similarity as P
+from ..sources.tables import EVENT_TYPES, SPORTS, articles, pick, read
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+NOW = datetime(2024, 1, 5, tzinfo=timezone.utc)
+LATER = datetime(2024, 2, 1, tzinfo=timezone.utc)
+HEAD = 400
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+ART = f"""art AS (
+  SELECT doc_id, 'rss_' || substr(sha1(url), 1, 20) AS article_id, url, source, lang, text, substr(text, 1, 80) AS title,
+    TIMESTAMP '2024-01-01' + to_minutes(30 * doc_id) AS published_at, ({_list(EVENT_TYPES)})[1 + doc_id % 6] AS event_type,
+    ({_list(SPORTS)})[1 + doc_id % 4] AS sport
+  FROM (SELECT *, 'https://news.example/' || source || '/' || doc_id AS url FROM documents))"""
+
+
+def _tokens(of: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({of}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: length(t) >= 3)))"
+
+
+RANK = "CASE {} WHEN 'push' THEN 4 WHEN 'high_feed' THEN 3 WHEN 'feed' THEN 2 WHEN 'low_feed' THEN 1 ELSE 0 END"
+LADDER = "CASE WHEN toxic = 1 THEN 'hidden' WHEN quality IS NULL THEN 'low_feed' WHEN quality = 0 THEN 'hidden' WHEN lang = 'en' THEN 'high_feed' ELSE 'feed' END"
+#: Articles with their tokens, rare tokens and candidate pairs of one language within 400 hours.
+PAIRS = f"""{ART}, tk AS (SELECT article_id, source, lang, event_type, sport, published_at, title, {_tokens(f'substr(text, 1, {HEAD})')} AS tokens FROM art),
+ex AS (SELECT article_id, lang, published_at, unnest(tokens) AS token FROM tk),
+rare AS (SELECT token FROM ex GROUP BY token HAVING count(*) <= 6),
+cand AS (
+  SELECT a.article_id AS a_id, b.article_id AS b_id, count(*) AS n_rare
+  FROM ex a JOIN rare USING (token) JOIN ex b ON a.token = b.token AND a.lang = b.lang AND a.article_id < b.article_id
+  WHERE abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 400 * 3600000000 GROUP BY 1, 2),
+pr AS (
+  SELECT a_id, b_id, n_rare, len(list_intersect(a.tokens, b.tokens)) AS sh, len(a.tokens) AS na, len(b.tokens) AS nb,
+    CASE WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) END AS j,
+    a.source AS s1, b.source AS s2, a.event_type AS e1, b.event_type AS e2, a.sport AS p1, b.sport AS p2, a.title AS t1, b.title AS t2,
+    abs(epoch_us(a.published_at) - epoch_us(b.published_at)) / 3600000000.0 AS hours
+  FROM cand JOIN tk a ON a.article_id = a_id JOIN tk b ON b.article_id = b_id)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return articles(spark, sf_dir).join(labels, "doc_id", "left").withColumn("decision", S.label_decision(F.col("quality"), F.col("toxic"), F.col("lang")))
+
+
+def _us(c) -> F.Column:
+    return F.unix_micros(c)
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    art = articles(spark, sf_dir).withColumn("tokens", title_tokens(F.substring("text", 1, HEAD)))
+    return P.with_sides(P.candidate_pairs(art, widest_hours=400, block="lang"), art)
+
+
+@query(
+    "feed_ranked",
+    f"""WITH {ART}, d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY text) AS n_copies FROM art)
+SELECT article_id, source, lang, epoch_us(published_at) AS published_us, n_copies, {LADDER} AS decision
+FROM d LEFT JOIN labels USING (doc_id) WHERE rn = 1 AND published_at >= TIMESTAMP '2024-01-05' - INTERVAL 36 HOURS
+ORDER BY {RANK.format(LADDER)} DESC, published_at DESC, article_id LIMIT 50""",
+)
+def feed_ranked(spark, sf_dir):
+    """Exact copies folded, stale articles dropped, labels turned to decisions, the fifty first in feed order."""
+    first = A.fresh(A.dedup(_decided(spark, sf_dir), "text", "doc_id"), NOW)
+    return S.ranked(first, 50).select("article_id", "source", "lang", _us("published_at").alias("published_us"), "n_copies", "decision")
+
+
+@query("dedup_exact", "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text")
+def dedup_exact(spark, sf_dir):
+    return A.dedup(read(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "n_copies")
+
+
+@query("freshness_window", f"WITH {ART} SELECT article_id FROM art WHERE published_at >= TIMESTAMP '2024-01-05' - INTERVAL 36 HOURS")
+def freshness_window(spark, sf_dir):
+    return A.fresh(articles(spark, sf_dir), NOW).select("article_id")
+
+
+@query(
+    "timestamp_clamp",
+    f"""WITH {ART}, t AS (SELECT article_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE published_at END AS p FROM art)
+SELECT article_id, epoch_us(CASE WHEN p IS NULL OR p > TIMESTAMP '2024-01-05 00:15:00' THEN TIMESTAMP '2024-01-05' ELSE p END) AS used_us,
+  CASE WHEN p IS NULL THEN 'ingest_fallback' WHEN p > TIMESTAMP '2024-01-05 00:15:00' THEN 'clamped_future' END AS note FROM t""",
+)
+def timestamp_clamp(spark, sf_dir):
+    art = articles(spark, sf_dir).withColumn("published_at", F.when(F.col("doc_id") % 7 != 0, F.col("published_at")))
+    return A.normalised_time(art, NOW).select("article_id", _us("at_used").alias("used_us"), F.col("at_note").alias("note"))
+
+
+@query(
+    "lang_detect",
+    "SELECT page_id, coalesce(nullif(regexp_extract(coalesce(url, ''), '://[^/]+/(en|fr|de|es|he|it)(?:/|$)', 1), ''), 'en') AS lang FROM pages",
+)
+def lang_detect(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", language_of_url(F.col("url")).alias("lang"))
+
+
+@query(
+    "source_filter",
+    """SELECT page_id, url FROM pages WHERE NOT contains(url, 'spam') AND NOT contains(url, 'casino') AND (contains(url, 'example.net') OR contains(url, 'example.org'))
+AND coalesce(nullif(regexp_extract(url, '://[^/]+/(en|fr|de|es|he|it)(?:/|$)', 1), ''), 'en') IN ('en', 'fr')""",
+)
+def source_filter(spark, sf_dir):
+    return A.source_filter(read(spark, sf_dir, "pages"), ("spam", "casino"), ("example.net", "example.org"), ("en", "fr")).select("page_id", "url")
+
+
+@query("token_df", f"WITH {ART}, e AS (SELECT unnest({_tokens('title')}) AS token FROM art) SELECT token, count(*) AS df FROM e GROUP BY token")
+def token_df(spark, sf_dir):
+    return P.document_frequency(articles(spark, sf_dir).select(title_tokens(F.col("title")).alias("tokens")))
+
+
+@query("jaccard_pairs", f"WITH {PAIRS} SELECT a_id, b_id, n_rare, round(j, 4) AS jaccard FROM pr WHERE j >= 0.35")
+def jaccard_pairs(spark, sf_dir):
+    from ..functions.columns import jaccard
+
+    j = jaccard(F.col("a.tokens"), F.col("b.tokens"))
+    return _paired(spark, sf_dir).filter(j >= 0.35).select("a_id", "b_id", "n_rare", F.round(j, 4).alias("jaccard"))
+
+
+_WINDOW = "CASE e1 " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WINDOW_HOURS.items()) + " ELSE 24 END"
+_NEVER = ", ".join(f"'{x}'" for x in NEVER_GROUPED)
+
+
+@query(
+    "pair_verdict_reasons",
+    f"""WITH {PAIRS}, v AS (
+  SELECT CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 'C' ELSE 'B' END AS tier,
+    CASE WHEN s1 = s2 THEN 'same_source' WHEN e1 IN ({_NEVER}) OR e2 IN ({_NEVER}) THEN 'not_clusterable' WHEN e1 <> e2 THEN 'event_differs'
+      WHEN contains(lower(t1), 'live') OR contains(lower(t2), 'live') THEN 'in_play' WHEN hours > {_WINDOW} THEN 'outside_window'
+      WHEN p1 <> 'unknown' AND p2 <> 'unknown' AND p1 <> p2 THEN 'sport_differs' WHEN j < 0.35 THEN 'too_little_in_common'
+      WHEN n_rare < CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 2 ELSE 1 END THEN 'too_few_rare_words' END AS reason FROM pr)
+SELECT tier, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM v GROUP BY 1, 2""",
+)
+def pair_verdict_reasons(spark, sf_dir):
+    return P.verdicts(_paired(spark, sf_dir)).groupBy("tier", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("republish_pairs", f"WITH {PAIRS} SELECT a_id, b_id FROM pr WHERE s1 = s2 AND e1 = e2 AND e1 <> 'news' AND hours <= 400 AND j >= 0.40 AND sh / greatest(least(na, nb), 1) >= 0.55 AND n_rare >= 2")
+def republish_pairs(spark, sf_dir):
+    return P.republished(_paired(spark, sf_dir), hours=400).select("a_id", "b_id")
+
+
+def _components(spark, sf_dir):
+    return G.components(jaccard_pairs(spark, sf_dir).select("a_id", "b_id"))
+
+
+COMP = f"""{PAIRS}, e AS (SELECT a_id AS a, b_id AS b FROM pr WHERE j >= 0.35 UNION SELECT b_id, a_id FROM pr WHERE j >= 0.35),
+reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+comp AS (SELECT a AS article_id, min(b) AS component FROM reach GROUP BY a)"""
+
+
+@query("story_components", f"WITH RECURSIVE {COMP} SELECT article_id, component FROM comp")
+def story_components(spark, sf_dir):
+    return _components(spark, sf_dir).select("article_id", "component")
+
+
+def _members(spark, sf_dir):
+    art = articles(spark, sf_dir).withColumn("certainty", pick(("confirmed", "probable", "weak"), F.col("doc_id")))
+    return art.join(_components(spark, sf_dir), "article_id")
+
+
+@query(
+    "cluster_representative",
+    f"""WITH RECURSIVE {COMP}, m AS (
+  SELECT component, article_id, published_at, (sport <> 'unknown')::INT + (event_type <> 'news')::INT AS facts, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS sure FROM comp JOIN art USING (article_id))
+SELECT component, first(article_id ORDER BY facts DESC, sure DESC, published_at DESC, article_id) AS representative,
+  first(article_id ORDER BY published_at, article_id) AS anchor, count(*) AS n_members FROM m GROUP BY component""",
+)
+def cluster_representative(spark, sf_dir):
+    return G.representative(_members(spark, sf_dir))
+
+
+@query(
+    "cluster_card",
+    f"""WITH RECURSIVE {COMP}, m AS (
+  SELECT component AS cluster_id, article_id, source, published_at, {LADDER} AS decision FROM comp JOIN art USING (article_id) LEFT JOIN labels USING (doc_id))
+SELECT cluster_id, first(article_id ORDER BY {RANK.format('decision')} DESC, published_at DESC, article_id) AS displayed,
+  first(decision ORDER BY {RANK.format('decision')} DESC, published_at DESC, article_id) AS decision, count(DISTINCT source) AS n_sources, epoch_us(max(published_at)) AS sort_us, count(*) AS n_visible
+FROM m WHERE decision <> 'hidden' GROUP BY cluster_id""",
+)
+def cluster_card(spark, sf_dir):
+    scored = _decided(spark, sf_dir).join(_components(spark, sf_dir), "article_id").withColumnRenamed("component", "cluster_id")
+    return S.cards(scored).select("cluster_id", "displayed", "decision", "n_sources", _us("sort_at").alias("sort_us"), "n_visible")
+
+
+@query(
+    "member_overlap",
+    f"""WITH RECURSIVE {COMP}, old AS (SELECT 'old_' || (doc_id % 40) AS cluster_id, article_id FROM art),
+s AS (SELECT component, cluster_id, count(*) AS n FROM comp JOIN old USING (article_id) GROUP BY 1, 2)
+SELECT component, first(cluster_id ORDER BY n DESC, cluster_id) AS cluster_id, max(n) AS n_shared FROM s GROUP BY component""",
+)
+def member_overlap(spark, sf_dir):
+    old = articles(spark, sf_dir).select(F.concat(F.lit("old_"), (F.col("doc_id") % 40).cast("string")).alias("cluster_id"), "article_id")
+    return G.kept_ids(_components(spark, sf_dir), old)
+
+
+@query("coherent_stories")
+def coherent_stories(spark, sf_dir):
+    """Greedy coherence has no SQL; tests hold it against a plain version."""
+    art = articles(spark, sf_dir).withColumn("event_type", F.lit("rumor"))
+    pairs = G.saved(jaccard_pairs(spark, sf_dir).select("a_id", "b_id"))
+    members = G.saved(art.join(G.components(pairs), "article_id").select("component", "article_id", "published_at", "source", "event_type", "sport"))
+    return G.coherent(members, pairs, span_hours=400)
+
+
+@query(
+    "learned_features",
+    """WITH e AS (SELECT user_id, 'f' || (CAST(json_extract(props, '$.k') AS INT) % 10) AS feature, CASE WHEN event_type = 'error' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
+  greatest(0, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000.0::DOUBLE) AS age FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
+g AS (SELECT user_id, feature, count(*) AS n_events, round_even(sum(w * pow(0.5::DOUBLE, age / 90)), 3) AS net FROM e GROUP BY 1, 2)
+SELECT user_id, feature, n_events, CASE WHEN net = 0 THEN 0.0::DOUBLE ELSE net END AS net, abs(net) >= 3 AS active FROM g""",
+)
+def learned_features(spark, sf_dir):
+    feature = F.concat(F.lit("f"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string"))
+    events = read(spark, sf_dir, "events").select("user_id", feature.alias("feature"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return L.learned_features(events, {"purchase": 1, "signup": 1, "error": -1}, LATER).select("user_id", "feature", "n_events", "net", "active")
+
+
+@query(
+    "authority_resolution",
+    """WITH a AS (SELECT user_id, event_type AS scope, event_id % 5 AS target, event_id % 5 - 2 AS level, event_id % 3 AS o, event_id AS pos FROM events)
+SELECT user_id, scope, target, level, ['explicit', 'learned', 'calibration'][o + 1] AS origin, pos
+FROM a QUALIFY row_number() OVER (PARTITION BY user_id, scope, target ORDER BY o, pos DESC) = 1""",
+)
+def authority_resolution(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    rows = e.select("user_id", F.col("event_type").alias("scope"), (F.col("event_id") % 5).alias("target"), (F.col("event_id") % 5 - 2).alias("level"), pick(("explicit", "learned", "calibration"), F.col("event_id")).alias("origin"), F.col("event_id").alias("pos"))
+    return L.effective(rows)
+
+
+@query(
+    "calibration_stats",
+    """WITH r AS (SELECT source, CAST((doc_id * doc_id) % 5 - 2 AS INT) AS rating FROM documents),
+g AS (SELECT source, count(*) AS n, avg(rating) AS mean, coalesce(stddev_samp(rating), 0) AS spread, CAST(greatest(-2, least(2, round_even(quantile_cont(rating, 0.5), 0))) AS INT) AS mid,
+  count(*) FILTER (rating = -2) AS nn, count(*) FILTER (rating >= 0) AS np, count(*) FILTER (rating < 0) AS nl, count(*) FILTER (rating > 0) AS nh FROM r GROUP BY source),
+s AS (SELECT *, CASE WHEN mid = -2 AND NOT (nn >= 2 AND np = 0) THEN -1 ELSE mid END AS strict FROM g)
+SELECT source, n, round_even(mean, 4) AS mean, round_even(spread, 4) AS spread, n >= 2 AS enough, spread >= 1.2 AS contradictory,
+  CAST(CASE WHEN nl >= 2 AND nh >= 2 AND strict > 0 THEN strict - 1 WHEN nl >= 2 AND nh >= 2 AND strict < 0 THEN strict + 1 ELSE strict END AS INT) AS level FROM s""",
+)
+def calibration_stats(spark, sf_dir):
+    return L.calibration_stats(read(spark, sf_dir, "documents").select("source", ((F.col("doc_id") * F.col("doc_id")) % 5 - 2).cast("int").alias("rating")), ["source"])
+
+
+@query(
+    "event_delta",
+    f"""WITH {ART}, r AS (SELECT lang, event_type, greatest(-2, least(2, doc_id % 6 - 3)) AS rating FROM art), s AS (SELECT lang, avg(rating) AS m FROM r GROUP BY lang),
+k AS (SELECT lang, event_type, avg(rating) AS m, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT k.lang, event_type, n, CAST(greatest(-2, least(2, round_even(round_even(k.m - s.m, 9), 0))) AS INT) AS delta FROM k JOIN s USING (lang) WHERE greatest(-2, least(2, round_even(round_even(k.m - s.m, 9), 0))) <> 0""",
+)
+def event_delta(spark, sf_dir):
+    rated = articles(spark, sf_dir).select("lang", "event_type", F.greatest(F.lit(-2), F.least(F.lit(2), F.col("doc_id") % 6 - 3)).alias("rating"))
+    return L.event_deltas(rated, "lang", "event_type")
+
+
+@query(
+    "participant_intersection",
+    """WITH own AS (SELECT DISTINCT l_orderkey AS article_id, l_partkey % 12 AS entity FROM lineitem WHERE l_linenumber <= 2),
+mem AS (SELECT DISTINCT p_partkey % 12 AS entity, p_partkey % 5 AS competition FROM part WHERE p_partkey <= 30),
+z AS (SELECT article_id, count(*) AS n FROM own GROUP BY 1 HAVING count(*) >= 2), c AS (SELECT article_id, competition FROM own JOIN mem USING (entity) JOIN z USING (article_id) GROUP BY article_id, competition, z.n HAVING count(*) = z.n)
+SELECT article_id, min(competition) AS competition FROM c GROUP BY article_id HAVING count(*) = 1""",
+)
+def participant_intersection(spark, sf_dir):
+    own = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("article_id"), (F.col("l_partkey") % 12).alias("entity"))
+    members = read(spark, sf_dir, "part").filter("p_partkey <= 30").select((F.col("p_partkey") % 12).alias("entity"), (F.col("p_partkey") % 5).alias("competition"))
+    return L.participants(own, members)
+
+
+@query(
+    "quality_breakdown",
+    """WITH d AS (SELECT lang, source, coalesce(CAST(quality AS VARCHAR), 'unknown') AS quality, coalesce(CAST(toxic AS VARCHAR), 'unknown') AS toxic FROM documents LEFT JOIN labels USING (doc_id)), u AS (
+  SELECT 'lang' AS dim, coalesce(lang, 'unknown') AS value FROM d UNION ALL SELECT 'source', coalesce(source, 'unknown') FROM d UNION ALL SELECT 'quality', quality FROM d UNION ALL SELECT 'toxic', toxic FROM d)
+SELECT dim, value, count(*) AS n FROM u GROUP BY 1, 2""",
+)
+def quality_breakdown(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return M.breakdowns(d, ["lang", "source", "quality", "toxic"])
+
+
+@query(
+    "run_metrics",
+    """SELECT user_id, count(*) AS n_runs, count(*) FILTER (event_type = 'error') AS n_failed, round_even(count(*) FILTER (event_type = 'error') / count(*), 4) AS failure_rate,
+  round(avg(value), 1) AS mean, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY user_id""",
+)
+def run_metrics(spark, sf_dir):
+    return M.run_metrics(read(spark, sf_dir, "events"), ["user_id"], F.col("event_type") != "error", "value")
+
+
+@query("latency_p95", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_p95(spark, sf_dir):
+    return M.run_metrics(read(spark, sf_dir, "events"), ["event_type"], F.lit(True), "value").select("event_type", F.col("n_runs").alias("n"), "p95")
+
+
+@query("latest_run_per_user", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_run_per_user(spark, sf_dir):
+    return M.latest(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query(
+    "failure_streak",
+    """WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events QUALIFY k <= 20)
+SELECT user_id, coalesce(min(k) FILTER (event_type NOT IN ('error', 'view')), max(k) + 1) - 1 AS streak FROM r GROUP BY user_id""",
+)
+def failure_streak(spark, sf_dir):
+    return M.failure_streak(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type").isin("error", "view"))
+
+
+@query(
+    "retention_plan",
+    f"""WITH {ART}, c AS (SELECT article_id, doc_id % 60 AS cluster_id, published_at >= TIMESTAMP '2024-02-01' - INTERVAL 14 DAYS AS f FROM art), live AS (SELECT DISTINCT cluster_id FROM c WHERE f), used AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT article_id, CASE WHEN f THEN 'fresh' WHEN live.cluster_id IS NOT NULL AND art.doc_id % 3 = 0 THEN 'live_cluster' WHEN used.doc_id IS NOT NULL THEN 'feedback' END AS retained_because
+FROM art JOIN c USING (article_id) LEFT JOIN live ON live.cluster_id = c.cluster_id LEFT JOIN used ON used.doc_id = art.doc_id""".replace("live AS (SELECT DISTINCT cluster_id FROM c WHERE f)", "live AS (SELECT DISTINCT cluster_id FROM c JOIN art USING (article_id) WHERE f AND doc_id % 3 = 0)"),
+)
+def retention_plan(spark, sf_dir):
+    art = articles(spark, sf_dir)
+    members = art.filter("doc_id % 3 = 0").select("article_id", (F.col("doc_id") % 60).alias("cluster_id"))
+    used = art.join(read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return A.retention(art, members, used, LATER, 14).select("article_id", "retained_because")
+
+
+@query(
+    "outbox_new_stories",
+    """WITH s AS (SELECT 's' || doc_id AS story_id, doc_id AS first_at, unnest(range(doc_id, doc_id + 6)) AS article_id FROM documents WHERE doc_id % 4 = 0), told AS (SELECT doc_id FROM labels WHERE toxic = 1),
+gone AS (SELECT DISTINCT story_id FROM s JOIN told ON article_id = doc_id), n AS (SELECT * FROM s WHERE story_id NOT IN (SELECT story_id FROM gone)),
+f AS (SELECT article_id, min({'a': first_at, 'b': story_id}).b AS winner FROM n GROUP BY article_id), lose AS (SELECT DISTINCT story_id FROM n JOIN f USING (article_id) WHERE winner <> story_id)
+SELECT DISTINCT story_id FROM n WHERE story_id NOT IN (SELECT story_id FROM lose)""",
+)
+def outbox_new_stories(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").filter("doc_id % 4 = 0")
+    stories = d.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("story_id"), F.col("doc_id").alias("first_at"), F.sequence(F.col("doc_id"), F.col("doc_id") + 5).alias("members"))
+    told = read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("article_id"))
+    return A.plan_stories(stories, told).select("story_id")
+
+
+@query(
+    "dismissed_antijoin",
+    "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT event_id FROM events WHERE event_type IN ('error', 'view') AND event_id % 7 <> 0)",
+)
+def dismissed_antijoin(spark, sf_dir):
+    feedback = read(spark, sf_dir, "events").select(F.col("event_id").alias("article_id"), F.col("event_type").alias("action"), (F.col("event_id") % 7 == 0).alias("retracted"))
+    art = read(spark, sf_dir, "documents").withColumn("article_id", F.col("doc_id"))
+    return A.without_dismissed(art, feedback, ("error", "view")).select("doc_id")
+
+
+_IMPORTANCE = ("very_high", "high", "medium", "low")
+_NEW = """CASE WHEN i = 0 AND p >= 80 THEN 'high_feed' WHEN i = 1 AND p >= 80 THEN 'feed' WHEN i = 2 AND p >= 70 THEN 'feed' WHEN i = 1 THEN 'feed' WHEN i = 2 THEN 'low_feed' WHEN i = 3 AND p >= 70 THEN 'low_feed' ELSE 'hidden' END"""
+
+
+def _both(spark, sf_dir):
+    d = _decided(spark, sf_dir)
+    return d.select("article_id", F.col("decision").alias("old"), S.importance_decision(pick(_IMPORTANCE, F.col("doc_id")), F.col("doc_id") * 7 % 100).alias("new"))
+
+
+_BOTH = f"{ART}, b AS (SELECT article_id, {LADDER} AS old, {_NEW} AS new FROM (SELECT *, doc_id % 4 AS i, doc_id * 7 % 100 AS p FROM art LEFT JOIN labels USING (doc_id)))"
+
+
+@query(
+    "shadow_report",
+    f"""WITH {_BOTH}, r AS (SELECT *, {RANK.format('old')} AS o, {RANK.format('new')} AS w FROM b)
+SELECT count(*) AS n, count(*) FILTER (o = w) AS n_same, round_even(count(*) FILTER (o = w) / count(*), 4) AS same_rate, count(*) FILTER (w > o) AS n_promoted, count(*) FILTER (w < o) AS n_demoted,
+  count(*) FILTER (old = 'high_feed') AS n_high_old, count(*) FILTER (new = 'high_feed') AS n_high_new FROM r""",
+)
+def shadow_report(spark, sf_dir):
+    return S.shadow_report(_both(spark, sf_dir))
+
+
+@query("before_after_diff", f"WITH {_BOTH} SELECT article_id, old AS before, CASE WHEN new <> 'hidden' THEN new END AS after, CASE WHEN new = 'hidden' THEN 'removed' ELSE 'changed' END AS change FROM b WHERE old IS DISTINCT FROM CASE WHEN new <> 'hidden' THEN new END")
+def before_after_diff(spark, sf_dir):
+    both = _both(spark, sf_dir)
+    return S.snapshot_diff(both.select("article_id", F.col("old").alias("decision")), both.filter("new <> 'hidden'").select("article_id", F.col("new").alias("decision")), "article_id", "decision")
+
+
+_AFF = """aff AS (SELECT c_custkey % 40 AS user_id, ['sport', 'competition', 'team'][c_custkey % 3 + 1] AS scope,
+  CASE c_custkey % 3 WHEN 0 THEN ['football', 'basketball', 'tennis', 'unknown'][c_custkey % 4 + 1] WHEN 1 THEN 'comp' || (c_custkey % 7) ELSE 'team' || (c_custkey % 11) END AS target, c_nationkey % 5 - 2 AS level
+  FROM customer QUALIFY row_number() OVER (PARTITION BY 1, 2, 3 ORDER BY c_custkey DESC) = 1)""".replace("PARTITION BY 1, 2, 3", "PARTITION BY user_id, scope, target")
+
+
+@query(
+    "affinity_decisions",
+    f"""WITH {ART}, {_AFF}, k AS (
+  SELECT article_id, 'sport' AS scope, sport AS target, 1 AS narrow FROM art UNION ALL SELECT article_id, 'competition', 'comp' || (doc_id % 7), 2 FROM art UNION ALL SELECT article_id, 'team', 'team' || (doc_id % 11), 3 FROM art),
+m AS (SELECT *, CASE WHEN level >= 0 THEN level + 1 ELSE 0 END AS points FROM aff JOIN k USING (scope, target)),
+g AS (SELECT user_id, article_id, max({{'p': points, 'b': -narrow}}) FILTER (level > -2) AS best, max(narrow) FILTER (level = -2) AS ex, max(narrow) FILTER (level > -2) AS al, bool_or(scope = 'team' AND level >= 1) AS fo FROM m GROUP BY 1, 2),
+s AS (SELECT user_id, article_id, CAST(CASE WHEN ex IS NOT NULL AND coalesce(al, 0) <= ex THEN 0 ELSE coalesce(best.p, 0) + CASE WHEN fo AND best.b > -3 THEN 1 ELSE 0 END END AS INT) AS score FROM g)
+SELECT *, CASE WHEN score <= 0 THEN 'hidden' WHEN score = 1 THEN 'low_feed' WHEN score = 2 THEN 'feed' ELSE 'high_feed' END AS decision FROM s""",
+)
+def affinity_decisions(spark, sf_dir):
+    c = F.col("c_custkey")
+    target = F.when(c % 3 == 0, pick(SPORTS, c)).when(c % 3 == 1, F.concat(F.lit("comp"), (c % 7).cast("string"))).otherwise(F.concat(F.lit("team"), (c % 11).cast("string")))
+    rows = read(spark, sf_dir, "customer").select((c % 40).alias("user_id"), pick(("sport", "competition", "team"), c).alias("scope"), target.alias("target"), (F.col("c_nationkey") % 5 - 2).alias("level"), F.lit("explicit").alias("origin"), c.alias("pos"))
+    art = articles(spark, sf_dir).select("article_id", "sport", F.concat(F.lit("comp"), (F.col("doc_id") % 7).cast("string")).alias("competition"), F.concat(F.lit("team"), (F.col("doc_id") % 11).cast("string")).alias("entity"))
+    return S.affinity_decision(art, L.effective(rows).select("user_id", "scope", "target", "level"))
+
+
+@query(
+    "catalog_search_topk",
+    """SELECT kind, id, name FROM (SELECT 0 AS o, 'region' AS kind, CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region UNION ALL SELECT 1, 'nation', n_nationkey, n_name FROM nation
+  UNION ALL SELECT 2, 'supplier', s_suppkey, s_name FROM supplier) WHERE contains(lower(name), 'a') ORDER BY o, name, id LIMIT 12""",
+)
+def catalog_search_topk(spark, sf_dir):
+    parts = [read(spark, sf_dir, t).select(F.lit(i).alias("o"), F.lit(t).alias("kind"), F.col(k).cast("long").alias("id"), F.col(n).alias("name")) for i, (t, k, n) in enumerate((("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name")))]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.lower("name").contains("a"))
+    return found.orderBy("o", "name", "id").limit(12).select("kind", "id", "name")
+
+
+@query(
+    "age_histogram",
+    f"WITH {ART}, h AS (SELECT (epoch_us(TIMESTAMP '2024-01-05') - epoch_us(published_at)) / 3600000000.0 AS h FROM art WHERE published_at <= TIMESTAMP '2024-01-05') SELECT CASE WHEN h <= 12 THEN '0-12' WHEN h <= 24 THEN '12-24' WHEN h <= 36 THEN '24-36' ELSE '>36' END AS age, count(*) AS n FROM h GROUP BY 1",
+)
+def age_histogram(spark, sf_dir):
+    return M.age_histogram(articles(spark, sf_dir).filter(F.col("published_at") <= F.lit(NOW)), hours_between(F.lit(NOW), F.col("published_at")))
+
+
+@query(
+    "clean_html_title",
+    r"""SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')), 1, 240) AS visible FROM pages""",
+)
+def clean_html_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", clean_html(F.col("html")).alias("visible"))
+
+
+@query(
+    "truth_pair_confusion",
+    f"""WITH {PAIRS}, said AS (SELECT a_id, b_id FROM pr WHERE j >= 0.35), truth AS (
+  SELECT a.article_id AS a_id, b.article_id AS b_id FROM art a JOIN art b ON a.text = b.text AND a.article_id < b.article_id)
+SELECT count(*) FILTER (s.a_id IS NOT NULL AND t.a_id IS NOT NULL) AS tp, count(*) FILTER (t.a_id IS NULL) AS fp, count(*) FILTER (s.a_id IS NULL) AS fn
+FROM said s FULL JOIN truth t ON s.a_id = t.a_id AND s.b_id = t.b_id""",
+)
+def truth_pair_confusion(spark, sf_dir):
+    art = articles(spark, sf_dir).select("article_id", F.sha1("text").alias("h"))
+    copies = art.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n BETWEEN 2 AND 50").select("h")
+    own = art.join(copies, "h")
+    truth = own.alias("a").join(own.alias("b"), F.expr("a.h = b.h AND a.article_id < b.article_id")).select(F.col("a.article_id").alias("a_id"), F.col("b.article_id").alias("b_id"))
+    return M.confusion(jaccard_pairs(spark, sf_dir), truth)
+
+
+@query("story_ids", "SELECT doc_id, 'rss_' || substr(sha1('https://news.example/' || source || '/' || doc_id), 1, 20) AS article_id FROM documents")
+def story_ids(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", story_id(F.concat(F.lit("https://news.example/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))).alias("article_id"))
