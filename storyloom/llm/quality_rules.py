@@ -216,3 +216,72 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every whole text of ``documents``."""
     return apply_rules(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same in SQL: one common table per start, step and estimate."""
+    zs, cs = ", ".join(Z), ", ".join(f"c{i}" for i in range(P))
+    ls = ", ".join(f"l{i}{j}" for i, j in PAIRS)
+    group = ", ".join(GROUP)
+    sums = ", ".join(["sum(n) AS m", *[f"CAST(sum(CAST(n AS HUGEINT) * z{i}) AS DOUBLE) AS s{i}" for i in range(P)], *[f"CAST(sum(CAST(n AS HUGEINT) * z{i} * z{j}) AS DOUBLE) AS q{i}{j}" for i, j in PAIRS]])
+
+    def estimate(name: str, rows: str, keys: str, grow: float) -> str:
+        centres = ", ".join(f"s{i} / CAST(m AS DOUBLE) AS c{i}" for i in range(P))
+        cov = ", ".join(f"(q{i}{j} / CAST(m AS DOUBLE) - c{i} * c{j}) * {grow}::DOUBLE + {float(FLOOR[i] ** 2) if i == j else 0.0}::DOUBLE AS v{i}{j}" for i, j in PAIRS)
+        chol = []
+        for j in range(P):
+            own = f"v{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+            chol.append(f"sqrt(greatest({own}, 1.0::DOUBLE)) AS l{j}{j}")
+            for i in range(j + 1, P):
+                rest = f"v{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+                chol.append(f"({rest}) / l{j}{j} AS l{i}{j}")
+        det = "1.0::DOUBLE" + "".join(f" * l{j}{j}" for j in range(P))
+        return (
+            f"{name}_m AS (SELECT {keys}, {sums} FROM {rows} GROUP BY {keys}), {name}_v AS (SELECT {keys}, m, {centres}, {cov} FROM {name}_m), "
+            f"{name}_l AS (SELECT {keys}, {cs}, {', '.join(chol)} FROM {name}_v), {name} AS (SELECT {keys}, {cs}, {ls}, {det} AS det FROM {name}_l)"
+        )
+
+    ys = []
+    for i in range(P):
+        y = f"z{i} - c{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i))
+        ys.append(f"({y}) / l{i}{i} AS y{i}")
+    distance = ", ".join(ys) + ", 0.0::DOUBLE" + "".join(f" + y{i} * y{i}" for i in range(P)) + " AS d"
+    parts = [("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_upper", "word_chars")]
+    vec = ", ".join(f"CAST(floor(sqrt({a} / CAST(greatest({b}, 1) AS DOUBLE)) * {UNIT} + 0.5::DOUBLE) AS BIGINT) AS z{i}" for i, (a, b) in enumerate(parts))
+    levels = " UNION ALL ".join(f"SELECT {k} AS level, {'coalesce(lang, {0})'.format(chr(39) * 2) if k < 2 else chr(39) * 2} AS g_lang, {'coalesce(source, {0})'.format(chr(39) * 2) if k < 1 else chr(39) * 2} AS g_source, {zs}, n FROM cells" for k in range(3))
+    dims = " UNION ALL ".join(f"SELECT {group}, {i} AS dim, z{i} AS z, n FROM rows_" for i in range(P))
+    first = ", ".join([*[f"CAST(max(mid) FILTER (dim = {i}) AS DOUBLE) AS c{i}" for i in range(P)], *[f"max(greatest((high - low) / 1.349::DOUBLE, {float(FLOOR[i])}::DOUBLE)) FILTER (dim = {i}) AS l{i}{j}" if i == j else f"0.0::DOUBLE AS l{i}{j}" for i, j in PAIRS]])
+    steps, model = [], "start0"
+    for k in range(STEPS):
+        steps.append(
+            f"far{k} AS (SELECT *, CAST(least(4000, floor(log2(d + 1.0::DOUBLE) * 64)) AS INT) AS bin FROM (SELECT {group}, start, {zs}, n, {distance} FROM both_ JOIN {model} USING ({group}, start))), "
+            f"cut{k} AS (SELECT {group}, start, min(bin) AS last FROM (SELECT *, sum(n) OVER (PARTITION BY {group}, start ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {group}, start) AS every FROM far{k}) WHERE upto >= every * {SHARE}::DOUBLE GROUP BY {group}, start), "
+            f"near{k} AS (SELECT far{k}.* FROM far{k} JOIN cut{k} USING ({group}, start) WHERE bin <= last), " + estimate(f"step{k}", f"near{k}", f"{group}, start", CONSISTENCY)
+        )
+        model = f"step{k}"
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln FROM t),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT rid, k FROM win GROUP BY rid, k HAVING count(*) > 1),
+cov AS (SELECT rid, count(DISTINCT i + o) AS n FROM win JOIN twice USING (rid, k), (VALUES (0), (1), (2)) v(o) GROUP BY rid),
+cnt AS (SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, len(ln) AS n_lines, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
+z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {vec} FROM cnt),
+cells AS (SELECT lang, source, {zs}, count(*) AS n FROM z WHERE NOT base_failed GROUP BY lang, source, {zs}),
+lev AS (SELECT level, g_lang, g_source, {zs}, sum(n) AS n FROM ({levels}) GROUP BY level, g_lang, g_source, {zs}),
+big AS (SELECT {group} FROM lev GROUP BY {group} HAVING sum(n) >= {LEAST}), rows_ AS (SELECT lev.* FROM lev JOIN big USING ({group})),
+dim AS (SELECT {group}, dim, z, sum(n) AS n FROM ({dims}) GROUP BY {group}, dim, z),
+ran AS (SELECT *, sum(n) OVER (PARTITION BY {group}, dim ORDER BY z) AS upto, sum(n) OVER (PARTITION BY {group}, dim) AS every FROM dim),
+quart AS (SELECT {group}, dim, min(z) FILTER (upto >= every * 0.5::DOUBLE) AS mid, min(z) FILTER (upto >= every * 0.25::DOUBLE) AS low, min(z) FILTER (upto >= every * 0.75::DOUBLE) AS high FROM ran GROUP BY {group}, dim),
+one AS (SELECT {group}, 0 AS start, {first} FROM quart GROUP BY {group}), {estimate('two', 'rows_', group, 1.0)},
+start0 AS (SELECT {group}, start, {cs}, {ls} FROM one UNION ALL SELECT {group}, 1, {cs}, {ls} FROM two),
+both_ AS (SELECT rows_.*, s.start FROM rows_, (VALUES (0), (1)) s(start)),
+{', '.join(steps)},
+best AS (SELECT * FROM {model} QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY det, start) = 1),
+pick AS (SELECT z.*, g.level, row_number() OVER (PARTITION BY rid ORDER BY g.level) AS k, {', '.join(f'g.c{i} AS c{i}' for i in range(P))}, {', '.join(f'g.l{i}{j} AS l{i}{j}' for i, j in PAIRS)}
+  FROM z LEFT JOIN best g ON (g.level = 0 AND g.g_lang = coalesce(z.lang, '') AND g.g_source = coalesce(z.source, '')) OR (g.level = 1 AND g.g_lang = coalesce(z.lang, '')) OR g.level = 2 QUALIFY k = 1),
+far AS (SELECT *, {distance} FROM pick)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d, 0) <= {CUTOFF}::DOUBLE AS kept FROM far"""
+
+
+OP2_SQL = _sql()

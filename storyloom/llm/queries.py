@@ -9,7 +9,7 @@ from .decontamination import op1_decontamination
 from .licenses import op10_license_scans
 from .packing import op9_best_fit_packing
 from .pitman_yor import op6_language_model
-from .quality_rules import op2_quality_rules
+from .quality_rules import OP2_SQL, op2_quality_rules
 from .simhash import op3_simhash_groups
 from .toxicity import op8_toxicity
 from .urls import OP5_SQL, op5_url_filters
@@ -29,6 +29,7 @@ LLM_QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {
+    "op2_quality_rules": OP2_SQL,
     "op5_url_filters": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
 }
