@@ -103,3 +103,11 @@ def test_stream_equals_batch(spark, tmp_path):
         append_new(stream, history, str(tmp_path / "checkpoint")).awaitTermination()
     got = sorted(r.article_id for r in spark.read.parquet(history).collect())
     assert got == sorted({a for a, _ in rows} | {"new"})
+
+
+def test_aliases_are_claimed_longest_first(spark):
+    from storyloom.operators.evidence import alias_spans
+
+    texts = spark.createDataFrame([(1, "Real Madrid beat Real and Madrid City"), (2, None), (3, "surreal Madrids"), (4, "Madrid, Real Madrid")], "article_id long, text string")
+    got = {r.article_id: r.entities for r in alias_spans(texts, {"real madrid": "team:rm", "real": None, "Madrid": "city:m", "madrid city": "team:mc"}).collect()}
+    assert got == {1: ["team:rm", "team:mc"], 2: [], 3: [], 4: ["city:m", "team:rm"]}
