@@ -135,19 +135,13 @@ def _concentrate(cells: DataFrame, model: DataFrame, keys: list[str]) -> DataFra
     """The cells of the nearest ``SHARE`` of each group: distances are binned, bins counted, and the first bins that
     hold the share are kept whole."""
     far = _with_distance(join_checked(cells, model.drop("m", "det"), keys, "inner"))
-    far = far.select(*cells.columns, F.least(F.lit(4000), F.floor(F.log2(F.col("d") + 1.0) * 64)).cast("int").alias("bin"), *(["start"] if "start" not in cells.columns else []))
-    bins = far.groupBy(*keys, "start", "bin").agg(F.sum("n").alias("n")) if "start" not in keys else far.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
-    own = keys if "start" in keys else [*keys, "start"]
-    upto = Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*own)
-    cut = (
-        bins.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("all", F.sum("n").over(whole))
-        .filter(F.col("upto") >= F.col("all") * SHARE)
-        .groupBy(*own)
-        .agg(F.min("bin").alias("last"))
-    )
-    return join_checked(far, written(cut), own, "inner").filter(F.col("bin") <= F.col("last")).drop("bin", "last")
+    far = far.select(*cells.columns, F.least(F.lit(4000), F.floor(F.log2(F.col("d") + 1.0) * 64)).cast("int").alias("bin"))
+    bins = far.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole)).filter(F.col("upto") >= F.col("all") * SHARE)
+    cut = written(held.groupBy(*keys).agg(F.min("bin").alias("last")))
+    return join_checked(far, cut, keys, "inner").filter(F.col("bin") <= F.col("last")).drop("bin", "last")
 
 
 GROUP = ["level", "g_lang", "g_source"]
