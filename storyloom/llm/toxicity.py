@@ -132,7 +132,8 @@ class Model:
         self.curve = tuple(theta)
 
     def fit(self, data: Sample) -> "Model":
-        texts = [words(t) for t in data.texts]
+        pool: dict[str, str] = {}  # one string object per distinct word, however often it occurs
+        texts = [[pool.setdefault(w, w) for w in words(t)] for t in data.texts]
         n0, n1 = data.counts
         prior = log((n1 + 1) / (n0 + 1)) if n0 + n1 else 0.0
         turn = Counter()
