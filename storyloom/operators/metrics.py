@@ -59,6 +59,21 @@ def confusion(pairs: DataFrame, truth: DataFrame, keys=("a_id", "b_id")) -> Data
     return both.agg(F.count_if(F.col("said").isNotNull() & F.col("true").isNotNull()).alias("tp"), F.count_if(F.col("true").isNull()).alias("fp"), F.count_if(F.col("said").isNull()).alias("fn"))
 
 
+def copy_confusion(pairs: DataFrame, owners: DataFrame, keys=("a_id", "b_id")) -> DataFrame:
+    """Accepted pairs against pairs of copies: tp, fp and fn.  ``owners``: article_id and h, equal for copies; a null is
+    nobody's copy.
+
+    The pairs of copies are counted by group, never made, so a group of any size costs one row; found pairs look up both
+    their sides."""
+    own = owners.filter("article_id IS NOT NULL AND h IS NOT NULL").select("article_id", "h").distinct()
+    truth = own.groupBy("h").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n_true"))
+    a, b = keys
+    said = pairs.select(a, b).distinct()
+    sides = said.join(own.select(F.col("article_id").alias(a), F.col("h").alias("ha")), a, "left").join(own.select(F.col("article_id").alias(b), F.col("h").alias("hb")), b, "left")
+    found = sides.agg(F.count(F.lit(1)).alias("n_said"), F.count_if(F.col("ha") == F.col("hb")).alias("tp"))
+    return found.crossJoin(truth).select("tp", (F.col("n_said") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"))
+
+
 def delivery_outcome(status: Column, error: Column) -> Column:
     """What a send attempt means: sent, failed, retryable or unknown (never sent again by itself)."""
     return (

@@ -456,10 +456,7 @@ FROM said s FULL JOIN truth t ON s.a_id = t.a_id AND s.b_id = t.b_id""",
 )
 def truth_pair_confusion(spark, sf_dir):
     art = articles(spark, sf_dir).select("article_id", F.sha1("text").alias("h"))
-    copies = art.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n BETWEEN 2 AND 50").select("h")
-    own = art.join(copies, "h")
-    truth = own.alias("a").join(own.alias("b"), F.expr("a.h = b.h AND a.article_id < b.article_id")).select(F.col("a.article_id").alias("a_id"), F.col("b.article_id").alias("b_id"))
-    return M.confusion(jaccard_pairs(spark, sf_dir), truth)
+    return M.copy_confusion(jaccard_pairs(spark, sf_dir), art)
 
 
 @query("story_ids", "SELECT doc_id, 'rss_' || substr(sha1('https://news.example/' || source || '/' || doc_id), 1, 20) AS article_id FROM documents")
