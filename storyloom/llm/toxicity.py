@@ -1,8 +1,9 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-A bigram model of toxic and one of ordinary texts back off to word counts of their class, and those to the counts that
-both share, so an expression that is rare in both says nothing.  The log-likelihood ratio per word, over the whole text
-and over its most telling window, goes through a logistic curve fitted on texts that were not counted.
+A bigram model of toxic and one of ordinary texts back off to word counts of their class, those to stems, and each level
+to what both classes have together, so every pair and word that was seen counts and one that is rare in both says little.
+Discounts are estimated from counts of counts.  The log-likelihood ratio per word, over the whole text and over its most
+telling windows, goes through a logistic curve fitted on texts that were not counted.
 """
 
 from __future__ import annotations
@@ -21,18 +22,10 @@ from .common import crc_of_id, table
 from .labelled import Sample, learnable, sample
 
 WORD = re.compile(r"\w+")
-#: Words of a window, and the step between windows; a text shorter than LEAST words counts as that long.
-WINDOW, STEP, LEAST = 48, 24, 16
-#: Absolute discount of word counts: a word that a class has no more often is left to the shared level.
-CUT = 4
-#: The same for pairs: those seen less often in both classes say nothing of their own.
-PAIR_CUT = 12
-#: Log ratios up to so many nats say nothing.
-DULL = 1.0
-#: Letters of a stem: a rare word goes by the counts of the words that begin like it.
+#: Words of windows: an expression, a phrase and a passage; a whole text shorter than LEAST words counts as that long.
+WINDOWS, LEAST = (1, 4, 48), 16
+#: Letters of a stem: a rare word leans on the counts of the words that begin like it, an unknown one goes by them.
 STEM = 4
-#: Occurrences in each class from which a word is a context of its own.
-CONTEXT = 50
 SAMPLE_PER_CLASS, SAMPLE_BYTES = 4000, 16_384
 #: Fits on so many of every ten texts; the others set the curve.
 COUNTED_OF_TEN = 7
@@ -42,94 +35,112 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What counts of 0, 1, 2 and 3 or more lose, by the numbers of counts 1 to 4 (Chen and Goodman): between 0 and the
+    count, so every seen one keeps a share where the numbers allow it."""
+    n = [float((counts == k).sum()) for k in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    own = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * y for k in (1, 2, 3)]
+    return np.array([0.0, *(min(max(d, 0.05 * k), 0.95 * k) for k, d in zip((1, 2, 3), own))])
+
+
 class Model:
-    """What a worker needs: log ratios of known pairs, of frequent words, and of stems for other words."""
+    """What a worker needs: log ratios of all known pairs and words, and of stems for other words."""
 
     def __init__(self):
-        self.word: dict[str, float] = {}
+        self.ids: dict[str, int] = {"": 0}
         self.stem: dict[str, float] = {}
-        self.pair: dict[tuple[str, str], float] = {}
-        self.curve = (0.0, 0.0, 0.0)
+        self.word = np.zeros(1)
+        #: Sorted keys (first word's id * words + second's) and their log ratios.
+        self.pairs, self.pair = np.zeros(0, np.int64), np.zeros(0)
+        self.curve = (0.0,) * (2 + len(WINDOWS))
 
     def count(self, texts: list[list[str]], labels: list[int]) -> None:
-        two = [Counter(), Counter()]
+        flat = [[], []]
         for ws, k in zip(texts, labels):
-            two[k].update(zip(["", *ws], ws))
+            flat[k].append(np.array([0, *(self.ids.setdefault(w, len(self.ids)) for w in ws)], np.int64))
+        size = len(self.ids)
+        two = []
+        for k in (0, 1):
+            keys = [a[:-1] * size + a[1:] for a in flat[k]]
+            two.append(np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True))
         # A word counts by the different words before it, so repeats within a text or copies of it count once.
-        one = [Counter(w for _, w in pairs) for pairs in two]
-        shared = one[0] + one[1]
-        if not one[0] or not one[1]:
+        one = [np.bincount(keys % size, minlength=size) for keys, _ in two]
+        if not one[0].any() or not one[1].any():
+            self.ids = {"": 0}
             return
-        # The shared level goes by the number of classes that have a word or stem, as Kneser-Ney counts contexts.
-        stems = [Counter(), Counter()]
-        for k in (0, 1):
-            for w, c in one[k].items():
-                stems[k][w[:STEM]] += c
-        base = {w: float((w in one[0]) + (w in one[1])) for w in shared}
-        in_stem = Counter()
-        for w, b in base.items():
-            in_stem[w[:STEM]] += b
-        types = {s: float((s in stems[0]) + (s in stems[1])) for s in in_stem}
-        # What a level leaves to the next is the same for both classes, so a word unseen in both says nothing.
-        n = [sum(one[k].values()) for k in (0, 1)]
-        left = [sum(min(c, CUT) for k in (0, 1) for c in of[k].values()) / (n[0] + n[1]) for of in (one, stems)]
-        kept = [[max(1, sum(max(0, c - CUT) for c in of[k].values())) for k in (0, 1)] for of in (one, stems)]
-        total, rate = sum(types.values()), []
-        of_stem = [{s: (1 - left[1]) * max(0, stems[k][s] - CUT) / kept[1][k] + left[1] * b / total for s, b in types.items()} for k in (0, 1)]
-        for k in (0, 1):
-            rate.append({w: (1 - left[0]) * max(0, one[k][w] - CUT) / kept[0][k] + left[0] * of_stem[k][w[:STEM]] * b / in_stem[w[:STEM]] for w, b in base.items()})
-        self.stem = {s: log(of_stem[1][s] / of_stem[0][s]) for s in types if max(stems[0][s], stems[1][s]) > CUT}
-        self.word = {w: log(rate[1][w] / rate[0][w]) for w in base if max(one[0][w], one[1][w]) > CUT}
-        # Pairs: what a context leaves to the word level is the same for both classes, so an unknown pair says no more
-        # than its word, and a known one is the mix of its discounted share and its word's.
-        contexts = {w for w in shared if one[0][w] >= CONTEXT and one[1][w] >= CONTEXT}
-        kept, began, lost = [Counter(), Counter()], Counter(), Counter()
-        for k in (0, 1):
-            for (u, w), c in two[k].items():
-                if u in contexts:
-                    kept[k][u] += max(0, c - PAIR_CUT)
-                    began[u] += c
-                    lost[u] += min(c, PAIR_CUT)
-        for u, w in {p for k in (0, 1) for p, c in two[k].items() if c > PAIR_CUT and p[0] in contexts}:
-            leave = lost[u] / began[u]
-            p = [(1 - leave) * max(0, two[k][u, w] - PAIR_CUT) / max(1, kept[k][u]) + leave * rate[k][w] for k in (0, 1)]
-            self.pair[u, w] = log(p[1] / p[0])
+        names: dict[str, int] = {}
+        stem = np.array([names.setdefault(w[:STEM], len(names)) for w in self.ids])
+        stems = [np.bincount(stem, of).astype(np.int64) for of in one]
+        # Every level mixes a class's discounted counts with what both classes have together, tilted as the level above
+        # tilts it; what neither class has goes by the level above alone.
+        tilt = self._tilts(stems, [np.ones(len(names))] * 2)
+        self.stem = dict(zip(names, np.log(tilt[1] / tilt[0]).tolist()))
+        tilt = self._tilts(one, [of[stem] for of in tilt])
+        self.word = np.log(tilt[1] / tilt[0])
+        self.pairs = np.union1d(two[0][0], two[1][0])
+        c = [np.zeros(len(self.pairs), np.int64) for _ in two]
+        for of, (keys, n) in zip(c, two):
+            of[np.searchsorted(self.pairs, keys)] = n
+        tilt = self._tilts(c, [of[self.pairs % size] for of in tilt], self.pairs // size)
+        self.pair = np.log(tilt[1] / tilt[0])
+
+    @staticmethod
+    def _tilts(counts: list[np.ndarray], above: list[np.ndarray], group: np.ndarray | None = None) -> list[np.ndarray]:
+        """Each class's probability over that of both classes together, where one has counts; ``above`` elsewhere.
+        Probabilities are those within a ``group`` (a pair's first word)."""
+        group = np.zeros(len(counts[0]), np.int64) if group is None else group
+        d = discounts(np.concatenate(counts))
+        both = counts[0] + counts[1]
+        total = np.bincount(group, both)[group]
+        out = []
+        for c, up in zip(counts, above):
+            lost = d[np.minimum(c, 3)]
+            n, left = np.bincount(group, c)[group], np.bincount(group, lost)[group]
+            own = (c - lost + left * both * up / np.maximum(total, 1)) / np.maximum(n, 1) * total / np.maximum(both, 1)
+            out.append(np.where((both > 0) & (n > 0), own, up))
+        return out
 
     def ratios(self, ws: list[str]) -> np.ndarray:
-        """The log ratio of each word, less DULL nats: frequent words differ a little by chance and by the languages of
-        a class.  A word that repeats the one before it has zero."""
-        word, stem = self.word, self.stem
-        out = np.array([word[w] if w in word else stem.get(w[:STEM], 0.0) for w in ws], float)
-        for i, p in enumerate(zip(ws, ws[1:]), 1):
-            if p[0] == p[1]:
-                out[i] = 0.0
-            elif p in self.pair:
-                out[i] = self.pair[p]
-        return np.sign(out) * np.maximum(np.abs(out) - DULL, 0)
-
-    def features(self, ws: list[str]) -> tuple[float, float]:
-        """Log ratio per word over the whole text and over its highest window; zeros for a text without words."""
+        """The log ratio of each word.  A word that repeats the one before it has zero."""
+        ids = np.array([self.ids.get(w, -1) for w in ws], np.int64)
+        out = self.word[np.maximum(ids, 0)]
+        new = np.flatnonzero(ids < 0)
+        out[new] = [self.stem.get(ws[i][:STEM], 0.0) for i in new]
+        if len(self.pairs):
+            before = np.concatenate([[0], ids[:-1]])
+            key = np.where((before >= 0) & (ids >= 0), before * len(self.ids) + ids, -1)
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            out = np.where(self.pairs[at] == key, self.pair[at], out)
+        same = [False, *(a == b for a, b in zip(ws, ws[1:]))]
+        return np.where(same, 0.0, out)
+
+    def features(self, ws: list[str]) -> tuple[float, ...]:
+        """Log ratio per word over the whole text and over its highest window of each width; zeros for a text without
+        words."""
         if not ws:
-            return 0.0, 0.0
+            return (0.0,) * (1 + len(WINDOWS))
         sums = np.concatenate([[0.0], np.cumsum(self.ratios(ws))])
-        starts = np.arange(0, max(1, len(ws) - WINDOW + STEP), STEP)
-        ends = np.minimum(starts + WINDOW, len(ws))
-        return float(sums[-1]) / max(len(ws), LEAST), float((sums[ends] - sums[starts]).max()) / max(min(len(ws), WINDOW), LEAST)
+        out = [float(sums[-1]) / max(len(ws), LEAST)]
+        for width in WINDOWS:
+            width = min(width, len(ws))
+            out.append(float((sums[width:] - sums[:-width]).max()) / max(width, 1))
+        return tuple(out)
 
-    def fit_curve(self, rows: list[tuple[float, float]], labels: list[int], prior: float) -> None:
+    def fit_curve(self, rows: list[tuple[float, ...]], labels: list[int], prior: float) -> None:
         """Logistic regression by Newton steps with a slight pull to zero; ``prior`` are the log odds in all labels."""
-        x = np.array([[a * 10, b * 10, 1.0] for a, b in rows]) if rows else np.zeros((0, 3))
+        x = np.array([[*r, 1.0] for r in rows]) if rows else np.zeros((0, 2 + len(WINDOWS)))
         y = np.array(labels, float)
         if len(set(labels)) < 2:
-            self.curve = (0.0, 0.0, prior)
+            self.curve = (*(0.0,) * (1 + len(WINDOWS)), prior)
             return
-        theta, pull = np.zeros(3), np.diag([0.05, 0.05, 1e-6])
+        theta, pull = np.zeros(x.shape[1]), np.diag([*(0.05,) * (x.shape[1] - 1), 1e-6])
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
             step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + pull, x.T @ (p - y) + pull @ theta)
             theta = theta - step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-        theta[2] += prior - log((y.sum() + 1) / (len(y) - y.sum() + 1))
-        self.curve = tuple(theta)
+        theta[-1] += prior - log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        self.curve = tuple(theta.tolist())
 
     def fit(self, data: Sample) -> "Model":
         pool: dict[str, str] = {}  # one string object per distinct word, however often it occurs
@@ -147,8 +158,7 @@ class Model:
         return self
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(words(text))
-        z = self.curve[0] * a * 10 + self.curve[1] * b * 10 + self.curve[2]
+        z = float(np.dot(self.curve, (*self.features(words(text)), 1.0)))
         return 1 / (1 + exp(-min(50.0, max(-50.0, z))))
 
 
