@@ -2,8 +2,8 @@
 
 Numbers, units after numbers and names become typed placeholders, so a question with other parameters keeps its
 template.  Five-word windows of templates are hash-joined with those of the benchmark; windows on one alignment of a
-text with an item count only if the item's parameters map one to one to the text's; a text leaks an item if such windows
-make up at least 0.8 of the item's.
+text with an item count only if the item's parameters map one to one to the text's.  Windows of raw words count as well,
+so copies match in any case and wrapping.  A text leaks an item if its windows make up at least 0.8 of the item's.
 """
 
 from __future__ import annotations
@@ -24,27 +24,64 @@ UNITS = (
 ).split()
 
 
+# Words that are no names though a sentence may start with them. Names are an open class, these are not.
+PLAIN = (
+    "the an this that these those each every both all some any no another other such "
+    "he she it we they you his her its our their your my him them us me one who whom whose which what how why when where whether "
+    "if then else so as at by for from in into of on onto to with without within over under after before during until since while about "
+    "and or but nor not yet because although though there here now once only also "
+    "is are was were be been am do does did has have had can could will would shall should may might must let "
+    "find give given suppose assume calculate compute determine show prove explain write solve "
+    "der die das den dem des ein eine einen einem einer er sie es wir ihr und oder aber wenn wie was wer wo warum im am zu mit von auf "
+    "le la les un une des il elle nous vous ils elles et ou mais si comment quand que qui quel quelle dans sur avec pour par "
+    "el los las una unos unas yo ella ellos ellas y o pero como cuando quien cual en con por para"
+).split()
+#: Quotes, dashes and other marks beside ASCII's.
+MARKS = "\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u201a\u00bf\u00a1\u2026\u2013\u2014"
+OPEN = r"[\"'(\[{\u00ab\u201c\u201e\u2018\u201a\u00bf\u00a1]*"
+
+
+def _spaced(text: Column) -> Column:
+    """One space for every run of white space, so that wrapping does not matter."""
+    return F.regexp_replace(text, f"[{SPACE}]+", " ")
+
+
+def _split(text: Column) -> Column:
+    return F.split(F.regexp_replace(F.lower(text), rf"[!-/:-@\[-`{{-~{MARKS}]", ""), " ")
+
+
 def template(text: Column) -> Column:
     """The template's words, one for each white-space separated word of the text, so that places agree with raw words."""
-    t = F.regexp_replace(text, r"(?<!\S)(?=\S*[0-9])\S+", NUMBER)
+    t = F.regexp_replace(_spaced(text), r"(?<!\S)(?=\S*[0-9])\S+", NUMBER)
     t = F.regexp_replace(t, rf"(?<=\x01 )(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![A-Za-z])\S*", UNIT)
-    # A capital inside a sentence: after a small letter, a comma or a semicolon.
-    t = F.regexp_replace(t, r"(?<=[a-z,;] )[A-Z][a-z]+(?:'s)?(?![A-Za-z])\S*", NAME)
-    t = F.regexp_replace(F.lower(t), r"[!-/:-@\[-`{-~]", "")
-    return F.split(t, f"[{SPACE}]+")
+    # A capitalised word wherever it stands.
+    t = F.regexp_replace(t, rf"(?<!\S){OPEN}(?=\p{{Lu}}\p{{Ll}})(?!(?i:{'|'.join(sorted(set(PLAIN)))})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?!\p{{L}})\S*", NAME)
+    return _split(t)
 
 
 def raw_words(text: Column) -> Column:
     """Raw words without punctuation, at the same places."""
-    return F.split(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", ""), f"[{SPACE}]+")
+    return _split(_spaced(text))
 
 
 def windows(frame: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
     """keys, at and h of every window of the column ``words``; a text of fewer words has none."""
-    w = F.col("words")
-    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
     some = frame.filter(F.size("words") >= size)
-    return some.select(*keys, F.posexplode(hashes).alias("at", "h"))
+    return some.select(*keys, F.posexplode(_hashes("words", size)).alias("at", "h"))
+
+
+def _hashes(words: str, size: int, *seed: Column) -> Column:
+    w = F.col(words)
+    return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*seed, *[F.get(w, i + k) for k in range(size)]))
+
+
+def _both_windows(frame: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """keys, raw (whether of raw words), at and h of every window of the columns ``words`` and ``raw_words``."""
+    some = frame.filter(F.size("words") >= size)
+    hashes = F.concat(_hashes("words", size), _hashes("raw_words", size, F.lit("raw")))
+    n = F.size("words") - (size - 1)
+    each = some.select(*keys, n.alias("n"), F.posexplode(hashes).alias("place", "h"))
+    return each.select(*keys, (F.col("place") >= F.col("n")).alias("raw"), F.pmod("place", "n").alias("at"), "h")
 
 
 def _slots(words: Column, raw: Column, at: Column, size: int) -> Column:
@@ -64,11 +101,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
     texts = docs.filter("text IS NOT NULL").select(F.col("doc_id"), who.alias("who"), "text")
     items = written(benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", F.col("text").alias("item_text")).distinct())
     items = items.select(F.xxhash64("item_id", "item_text").alias("item"), "item_id", "item_text")
-    asked = written(windows(items.select("item", "item_id", template(F.trim("item_text")).alias("words")), ["item", "item_id"], size).withColumnRenamed("at", "item_at"))
+    own = items.select("item", "item_id", template(F.trim(_spaced(F.col("item_text")))).alias("words"), raw_words(F.trim(_spaced(F.col("item_text")))).alias("raw_words"))
+    every = written(_both_windows(own, ["item", "item_id"], size).withColumnRenamed("at", "item_at"))
+    asked = every.filter("NOT raw").drop("raw")
     per_item = written(asked.groupBy("item").agg(F.countDistinct("h").alias("n_item")))
-    met = written(join_checked(windows(texts.select("doc_id", "who", template(F.col("text")).alias("words")), ["doc_id", "who"], size), asked, "h", "inner").distinct())
+    seen = _both_windows(texts.select("doc_id", "who", template(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw_words")), ["doc_id", "who"], size)
+    hit = written(join_checked(seen.drop("raw"), every, "h", "inner").distinct())
+    met = hit.filter("NOT raw").drop("raw")
+    # A window of raw words stands for the item's template window at its place.
+    said = asked.select("item", "item_at", F.col("h").alias("item_h"))
+    as_is = join_checked(hit.filter("raw").select("doc_id", "who", "item", "item_id", "item_at").distinct(), said, ["item", "item_at"], "inner")
     # Few texts meet a window; only theirs and those of items with placeholders are looked at again for parameters.
-    parts = items.select("item", template(F.trim("item_text")).alias("item_words"), raw_words(F.trim("item_text")).alias("item_raw"))
+    parts = items.select("item", template(F.trim(_spaced(F.col("item_text")))).alias("item_words"), raw_words(F.trim(_spaced(F.col("item_text")))).alias("item_raw"))
     slotted = written(
         asked.join(parts, "item").select("item", "item_at", _slots(F.col("item_words"), F.col("item_raw"), F.col("item_at"), size).alias("item_slots")).filter("size(item_slots) > 0")
     )
@@ -87,9 +131,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: floa
         ).select(*by, ((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb"))).alias("consistent"), "other")
     )
     lined = join_checked(met.withColumn("shift", F.col("at") - F.col("item_at")), judged, by)
-    whole = lined.filter(F.coalesce("consistent", F.lit(True))).groupBy("who", "item").agg(
-        F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.size(F.collect_set("h")).cast("long").alias("n_windows"), F.max(F.coalesce("other", F.lit(0))).alias("other")
+    # A place met both by template and as it is has no other parameters.
+    ways = lined.filter(F.coalesce("consistent", F.lit(True))).select("who", "item", "doc_id", "item_id", "h", F.coalesce("other", F.lit(0)).alias("other")).unionByName(
+        as_is.select("who", "item", "doc_id", "item_id", F.col("item_h").alias("h"), F.lit(0).alias("other"))
     )
+    each = ways.groupBy("who", "item", "h").agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.min("other").alias("other"))
+    whole = each.groupBy("who", "item").agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_windows"), F.max("other").alias("other"))
     found = join_checked(whole, per_item, "item", "inner").filter(F.col("n_windows") >= F.col("n_item") * share)
     return found.groupBy("who", "doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("n_item")).alias("coverage"), F.min("other").alias("other")
