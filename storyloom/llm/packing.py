@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAPACITY, END_ID = 1024, 2
+#: Lengths over these parts of the capacity are grouped, in turn.
+PARTS = (8, 4, 3, 2)
+#: Pieces in a bucket, in the mean; ranks are counted within buckets.
+BUCKET = 10_000
 #: Distinct words whose ids a Python worker remembers before it starts anew.
 WORDS_KEPT, LONGEST_KEPT = 1_000_000, 40
 #: White space but for the space and the line feed.
 OTHER_SPACE = re.compile("[^\\S \n]")
+#: How byte-level vocabularies write the byte of a space.
+SPACE_BYTE = "\u0120"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _memory: dict = {}
 
@@ -33,7 +39,9 @@ def _word_ids(path: str):
     """A function from a text to its ids as little-endian 32-bit bytes.
 
     Byte-level BPE splits a text before a space that stands between two visible characters, so a text cut at such spaces
-    has the ids of its parts, each with the space before it.  The ids of short parts are remembered."""
+    has the ids of its parts, each with the space before it.  The ids of short parts are remembered.  Parts not seen
+    before are encoded in one go: as they hold no space but the first character, a new part begins where an id's bytes
+    begin with a space."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,13 +50,19 @@ def _word_ids(path: str):
     if path not in _memory:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _memory[path] = (tokenizer, {})
-    tokenizer, known = _memory[path]
+        opens = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE_BYTE)]] = True
+        _memory[path] = (tokenizer, opens, {})
+    tokenizer, opens, known = _memory[path]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(text: str) -> bytes:
         parts = text.split(" ")
         # White space beside a cut changes how the text is split; then the neighbours stay together.
-        if "  " in text or "\n " in text or " \n" in text or parts[0] == "" or parts[-1] == "" or OTHER_SPACE.search(text):
+        odd = "  " in text or "\n " in text or " \n" in text or parts[0] == "" or parts[-1] == "" or OTHER_SPACE.search(text)
+        if odd:
             joined, parts = parts, []
             for p in joined:
                 if parts and (not p or p[0].isspace() or not parts[-1] or parts[-1][-1].isspace()):
@@ -59,9 +73,13 @@ def _word_ids(path: str):
         if len(known) > WORDS_KEPT:
             known.clear()
         new = list(set(rest).difference(known))
-        out = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([first, *(" " + p for p in new)], add_special_tokens=False)]
-        known.update(zip(new, out[1:]))
-        data = out[0] + b"".join(map(known.__getitem__, rest))
+        spaced = [p for p in new if " " in p] if odd else []
+        whole = [p for p in new if " " not in p] if odd else new
+        head, run, *apart = encode([first, "".join(" " + p for p in whole), *(" " + p for p in spaced)])
+        data, at = run.tobytes(), (4 * np.flatnonzero(opens[run])).tolist()
+        known.update(zip(whole, (data[a:b] for a, b in zip(at, [*at[1:], len(data)]))))
+        known.update(zip(spaced, (a.tobytes() for a in apart)))
+        data = head.tobytes() + b"".join(map(known.__getitem__, rest))
         for p in new:
             if len(p) > LONGEST_KEPT:
                 del known[p]
@@ -174,9 +192,28 @@ class _Bins:
                 self.add(lengths, n)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 40, small: int = 64) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 40) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, count, first sequence, offset): pieces of that length with ranks from the first on get
-    sequences from the first on, at the offset.  The number of rows depends on capacity and groups, not on the corpus."""
+    sequences from the first on, at the offset.  The number of rows depends on capacity and groups, not on the corpus.
+
+    Which lengths are large enough to be grouped is tried at the capacity's parts in PARTS; the fewest sequences win."""
+    tried = [_grouped(histogram, capacity, groups, capacity // part) for part in PARTS]
+    bins = min(tried, key=lambda b: sum(n for runs in b.runs.values() for _, n in runs))
+    rows, sequence, rank = [], 0, dict.fromkeys(histogram, 0)
+    for room in bins.rooms:
+        for lengths, n in bins.runs[room]:
+            offset = 0
+            for length in lengths:
+                rows.append((length, rank[length], n, sequence, offset))
+                rank[length] += n
+                offset += length
+            sequence += n
+    return rows
+
+
+def _grouped(histogram: dict[int, int], capacity: int, groups: int, small: int) -> _Bins:
+    """Sequences with lengths over ``small`` grouped.  A configuration of several sizes leaves its least one open: best
+    fit fills it with the longest piece that the documents in the others leave room for."""
     bins = _Bins(capacity)
     left = {length: n for length, n in histogram.items() if n}
     large = sorted((length for length in left if small < length < capacity), reverse=True)
@@ -199,6 +236,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 40,
         sizes = list(merged)
         for counts, n in configurations(sizes, [sum(c for _, c in merged[s]) for s in sizes], capacity):
             slots = [s for s, c in zip(sizes, counts) for _ in range(c)]
+            slots = slots[: max(1, len(slots) - 1)]
             while n and all(merged[s] for s in slots):
                 # As many equal sequences as the next lengths of all slots allow.
                 want: dict[int, int] = {}
@@ -232,16 +270,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 40,
     for length in sorted(left, reverse=True):
         if left[length]:
             bins.best_fit(length, left[length])
-    rows, sequence, rank = [], 0, dict.fromkeys(left, 0)
-    for room in bins.rooms:
-        for lengths, n in bins.runs[room]:
-            offset = 0
-            for length in lengths:
-                rows.append((length, rank[length], n, sequence, offset))
-                rank[length] += n
-                offset += length
-            sequence += n
-    return rows
+    return bins
 
 
 def _place(rows: list[tuple[int, int, int, int, int]], capacity: int):
@@ -261,11 +290,11 @@ def _place(rows: list[tuple[int, int, int, int, int]], capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups: int = 40, small: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups: int = 40) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = written(cut_into_pieces(docs, tokenizer_path, capacity))
     # Ranks within a length: rows are numbered within (length, bucket), buckets by running totals of their counts.
-    buckets = max(1, pieces.count() // 50_000)
+    buckets = max(1, pieces.count() // BUCKET)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = written(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -273,7 +302,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups:
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(starts, ["length", "bucket"])
-    rows = plan(histogram, capacity, groups, small)
+    rows = plan(histogram, capacity, groups)
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank")).mapInArrow(
         _place(rows, capacity), f"{PIECES}, sequence_id long, offset long"
     )

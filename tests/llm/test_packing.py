@@ -1,3 +1,4 @@
+import bisect
 import random
 from zlib import crc32
 
@@ -71,5 +72,19 @@ def test_plan_places_every_piece_once(seed):
     for own in room.values():
         own.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) <= 1024
-    bound = -(-sum(lengths) // 1024)
-    assert len(room) <= bound * 1.03 + 2 or all(n > 512 for n in lengths)
+    assert len(room) <= best_fit_decreasing(lengths)
+
+
+def best_fit_decreasing(lengths, capacity=1024):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("sf", ("sf0.001", "sf0.01"))
+def test_no_more_sequences_than_best_fit_decreasing(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = P.pack(docs, P.default_tokenizer()).select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in rows}) <= best_fit_decreasing([r.length for r in rows])
