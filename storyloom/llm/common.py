@@ -14,13 +14,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and the
+    master is local.  On a cluster a folder of one machine would lose rows, so there the setting must be given."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("storyloom.scratch", None)
     if not top:
-        top = spark.conf.get("storyloom.scratch", None)
-        if not top:
-            top = "file://" + tempfile.mkdtemp(prefix="storyloom-")
-            spark.conf.set("storyloom.scratch", top)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="storyloom-")
+        spark.conf.set("storyloom.scratch", top)
     return f"{top}/storyloom-{uuid.uuid4().hex}"
 
 
@@ -31,13 +32,15 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, most_rows: int = 200_000) -> bool:
-    """Whether a written table has few enough rows to be sent to every executor; counts no further than that."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def fits_broadcast(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 64 << 20) -> bool:
+    """Whether a written table is small enough to be sent to every executor, by the optimizer's size, which rests on the
+    files' sizes, and by its rows, counted no further than the limit."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= most_bytes and df.limit(most_rows + 1).count() <= most_rows
 
 
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "left", most_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``small`` (a written table) if its counted size allows, else leave a shuffled join that AQE may split."""
+    """Broadcast ``small`` (a written table) if its size allows, else leave a shuffled join that AQE may split."""
     return left.join(F.broadcast(small) if fits_broadcast(small, most_rows) else small, on, how)
 
 
