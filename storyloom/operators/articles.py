@@ -11,12 +11,16 @@ from ..functions.columns import language_of_url
 
 
 def dedup(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the smallest ``order`` of each ``key``, with the number of rows of that key (n_copies).
-
-    Keys are grouped by their hash and length, so that a hot or very long key moves no text; null keys form one group."""
-    k = [F.xxhash64(key).alias("k1"), F.coalesce(F.length(key), F.lit(-1)).alias("k2"), F.sha1(F.coalesce(key, F.lit(""))).alias("k3")]
-    firsts = df.select(order, *k).groupBy("k1", "k2", "k3").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_copies")).select(order, "n_copies")
-    return df.join(firsts, order)
+    """The row with the smallest ``order`` of each ``key``, with the number of rows of that key (n_copies); of rows that
+    share key and order one stays, and a null order stands behind all others.
+
+    Keys are grouped by a digest, so that a hot or very long key moves no text, and partly before the shuffle; null keys
+    form one group."""
+    k = F.coalesce(F.concat(F.lit("+"), F.sha2(F.col(key).cast("string"), 256)), F.lit("-"))
+    at = F.col(order)
+    marked = df.withColumn("dedup_digest", k).withColumn("dedup_row", F.monotonically_increasing_id())
+    firsts = marked.groupBy("dedup_digest").agg(F.min(F.struct(at.isNull().alias("none"), at.alias("at"), "dedup_row")).alias("f"), F.count(F.lit(1)).alias("n_copies"))
+    return marked.join(firsts.select("dedup_digest", F.col("f.dedup_row").alias("dedup_row"), "n_copies"), ["dedup_digest", "dedup_row"]).drop("dedup_digest", "dedup_row")
 
 
 def new_only(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, read back from a table in the folder that spark.checkpoint.dir names (a temporary one where unset)."""
+    """The rows, read back from a table in the folder that spark.checkpoint.dir names; where that is unset, and only with a
+    local master, in a temporary one."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.gettempdir()
     path = f"{top}/storyloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,10 +44,11 @@ def failure_streak(runs: DataFrame, key: str, at: str, tie: str, failed: Column,
 
 
 def age_histogram(df: DataFrame, hours: Column, edges=(12, 24, 36)) -> DataFrame:
-    """Counts by age class; a bound belongs to the lower class."""
+    """Counts by age class; a bound belongs to the lower class, and what lies ahead has a class of its own."""
     label = F.lit(f">{edges[-1]}")
     for low, high in reversed(list(zip((0, *edges), edges))):
         label = F.when(hours <= high, f"{low}-{high}").otherwise(label)
+    label = F.when(hours < 0, "future").otherwise(label)
     return df.groupBy(label.alias("age")).agg(F.count(F.lit(1)).alias("n"))
 
 

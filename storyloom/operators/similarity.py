@@ -13,24 +13,28 @@ def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def candidate_pairs(df: DataFrame, most_df: int = 6, widest_hours: int = 48, block: str = "event_type") -> DataFrame:
-    """Pairs (a before b by article_id) of one block that share a token of df at most ``most_df``, within the widest
-    window; shared holds their rare shared tokens.
-
-    The join is on (block, rare token): a token brings at most most_df * (most_df - 1) / 2 pairs, so pairs grow with the
-    tokens, whatever the size of a block."""
-    rare = document_frequency(df).filter(F.col("df") <= most_df).select("token")
-    each = df.select("article_id", block, "published_at", F.explode("tokens").alias("token")).join(rare, "token")
-    a, b = each.alias("a"), each.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.article_id") < F.col("b.article_id"))).filter(
-        F.abs(hours_between(F.col("a.published_at"), F.col("b.published_at"))) <= widest_hours
-    )
+def candidate_pairs(df: DataFrame, most_df: int = 6, df_ratio: float = 0.01, widest_hours: int = 48, block: str = "event_type", generic: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a before b by article_id) of one block within the widest window that share a rare token: one of df at most
+    ``most_df`` or of at most ``df_ratio`` of all articles, and not generic; n_rare counts them.
+
+    The join is on (block, rare token, time slot): slots are as long as the window, and one side stands in its own and the
+    two beside it, so a token brings pairs of one block and window only, however common it is in the corpus."""
+    frequency = document_frequency(df)
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    rare = frequency.join(F.broadcast(total)).filter((F.col("df") <= most_df) | (F.col("df") <= F.col("total") * df_ratio)).select("token")
+    if generic:
+        rare = rare.filter(~F.col("token").isin(*generic))
+    slot = F.floor(F.unix_micros("published_at") / F.lit(3.6e9 * widest_hours))
+    each = df.select("article_id", block, "published_at", slot.alias("slot"), F.explode("tokens").alias("token")).join(rare, "token")
+    a, b = each.alias("a"), each.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))).alias("b")
+    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.slot") == F.col("b.slot")) & (F.col(f"a.{block}") == F.col(f"b.{block}"))
+    met = a.join(b, same & (F.col("a.article_id") < F.col("b.article_id"))).filter(F.abs(hours_between(F.col("a.published_at"), F.col("b.published_at"))) <= widest_hours)
     return met.groupBy(F.col("a.article_id").alias("a_id"), F.col("b.article_id").alias("b_id")).agg(F.count(F.lit(1)).alias("n_rare"))
 
 
 def with_sides(pairs: DataFrame, df: DataFrame) -> DataFrame:
     """The pairs with both articles as structs a and b."""
-    side = lambda s: df.select(F.col("article_id").alias(f"{s}_id"), F.struct("source", "event_type", "sport", "published_at", "tokens", "title").alias(s))
+    side = lambda s: df.select(F.col("article_id").alias(f"{s}_id"), F.struct("source", "event_type", "sport", "competition", "claim", "published_at", "tokens", "title").alias(s))
     return pairs.join(side("a"), "a_id").join(side("b"), "b_id")
 
 
@@ -38,29 +42,50 @@ def in_play(title: Column) -> Column:
     return F.lower(F.coalesce(title, F.lit(""))).contains("live")
 
 
-def verdicts(pairs: DataFrame, threshold: float = 0.35, close: float = 0.30) -> DataFrame:
+# Least similarity and rare words of each tier.
+TIERS = {"A": (0.30, 1), "B": (0.35, 1), "C": (0.35, 2)}
+
+
+def verdicts(pairs: DataFrame) -> DataFrame:
     """Adds jaccard (rounded), tier and reason: the first gate that a pair fails, null for an accepted one.
 
-    Gates in order: same source, not clusterable, other event, in play, outside the window, contradicting sports, too
-    little in common, too few rare words.  Tier C (news or an unproven sport) needs two rare words, tier B one."""
+    Gates in order: same source, not clusterable (a kind of event that is not listed abstains), other event, one side
+    claims what the other does not, in play, outside the window, contradicting sports, too little in common, too few rare
+    words.  News and unproven sports are tier C, pairs of one competition tier A, others B."""
     a, b = F.col("a"), F.col("b")
     j = jaccard(a["tokens"], b["tokens"])
     known = (a["sport"] != "unknown") & (b["sport"] != "unknown")
-    tier = F.when((a["event_type"] == "news") | ~known, "C").otherwise("B")
-    need = F.when(tier == "C", 2).otherwise(1)
+    tier = F.when((a["event_type"] == "news") | ~known, "C").when(a["competition"] == b["competition"], "A").otherwise("B")
+    listed = lambda e: e.isin(*WINDOW_HOURS) & ~e.isin(*NEVER_GROUPED)
+    least = case(tier, {t: v for t, (v, _) in TIERS.items()})
+    need = case(tier, {t: n for t, (_, n) in TIERS.items()})
     reason = (
         F.when(a["source"] == b["source"], "same_source")
-        .when(a["event_type"].isin(*NEVER_GROUPED) | b["event_type"].isin(*NEVER_GROUPED), "not_clusterable")
+        .when(~(listed(a["event_type"]) & listed(b["event_type"])), "not_clusterable")
         .when(a["event_type"] != b["event_type"], "event_differs")
+        .when(a["claim"] != b["claim"], "claim_reversed")
         .when(in_play(a["title"]) | in_play(b["title"]), "in_play")
         .when(F.abs(hours_between(a["published_at"], b["published_at"])) > case(a["event_type"], WINDOW_HOURS, 24), "outside_window")
         .when(known & (a["sport"] != b["sport"]), "sport_differs")
-        .when(j < threshold, "too_little_in_common")
+        .when(j < least, "too_little_in_common")
         .when(F.col("n_rare") < need, "too_few_rare_words")
     )
     return pairs.withColumn("jaccard", F.round(j, 4)).withColumn("tier", tier).withColumn("reason", reason)
 
 
+def generic_token(token: Column, generic: tuple[str, ...], prefixes: str = "ובהלמשכ") -> Column:
+    """Whether a token is listed as generic, as it is or, if longer than three, without one Hebrew prefix letter."""
+    bare = F.when((F.length(token) > 3) & F.substring(token, 1, 1).isin(*prefixes), F.substring(token, 2, 1000))
+    return token.isin(*generic) | F.coalesce(bare.isin(*generic), F.lit(False))
+
+
+def skeleton(name: Column) -> Column:
+    """A Hebrew name's words with doubled vav and yod collapsed and those that do not stand first dropped; ids (with a
+    colon) pass through."""
+    once = F.regexp_replace(F.regexp_replace(name, "וו+", "ו"), "יי+", "י")
+    return F.when(name.contains(":"), name).otherwise(F.regexp_replace(once, "(?<=[א-ת])[וי]", ""))
+
+
 def republished(pairs: DataFrame, hours: float = 6.0, least: float = 0.40, contained: float = 0.55, rare: int = 2) -> DataFrame:
     """Pairs of one source that repeat each other: close in time, titles alike and one largely within the other."""
     a, b = F.col("a"), F.col("b")

@@ -7,13 +7,14 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import NEVER_GROUPED, WINDOW_HOURS, clean_html, hours_between, language_of_url, story_id, title_tokens
+from ..functions.columns import WINDOW_HOURS, clean_html, hours_between, language_of_url, story_id, title_tokens
 from ..operators import articles as A
 from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..operators import similarity as P
+from ..operators.evidence import claimed
 from ..sources.tables import EVENT_TYPES, SPORTS, articles, pick, read
 
 QUERIES: dict = {}
@@ -21,7 +22,6 @@ SQL: dict = {}
 
 NOW = datetime(2024, 1, 5, tzinfo=timezone.utc)
 LATER = datetime(2024, 2, 1, tzinfo=timezone.utc)
-HEAD = 400
 
 
 def _list(values) -> str:
@@ -41,20 +41,23 @@ def _tokens(of: str) -> str:
 
 RANK = "CASE {} WHEN 'push' THEN 4 WHEN 'high_feed' THEN 3 WHEN 'feed' THEN 2 WHEN 'low_feed' THEN 1 ELSE 0 END"
 LADDER = "CASE WHEN toxic = 1 THEN 'hidden' WHEN quality IS NULL THEN 'low_feed' WHEN quality = 0 THEN 'hidden' WHEN lang = 'en' THEN 'high_feed' ELSE 'feed' END"
-#: Articles with their tokens, rare tokens and candidate pairs of one language within 400 hours.
-PAIRS = f"""{ART}, tk AS (SELECT article_id, source, lang, event_type, sport, published_at, title, {_tokens(f'substr(text, 1, {HEAD})')} AS tokens FROM art),
-ex AS (SELECT article_id, lang, published_at, unnest(tokens) AS token FROM tk),
-rare AS (SELECT token FROM ex GROUP BY token HAVING count(*) <= 6),
+#: Articles a minute apart with the tokens of whole texts, and candidate pairs of one kind of event within 48 hours.
+MARKERS, CONDITIONALS = ("the", "of", "de"), ("and", "to", "la")
+PAIRS = f"""{ART}, tk AS (SELECT article_id, source, lang, event_type, sport, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, title, {_tokens('text')} AS tokens,
+  'c' || CAST(doc_id // 4 % 3 AS VARCHAR) AS competition, list_filter(string_split(lower(title), ' '), lambda x: x <> '') AS ws FROM art),
+ex AS (SELECT article_id, event_type, published_at, unnest(tokens) AS token FROM tk),
+rare AS (SELECT token FROM ex GROUP BY token HAVING count(*) <= 6 OR count(*) <= (SELECT count(*) FROM art) * 0.01::DOUBLE),
 cand AS (
   SELECT a.article_id AS a_id, b.article_id AS b_id, count(*) AS n_rare
-  FROM ex a JOIN rare USING (token) JOIN ex b ON a.token = b.token AND a.lang = b.lang AND a.article_id < b.article_id
-  WHERE abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 400 * 3600000000 GROUP BY 1, 2),
+  FROM ex a JOIN rare USING (token) JOIN ex b ON a.token = b.token AND a.event_type = b.event_type AND a.article_id < b.article_id
+  WHERE abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 48 * 3600000000 GROUP BY 1, 2),
+cl AS (SELECT article_id, len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] IN {MARKERS} AND coalesce(ws[i - 1], '') NOT IN {CONDITIONALS})) > 0 AS claim FROM tk),
 pr AS (
   SELECT a_id, b_id, n_rare, len(list_intersect(a.tokens, b.tokens)) AS sh, len(a.tokens) AS na, len(b.tokens) AS nb,
     CASE WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) END AS j,
-    a.source AS s1, b.source AS s2, a.event_type AS e1, b.event_type AS e2, a.sport AS p1, b.sport AS p2, a.title AS t1, b.title AS t2,
+    a.source AS s1, b.source AS s2, a.event_type AS e1, b.event_type AS e2, a.sport AS p1, b.sport AS p2, a.title AS t1, b.title AS t2, a.competition AS k1, b.competition AS k2, ca.claim AS c1, cb.claim AS c2,
     abs(epoch_us(a.published_at) - epoch_us(b.published_at)) / 3600000000.0 AS hours
-  FROM cand JOIN tk a ON a.article_id = a_id JOIN tk b ON b.article_id = b_id)"""
+  FROM cand JOIN tk a ON a.article_id = a_id JOIN tk b ON b.article_id = b_id JOIN cl ca ON ca.article_id = a_id JOIN cl cb ON cb.article_id = b_id)"""
 
 
 def query(name: str, sql: str | None = None):
@@ -77,8 +80,15 @@ def _us(c) -> F.Column:
 
 
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    art = articles(spark, sf_dir).withColumn("tokens", title_tokens(F.substring("text", 1, HEAD)))
-    return P.with_sides(P.candidate_pairs(art, widest_hours=400, block="lang"), art)
+    ws = F.filter(F.split(F.lower("title"), " "), lambda x: x != "")
+    art = articles(spark, sf_dir).select(
+        "article_id", "source", "event_type", "sport", "title",
+        F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60000000).alias("published_at"),
+        title_tokens(F.col("text")).alias("tokens"),
+        F.concat(F.lit("c"), (F.floor(F.col("doc_id") / 4) % 3).cast("string")).alias("competition"),
+        claimed(ws, MARKERS, CONDITIONALS).alias("claim"),
+    )
+    return P.with_sides(P.candidate_pairs(art), art)
 
 
 @query(
@@ -146,26 +156,26 @@ def jaccard_pairs(spark, sf_dir):
 
 
 _WINDOW = "CASE e1 " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WINDOW_HOURS.items()) + " ELSE 24 END"
-_NEVER = ", ".join(f"'{x}'" for x in NEVER_GROUPED)
+_LISTED = ", ".join(f"'{x}'" for x in WINDOW_HOURS)
 
 
 @query(
     "pair_verdict_reasons",
-    f"""WITH {PAIRS}, v AS (
-  SELECT CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 'C' ELSE 'B' END AS tier,
-    CASE WHEN s1 = s2 THEN 'same_source' WHEN e1 IN ({_NEVER}) OR e2 IN ({_NEVER}) THEN 'not_clusterable' WHEN e1 <> e2 THEN 'event_differs'
+    f"""WITH {PAIRS}, tr AS (SELECT *, CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 'C' WHEN k1 = k2 THEN 'A' ELSE 'B' END AS tier FROM pr), v AS (
+  SELECT tier,
+    CASE WHEN s1 = s2 THEN 'same_source' WHEN e1 NOT IN ({_LISTED}) OR e2 NOT IN ({_LISTED}) THEN 'not_clusterable' WHEN e1 <> e2 THEN 'event_differs' WHEN c1 <> c2 THEN 'claim_reversed'
       WHEN contains(lower(t1), 'live') OR contains(lower(t2), 'live') THEN 'in_play' WHEN hours > {_WINDOW} THEN 'outside_window'
-      WHEN p1 <> 'unknown' AND p2 <> 'unknown' AND p1 <> p2 THEN 'sport_differs' WHEN j < 0.35 THEN 'too_little_in_common'
-      WHEN n_rare < CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 2 ELSE 1 END THEN 'too_few_rare_words' END AS reason FROM pr)
+      WHEN p1 <> 'unknown' AND p2 <> 'unknown' AND p1 <> p2 THEN 'sport_differs' WHEN j < CASE tier WHEN 'A' THEN 0.30 ELSE 0.35 END THEN 'too_little_in_common'
+      WHEN n_rare < CASE tier WHEN 'C' THEN 2 ELSE 1 END THEN 'too_few_rare_words' END AS reason FROM tr)
 SELECT tier, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM v GROUP BY 1, 2""",
 )
 def pair_verdict_reasons(spark, sf_dir):
     return P.verdicts(_paired(spark, sf_dir)).groupBy("tier", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("republish_pairs", f"WITH {PAIRS} SELECT a_id, b_id FROM pr WHERE s1 = s2 AND e1 = e2 AND e1 <> 'news' AND hours <= 400 AND j >= 0.40 AND sh / greatest(least(na, nb), 1) >= 0.55 AND n_rare >= 2")
+@query("republish_pairs", f"WITH {PAIRS} SELECT a_id, b_id FROM pr WHERE s1 = s2 AND e1 = e2 AND e1 <> 'news' AND hours <= 6 AND j >= 0.40 AND sh / greatest(least(na, nb), 1) >= 0.55 AND n_rare >= 2")
 def republish_pairs(spark, sf_dir):
-    return P.republished(_paired(spark, sf_dir), hours=400).select("a_id", "b_id")
+    return P.republished(_paired(spark, sf_dir)).select("a_id", "b_id")
 
 
 def _components(spark, sf_dir):
@@ -282,14 +292,14 @@ def event_delta(spark, sf_dir):
 
 @query(
     "participant_intersection",
-    """WITH own AS (SELECT DISTINCT l_orderkey AS article_id, l_partkey % 12 AS entity FROM lineitem WHERE l_linenumber <= 2),
-mem AS (SELECT DISTINCT p_partkey % 12 AS entity, p_partkey % 5 AS competition FROM part WHERE p_partkey <= 30),
+    """WITH own AS (SELECT DISTINCT l_orderkey AS article_id, l_partkey % 2000 AS entity FROM lineitem),
+mem AS (SELECT DISTINCT p_partkey % 2000 AS entity, p_size % 3 AS competition FROM part),
 z AS (SELECT article_id, count(*) AS n FROM own GROUP BY 1 HAVING count(*) >= 2), c AS (SELECT article_id, competition FROM own JOIN mem USING (entity) JOIN z USING (article_id) GROUP BY article_id, competition, z.n HAVING count(*) = z.n)
 SELECT article_id, min(competition) AS competition FROM c GROUP BY article_id HAVING count(*) = 1""",
 )
 def participant_intersection(spark, sf_dir):
-    own = read(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("article_id"), (F.col("l_partkey") % 12).alias("entity"))
-    members = read(spark, sf_dir, "part").filter("p_partkey <= 30").select((F.col("p_partkey") % 12).alias("entity"), (F.col("p_partkey") % 5).alias("competition"))
+    own = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), (F.col("l_partkey") % 2000).alias("entity"))
+    members = read(spark, sf_dir, "part").select((F.col("p_partkey") % 2000).alias("entity"), (F.col("p_size") % 3).alias("competition"))
     return L.participants(own, members)
 
 
@@ -334,26 +344,30 @@ def failure_streak(spark, sf_dir):
 
 @query(
     "retention_plan",
-    f"""WITH {ART}, c AS (SELECT article_id, doc_id % 60 AS cluster_id, published_at >= TIMESTAMP '2024-02-01' - INTERVAL 14 DAYS AS f FROM art), live AS (SELECT DISTINCT cluster_id FROM c WHERE f), used AS (SELECT doc_id FROM labels WHERE toxic = 1)
-SELECT article_id, CASE WHEN f THEN 'fresh' WHEN live.cluster_id IS NOT NULL AND art.doc_id % 3 = 0 THEN 'live_cluster' WHEN used.doc_id IS NOT NULL THEN 'feedback' END AS retained_because
-FROM art JOIN c USING (article_id) LEFT JOIN live ON live.cluster_id = c.cluster_id LEFT JOIN used ON used.doc_id = art.doc_id""".replace("live AS (SELECT DISTINCT cluster_id FROM c WHERE f)", "live AS (SELECT DISTINCT cluster_id FROM c JOIN art USING (article_id) WHERE f AND doc_id % 3 = 0)"),
+    f"""WITH {ART}, c AS (SELECT article_id, doc_id, doc_id // 60 AS cluster_id, published_at >= TIMESTAMP '2024-01-15' - INTERVAL 14 DAYS AND doc_id % 60 <> 7 AS f, published_at FROM art),
+d AS (SELECT article_id, doc_id, cluster_id, CASE WHEN doc_id % 60 = 7 THEN published_at - INTERVAL 60 DAYS ELSE published_at - INTERVAL 10 DAYS END AS p FROM c),
+live AS (SELECT DISTINCT cluster_id FROM d WHERE p >= TIMESTAMP '2024-01-15' - INTERVAL 14 DAYS), used AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT article_id, CASE WHEN p >= TIMESTAMP '2024-01-15' - INTERVAL 14 DAYS THEN 'fresh' WHEN live.cluster_id IS NOT NULL THEN 'live_cluster' WHEN used.doc_id IS NOT NULL THEN 'feedback' END AS retained_because
+FROM d LEFT JOIN live USING (cluster_id) LEFT JOIN used USING (doc_id)""",
 )
 def retention_plan(spark, sf_dir):
     art = articles(spark, sf_dir)
-    members = art.filter("doc_id % 3 = 0").select("article_id", (F.col("doc_id") % 60).alias("cluster_id"))
+    back = F.when(F.col("doc_id") % 60 == 7, F.expr("INTERVAL 60 DAYS")).otherwise(F.expr("INTERVAL 10 DAYS"))
+    art = art.withColumn("published_at", F.col("published_at") - back)
+    members = art.select("article_id", F.floor(F.col("doc_id") / 60).alias("cluster_id"))
     used = art.join(read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    return A.retention(art, members, used, LATER, 14).select("article_id", "retained_because")
+    return A.retention(art, members, used, datetime(2024, 1, 15, tzinfo=timezone.utc), 14).select("article_id", "retained_because")
 
 
 @query(
     "outbox_new_stories",
-    """WITH s AS (SELECT 's' || doc_id AS story_id, doc_id AS first_at, unnest(range(doc_id, doc_id + 6)) AS article_id FROM documents WHERE doc_id % 4 = 0), told AS (SELECT doc_id FROM labels WHERE toxic = 1),
+    """WITH s AS (SELECT 's' || doc_id AS story_id, doc_id AS first_at, unnest(range(doc_id, doc_id + 6)) AS article_id FROM documents), told AS (SELECT doc_id FROM labels WHERE toxic = 1),
 gone AS (SELECT DISTINCT story_id FROM s JOIN told ON article_id = doc_id), n AS (SELECT * FROM s WHERE story_id NOT IN (SELECT story_id FROM gone)),
 f AS (SELECT article_id, min({'a': first_at, 'b': story_id}).b AS winner FROM n GROUP BY article_id), lose AS (SELECT DISTINCT story_id FROM n JOIN f USING (article_id) WHERE winner <> story_id)
 SELECT DISTINCT story_id FROM n WHERE story_id NOT IN (SELECT story_id FROM lose)""",
 )
 def outbox_new_stories(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("doc_id % 4 = 0")
+    d = read(spark, sf_dir, "documents")
     stories = d.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("story_id"), F.col("doc_id").alias("first_at"), F.sequence(F.col("doc_id"), F.col("doc_id") + 5).alias("members"))
     told = read(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("article_id"))
     return A.plan_stories(stories, told).select("story_id")
@@ -432,10 +446,10 @@ def catalog_search_topk(spark, sf_dir):
 
 @query(
     "age_histogram",
-    f"WITH {ART}, h AS (SELECT (epoch_us(TIMESTAMP '2024-01-05') - epoch_us(published_at)) / 3600000000.0 AS h FROM art WHERE published_at <= TIMESTAMP '2024-01-05') SELECT CASE WHEN h <= 12 THEN '0-12' WHEN h <= 24 THEN '12-24' WHEN h <= 36 THEN '24-36' ELSE '>36' END AS age, count(*) AS n FROM h GROUP BY 1",
+    f"WITH {ART}, h AS (SELECT (epoch_us(TIMESTAMP '2024-01-05') - epoch_us(published_at)) / 3600000000.0 AS h FROM art) SELECT CASE WHEN h < 0 THEN 'future' WHEN h <= 12 THEN '0-12' WHEN h <= 24 THEN '12-24' WHEN h <= 36 THEN '24-36' ELSE '>36' END AS age, count(*) AS n FROM h GROUP BY 1",
 )
 def age_histogram(spark, sf_dir):
-    return M.age_histogram(articles(spark, sf_dir).filter(F.col("published_at") <= F.lit(NOW)), hours_between(F.lit(NOW), F.col("published_at")))
+    return M.age_histogram(articles(spark, sf_dir), hours_between(F.lit(NOW), F.col("published_at")))
 
 
 @query(
