@@ -1,14 +1,20 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, units after numbers and names become typed placeholders, so a question with other parameters keeps its
-template.  Five-word windows of templates are hash-joined with those of the benchmark; windows on one alignment of a
-text with an item count only if the item's parameters map one to one to the text's.  Windows of raw words count as well,
-so copies match in any case and wrapping.  A text leaks an item if its windows make up at least 0.8 of the item's.
+template.  Five-word windows of templates and of raw words are hash-joined with those of the benchmark; template windows
+on one alignment of a text with an item count only if the text's parameters map one to one to the item's.  A text leaks
+an item if it meets at least 0.8 of the places at which the item has a window.
+
+Items of one template whose parameters repeat alike are one class, matched once however many items it has.  A text that
+leaks a class meets at least one of its probes, the fewest places that 0.8 cannot do without; so only texts that hold a
+probe's rarest word are looked at closely, and only pairs of a text and a class that share a probe's window are judged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, join_checked, table, written
@@ -36,9 +42,10 @@ PLAIN = (
     "le la les un une des il elle nous vous ils elles et ou mais si comment quand que qui quel quelle dans sur avec pour par "
     "el los las una unos unas yo ella ellos ellas y o pero como cuando quien cual en con por para"
 ).split()
-#: Quotes, dashes and other marks beside ASCII's.
-MARKS = "\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u201a\u00bf\u00a1\u2026\u2013\u2014"
+#: ASCII punctuation, and quotes, dashes and other marks, one by one so that the class is a bit set.
+MARKS = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2010-\u2027]"
 OPEN = r"[\"'(\[{\u00ab\u201c\u201e\u2018\u201a\u00bf\u00a1]*"
+SLOTS = (NUMBER, UNIT, NAME)
 
 
 def _spaced(text: Column) -> Column:
@@ -47,7 +54,7 @@ def _spaced(text: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.lower(text), rf"[!-/:-@\[-`{{-~{MARKS}]", ""), " ")
+    return F.split(F.regexp_replace(F.lower(text), MARKS, ""), " ")
 
 
 def template(text: Column) -> Column:
@@ -64,83 +71,122 @@ def raw_words(text: Column) -> Column:
     return _split(_spaced(text))
 
 
-def windows(frame: DataFrame, keys: list[str], size: int = WINDOW) -> DataFrame:
-    """keys, at and h of every window of the column ``words``; a text of fewer words has none."""
-    some = frame.filter(F.size("words") >= size)
-    return some.select(*keys, F.posexplode(_hashes("words", size)).alias("at", "h"))
-
-
-def _hashes(words: str, size: int, *seed: Column) -> Column:
-    w = F.col(words)
-    return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*seed, *[F.get(w, i + k) for k in range(size)]))
-
-
-def _both_windows(frame: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """keys, raw (whether of raw words), at and h of every window of the columns ``words`` and ``raw_words``."""
-    some = frame.filter(F.size("words") >= size)
-    hashes = F.concat(_hashes("words", size), _hashes("raw_words", size, F.lit("raw")))
-    n = F.size("words") - (size - 1)
-    each = some.select(*keys, n.alias("n"), F.posexplode(hashes).alias("place", "h"))
-    return each.select(*keys, (F.col("place") >= F.col("n")).alias("raw"), F.pmod("place", "n").alias("at"), "h")
+def _hash(kind: str, size, *words: Column) -> Column:
+    """The hash of a window; an array of words and as many columns hash alike."""
+    return F.xxhash64(F.lit(kind), F.lit(size).cast("int"), *words)
+
+
+def _held(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys and word of every word of ``text``, without punctuation."""
+    held = F.split(F.regexp_replace(F.lower("text"), MARKS, ""), f"[{SPACE}]+")
+    return texts.select(*keys, F.explode(held).alias("word"))
+
+
+def benchmark_places(benchmark: DataFrame, texts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """One row per item and place: item_id, class, place, s (words in the window), th and rh (hashes of the window of the
+    template and of raw words), literal (the template's window has a word of its own), slots (place in the window and
+    number of the parameter) and best (what a text must hold to meet the place: the window's rarest word in ``texts``).
+
+    An item of fewer words than ``size`` has one window of them all.  Places of punctuation alone are none."""
+    whole = F.trim(_spaced(F.col("text")))
+    items = benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", template(whole).alias("t"), raw_words(whole).alias("r")).distinct()
+    # Parameters are numbered by where they stand first, numbers, units and names apart.
+    typed = F.zip_with("t", "r", lambda t, r: F.when(t.isin(*SLOTS), F.concat(t, r)))
+    items = items.withColumn("typed", typed).withColumn("p", F.transform("typed", lambda v: F.coalesce(F.array_position("typed", v), F.lit(0))))
+    items = items.withColumn("class", F.md5(F.concat_ws("\x04", F.col("t"), F.col("p").cast("array<string>")))).withColumn("s", F.least(F.lit(size), F.size("t")))
+    each = items.select("item_id", "class", "t", "r", "p", "s", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("s"))).alias("place"))
+    cut = {c: F.slice(F.col(c), F.col("place") + 1, F.col("s")) for c in ("t", "r", "p")}
+    each = each.select("item_id", "class", "place", "s", *[v.alias(c) for c, v in cut.items()]).filter(F.exists("r", lambda w: w != ""))
+    own = F.filter("t", lambda w: (w != "") & ~w.isin(*SLOTS))
+    numbered = F.transform("p", lambda p, k: F.struct(k.alias("k"), p.alias("a")))
+    each = written(
+        each.select(
+            "item_id", "class", "place", "s", F.xxhash64(F.lit("t"), "s", "t").alias("th"), F.xxhash64(F.lit("r"), "s", "r").alias("rh"),
+            (F.size(own) > 0).alias("literal"), F.filter(numbered, lambda x: x["a"] > 0).alias("slots"),
+            F.array_distinct(F.when(F.size(own) > 0, own).otherwise(F.filter("r", lambda w: w != ""))).alias("words"),
+        )
+    )
+    words = each.select("item_id", "class", "place", F.explode("words").alias("word"))
+    vocabulary = written(words.select("word").distinct())
+    spread = written(join_checked(_held(texts), vocabulary, "word", "inner").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    ranked = join_checked(words, spread, "word").fillna(0, ["n"])
+    best = ranked.groupBy("item_id", "class", "place").agg(F.min(F.struct("n", "word")).alias("best"))
+    return each.drop("words").join(best, ["item_id", "class", "place"])
 
 
-def _slots(words: Column, raw: Column, at: Column, size: int) -> Column:
-    """(place in window, raw word) of the placeholders in the window at ``at``."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(k.alias("k"), F.get(words, at + k).alias("t"), F.get(raw, at + k).alias("v")))
-    return F.filter(each, lambda s: s["t"].isin(NUMBER, UNIT, NAME))
+def _windows(texts: DataFrame, size: int) -> DataFrame:
+    """who, at, r (raw words) and kind and h (hash of the template's or the raw window) of the windows of (who, t, r)."""
+    n = F.size("t") - (size - 1)
+    zipped = F.arrays_zip(*[F.slice(F.col(c), F.lit(k + 1), n).alias(f"{c}{k}") for c in ("t", "r") for k in range(size)])
+    each = texts.filter(F.size("t") >= size).select("who", F.posexplode(zipped).alias("at", "z"))
+    both = F.array(*[F.struct(F.lit(c).alias("kind"), _hash(c, size, *[F.col(f"z.{c}{k}") for k in range(size)]).alias("h")) for c in ("t", "r")])
+    return each.select("who", "at", F.array(*[F.col(f"z.r{k}") for k in range(size)]).alias("r"), F.inline(both))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """One row per text and item that it leaks: doc_id, item_id, n_windows (matched, distinct), coverage and kind
-    (``exact`` if all parameters are the item's, else ``reparameterised``).
-
-    ``docs`` has doc_id and text, ``benchmark`` item_id and text.  Null texts and items of fewer than ``size`` words
-    match nothing.  Repeated rows of a text give one row; rows with a null id are told apart by their text."""
-    # Which text: the id and, for null ids, the text itself.
-    who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text").cast("string")))
-    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id"), who.alias("who"), "text")
-    items = written(benchmark.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", F.col("text").alias("item_text")).distinct())
-    items = items.select(F.xxhash64("item_id", "item_text").alias("item"), "item_id", "item_text")
-    own = items.select("item", "item_id", template(F.trim(_spaced(F.col("item_text")))).alias("words"), raw_words(F.trim(_spaced(F.col("item_text")))).alias("raw_words"))
-    every = written(_both_windows(own, ["item", "item_id"], size).withColumnRenamed("at", "item_at"))
-    asked = every.filter("NOT raw").drop("raw")
-    per_item = written(asked.groupBy("item").agg(F.countDistinct("h").alias("n_item")))
-    seen = _both_windows(texts.select("doc_id", "who", template(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw_words")), ["doc_id", "who"], size)
-    hit = written(join_checked(seen.drop("raw"), every, "h", "inner").distinct())
-    met = hit.filter("NOT raw").drop("raw")
-    # A window of raw words stands for the item's template window at its place.
-    said = asked.select("item", "item_at", F.col("h").alias("item_h"))
-    as_is = join_checked(hit.filter("raw").select("doc_id", "who", "item", "item_id", "item_at").distinct(), said, ["item", "item_at"], "inner")
-    # Few texts meet a window; only theirs and those of items with placeholders are looked at again for parameters.
-    parts = items.select("item", template(F.trim(_spaced(F.col("item_text")))).alias("item_words"), raw_words(F.trim(_spaced(F.col("item_text")))).alias("item_raw"))
-    slotted = written(
-        asked.join(parts, "item").select("item", "item_at", _slots(F.col("item_words"), F.col("item_raw"), F.col("item_at"), size).alias("item_slots")).filter("size(item_slots) > 0")
-    )
-    with_slots = written(join_checked(met, slotted, ["item", "item_at"], "inner"))
-    candidates = written(with_slots.select("who").distinct())
-    again = join_checked(texts, candidates, "who", "inner").dropDuplicates(["who", "text"]).select("who", template(F.col("text")).alias("words"), raw_words(F.col("text")).alias("raw"))
-    places = with_slots.select("who", "item", "at", "item_at", "item_slots")
-    pairs = again.join(places, "who").select(
-        "who", "item", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(F.zip_with("item_slots", _slots(F.col("words"), F.col("raw"), F.col("at"), size), lambda a, b: F.struct(a["v"].alias("a"), b["v"].alias("b")))).alias("p")
-    )
-    pairs = pairs.select("who", "item", "shift", F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
-    by = ["who", "item", "shift"]
-    judged = written(
-        pairs.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), F.size(F.collect_set("a")).alias("na"), F.size(F.collect_set("b")).alias("nb"), F.max(F.when(~F.col("a").eqNullSafe(F.col("b")), 1).otherwise(0)).alias("other")
-        ).select(*by, ((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb"))).alias("consistent"), "other")
+    """One row per text and item that it leaks: doc_id, item_id, n_windows (places met), coverage and kind (``exact`` if
+    the text has the item's own parameters at all of them, else ``reparameterised``).
+
+    ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not looked at.  Null and empty texts
+    match nothing.  Repeated rows give one row; rows with a null id are told apart by their text.  Equal texts are
+    matched once.  A window of placeholders alone does not count for a template, or any three numbers would match."""
+    texts = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("who")).filter("text IS NOT NULL")
+    places = written(benchmark_places(benchmark, texts, size))
+    per_class = places.select("class", "place", "s", "th", "literal", "slots", "best").dropDuplicates(["class", "place"])
+    counts = written(per_class.groupBy("class").agg(F.count(F.lit(1)).alias("n_places")))
+    # Probes: without so many places no text reaches the share; those whose word is rarest.
+    order = Window.partitionBy("class").orderBy(F.col("best.n"), F.col("best.word"), "place")
+    fewest = F.col("n_places") - F.ceil(F.col("n_places") * share - 1e-9) + 1
+    probes = written(per_class.join(counts, "class").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fewest).select("class", "place"))
+    chosen = places.join(probes, ["class", "place"])
+    anchors = written(chosen.select(F.col("best.word").alias("word")).distinct())
+    near = written(join_checked(_held(texts, "doc_id", "who"), anchors, "word", "inner").select("doc_id", "who").distinct())
+    near_texts = join_checked(texts.select("who", "text"), written(near.select("who").distinct()), "who", "left_semi").dropDuplicates(["who"])
+    near_texts = near_texts.select("who", template(F.col("text")).alias("t"), raw_words(F.col("text")).alias("r"))
+
+    # What a class's windows say: template windows of the class, raw ones of the class or, with parameters, of an item.
+    item = F.when(F.size("slots") > 0, F.col("item_id"))
+    says = written(
+        per_class.filter("literal").select("class", "place", F.lit("t").alias("kind"), F.col("th").alias("h"), "slots", F.lit(None).cast(places.schema["item_id"].dataType).alias("item_id"))
+        .unionByName(places.select("class", "place", F.lit("r").alias("kind"), F.col("rh").alias("h"), "slots", item.alias("item_id")))
+        .distinct()
     )
-    lined = join_checked(met.withColumn("shift", F.col("at") - F.col("item_at")), judged, by)
-    # A place met both by template and as it is has no other parameters.
-    ways = lined.filter(F.coalesce("consistent", F.lit(True))).select("who", "item", "doc_id", "item_id", "h", F.coalesce("other", F.lit(0)).alias("other")).unionByName(
-        as_is.select("who", "item", "doc_id", "item_id", F.col("item_h").alias("h"), F.lit(0).alias("other"))
+    sizes = [r.s for r in places.select("s").distinct().collect()]  # at most ``size`` values
+    hit = None
+    if sizes:
+        near_texts = written(near_texts)
+        every = reduce(DataFrame.unionByName, [_windows(near_texts, k) for k in sizes])
+        hit = join_checked(every, written(says.select("kind", "h").distinct()), ["kind", "h"], "left_semi")
+    else:
+        hit = _windows(near_texts, size).limit(0)
+    hit = written(hit)
+    probed = written(says.join(probes, ["class", "place"], "left_semi").select("kind", "h", "class").distinct())
+    pairs = written(join_checked(hit.select("who", "kind", "h").distinct(), probed, ["kind", "h"], "inner").select("who", "class").distinct())
+    met = written(hit.join(pairs, "who").join(says, ["class", "kind", "h"]).withColumn("shift", F.col("at") - F.col("place")))
+
+    by = ["who", "class", "shift"]
+    told = met.filter("kind = 't'").select(*by, "r", F.explode("slots").alias("x")).select(*by, F.col("x.a").alias("a"), F.get("r", F.col("x.k")).alias("b")).distinct()
+    mixed = told.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb")).filter("n <> na OR n <> nb").select(*by)
+    spot = ["who", "class", "place"]
+    kept = met.filter("kind = 't'").join(mixed, by, "left_anti").select(*spot, "slots").unionByName(met.filter("kind = 'r' AND item_id IS NULL").select(*spot, "slots"))
+    common = written(kept.groupBy(*spot).agg((F.max(F.size("slots")) > 0).cast("int").alias("slotted")))
+    shared = written(common.groupBy("who", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("slotted").alias("slotted")))
+    own = met.filter("kind = 'r' AND item_id IS NOT NULL").select(*spot, "item_id").distinct().join(common.select(*spot, F.lit(0).alias("new")), spot, "left")
+    own = written(own.groupBy("who", "class", "item_id").agg(F.count(F.lit(1)).alias("as_is"), F.sum(F.coalesce("new", F.lit(1))).alias("new")))
+    # All items of a class that the text leaks by its template, and those whose own parameters it has.
+    members = written(places.select("class", "item_id").distinct())
+    enough = shared.join(counts, "class").filter(F.col("n") >= F.col("n_places") * share - 1e-9)
+    pool = join_checked(enough.select("who", "class"), members, "class", "inner").unionByName(own.select("who", "class", "item_id")).distinct()
+    judged = pool.join(shared, ["who", "class"], "left").join(own, ["who", "class", "item_id"], "left").join(counts, "class").fillna(0, ["n", "slotted", "as_is", "new"])
+    judged = judged.select("who", "item_id", "n_places", (F.col("n") + F.col("new")).alias("n"), (F.col("slotted") + F.col("new") == F.col("as_is")).alias("exact"))
+    found = written(judged.filter(F.col("n") >= F.col("n_places") * share - 1e-9))
+    apart = F.when(F.col("doc_id").isNull(), F.col("who"))
+    return (
+        join_checked(near, found, "who", "inner")
+        .groupBy("doc_id", apart.alias("apart"), "item_id")
+        .agg(F.max("n").alias("n_windows"), F.max(F.col("n") / F.col("n_places")).alias("coverage"), F.max("exact").alias("exact"))
+        .select("doc_id", "item_id", "n_windows", "coverage", F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
     )
-    each = ways.groupBy("who", "item", "h").agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.min("other").alias("other"))
-    whole = each.groupBy("who", "item").agg(F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_windows"), F.max("other").alias("other"))
-    found = join_checked(whole, per_item, "item", "inner").filter(F.col("n_windows") >= F.col("n_item") * share)
-    return found.groupBy("who", "doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("n_item")).alias("coverage"), F.min("other").alias("other")
-    ).select("doc_id", "item_id", "n_windows", "coverage", F.when(F.col("other") == 1, "reparameterised").otherwise("exact").alias("kind"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
