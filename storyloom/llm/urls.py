@@ -1,12 +1,15 @@
 """URL filters: hand-written host and path rules first, mined association rules for the rest.
 
 FP-growth over the tokens of labelled URLs gives token sets that occur with the block label; sets with enough support
-and confidence, and no weaker subset rule that is as confident, become rules.  A rule is indexed by its rarest token, so
+and confidence, more blocked URLs than chance explains among so many sets, and no smaller subset rule that is as
+confident, become rules.  A rule is indexed by its rarest token, so
 a URL is held only against rules one of whose tokens it has.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,24 +54,31 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, action
 
 
-def mine(labelled: DataFrame, min_share: float = 0.001, min_count: int = 8, min_confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, min_share: float = 0.001, min_count: int = 8, min_confidence: float = 0.5, chance: float = 0.05) -> DataFrame:
     """Rules (rule: sorted tokens, n: labelled URLs that have them all, n_block, confidence, anchor: the rarest token).
 
     ``labelled`` has url and block (boolean); null labels are left out.  A set needs at least ``min_count`` blocked URLs
-    and that share of all labelled ones.  A rule goes if one of its proper subsets is a rule of the same or a higher
+    and that share of all labelled ones, and more of them than the base rate p gives: by Chernoff's bound n URLs have a
+    confidence c by chance in exp(-n KL(c, p)) of cases at most, and times the number of sets that is to be at most
+    ``chance``.  A rule goes if one of its proper subsets is a rule of the same or a higher
     confidence.  No labelled rows give no rules."""
     baskets = written(labelled.filter("block IS NOT NULL").select(tokens(F.col("url")).alias("own"), "block"))
     total = baskets.count()
     schema = "rule array<string>, n long, n_block long, confidence double, anchor string"
     least = max(min_count, int(total * min_share))
-    if total == 0 or baskets.filter("block").count() < least:
+    blocked = baskets.filter("block").count()
+    if blocked < least:
         return labelled.sparkSession.createDataFrame([], schema)
     items = F.when(F.col("block"), F.concat("own", F.array(F.lit(BLOCK)))).otherwise(F.col("own"))
     model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=0.0).fit(baskets.select(items.alias("items")))
     sets = model.freqItemsets
     with_label = sets.filter(F.array_contains("items", BLOCK)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("rule"), F.col("freq").alias("n_block")).filter("size(rule) > 0 AND n_block >= 1")
     alone = sets.filter(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("rule"), F.col("freq").alias("n"))
-    found = with_label.join(alone, "rule").filter(F.col("n_block") >= least).withColumn("confidence", F.col("n_block") / F.col("n")).filter(F.col("confidence") >= min_confidence)
+    tried = written(with_label.filter(F.col("n_block") >= least))
+    found = tried.join(alone, "rule").withColumn("confidence", F.col("n_block") / F.col("n")).filter(F.col("confidence") >= min_confidence)
+    base = blocked / total
+    surprise = F.col("n_block") * F.log(F.col("confidence") / base) + F.when(F.col("n") > F.col("n_block"), (F.col("n") - F.col("n_block")) * F.log((1 - F.col("confidence")) / (1 - base))).otherwise(0.0)
+    found = found.filter((F.col("confidence") > base) & (surprise >= log(max(1, tried.count()) / chance)))
     found = written(found.select("rule", "n", "n_block", "confidence"))
     # Pruning: subsets of a rule meet it on one of its tokens.
     each = found.withColumn("token", F.explode("rule"))
@@ -154,12 +164,16 @@ lab AS (
   SELECT p.page_id, own.toks, (l.quality = 0 OR l.toxic = 1) AS block
   FROM p JOIN own USING (url) JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(\.[A-Za-z]+)?/?$', 1) AS BIGINT)
   WHERE (l.quality = 0 OR l.toxic = 1) IS NOT NULL
-), lim AS (SELECT greatest(8, CAST(floor(count(*) * 0.001) AS BIGINT)) AS least FROM lab),
+), lim AS (SELECT greatest(8, CAST(floor(count(*) * 0.001) AS BIGINT)) AS least, count(*) FILTER (block) / count(*) AS base FROM lab),
 subs AS (
   SELECT block, list_filter(toks, lambda x, i: (m >> (i - 1)) & 1 = 1) AS rule
   FROM lab, LATERAL (SELECT unnest(range(1, CAST(1 AS BIGINT) << len(toks))) AS m)
 ), cnt AS (SELECT rule, count(*) AS n, count(*) FILTER (block) AS nb FROM subs GROUP BY rule),
-good AS (SELECT rule, nb / n AS conf FROM cnt, lim WHERE nb >= least AND nb / n >= 0.6),
+tried AS (SELECT count(*) AS m FROM cnt, lim WHERE nb >= least),
+good AS (
+  SELECT rule, nb / n AS conf FROM cnt, lim, tried WHERE nb >= least AND nb / n >= 0.5 AND nb / n > base
+    AND nb * ln(nb / n / base) + CASE WHEN n > nb THEN (n - nb) * ln((1 - nb / n) / (1 - base)) ELSE 0 END >= ln(m / 0.05)
+),
 kept AS (
   SELECT rule, conf FROM good a WHERE NOT EXISTS (
     SELECT 1 FROM good b WHERE len(b.rule) < len(a.rule) AND b.conf >= a.conf AND list_has_all(a.rule, b.rule))
