@@ -8,6 +8,7 @@ shared folder, one record per row of Spark's text writer, and are parsed again b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,8 @@ TIERS = ((1 << 14, 4096), (1 << 18, 256), (1 << 22, 16), (None, 1))
 
 
 def with_heads(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes and payload_digest of every page; null html is the empty payload."""
+    """page_id, url, payload, payload_bytes, payload_digest and row (a number of its own for every row, the same whenever
+    the table is read again in the same parts) of every page; null html is the empty payload."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     return pages.select(
         F.col("page_id").cast("long"),
@@ -29,46 +31,59 @@ def with_heads(pages: DataFrame) -> DataFrame:
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload.cast("binary"), 256).alias("payload_digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def originals(heads: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """One row per digest that occurs more than once: payload_digest and the smallest page_id (original)."""
+    """One row per digest that occurs more than once: payload_digest, the smallest page_id (original), and the URL and row
+    of that response (the first of repeated ones)."""
     return (
         heads.filter(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("payload_digest", "original")
+        .select("payload_digest", F.col("first.page_id").alias("original"), F.col("first.row").alias("original_row"), F.col("first.url").alias("original_url"))
     )
 
 
-def _record() -> F.Column:
+def _uri(url: str) -> F.Column:
+    """A line end inside a URL would end its header line."""
+    return F.regexp_replace(url, r"[\r\n]", " ")
+
+
+def _record_id(page: str, url: str, row: str) -> F.Column:
+    key = F.md5(F.concat_ws("|", F.col("payload_digest"), F.col(page).cast("string"), _uri(url), F.col(row).cast("string")).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
+def _record(date: str) -> F.Column:
     """A whole WARC record but for the two line ends after it, which the writer puts between rows."""
     size = F.col("payload_bytes").cast("string")
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF * 2)
     )
     block = F.when(F.col("revisit"), F.lit("")).otherwise(F.concat(http, F.col("payload")))
-    # A line end inside a URL would end its header line.
-    uri = F.regexp_replace("url", r"[\r\n]", " ")
-    key = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), uri).cast("binary"))
-    uuid = F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    # The page headers are extensions, by which the archives are read back.
     revisit = F.concat(
-        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To-Page: "),
+        F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "),
+        _record_id("original", "original_url", "original_row"),
+        F.lit(CRLF + "WARC-Refers-To-Target-URI: "),
+        _uri("original_url"),
+        F.lit(f"{CRLF}WARC-Refers-To-Date: {date}{CRLF}WARC-Refers-To-Page: "),
         F.col("original").cast("string"),
         F.lit(CRLF),
     )
     return F.concat(
         F.lit("WARC/1.1" + CRLF + "WARC-Type: "),
         F.when(F.col("revisit"), "revisit").otherwise("response"),
-        F.lit(CRLF + "WARC-Record-ID: <urn:uuid:"),
-        uuid,
-        F.lit(">" + CRLF + "WARC-Date: 2024-01-01T00:00:00Z" + CRLF + "WARC-Page-ID: "),
+        F.lit(CRLF + "WARC-Record-ID: "),
+        _record_id("page_id", "url", "row"),
+        F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Page-ID: "),
         page,
         F.lit(CRLF + "WARC-Target-URI: "),
-        uri,
+        _uri("url"),
         F.lit(CRLF + "WARC-Payload-Digest: sha256:"),
         F.col("payload_digest"),
         F.lit(CRLF),
@@ -80,15 +95,17 @@ def _record() -> F.Column:
     )
 
 
-def write_archives(pages: DataFrame, least_bytes: int = 100) -> str:
-    """Write deduplicated archives of ``pages`` (page_id, url, html) and return their folder.
+def write_archives(pages: DataFrame, least_bytes: int = 100, at: datetime | None = None) -> str:
+    """Write deduplicated archives of ``pages`` (page_id, url, html), dated ``at`` (now, if not given), and return their
+    folder.  Every record has an id of its own, repeated rows too; revisits name their response's id, URL and date.
 
     Rows with the smallest id of a digest are responses, repeated rows of it included; a null id never beats another
     id.  An empty table gives an empty folder.
     """
     spark, path = pages.sparkSession, scratch(pages.sparkSession)
+    date = (at or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = with_heads(pages)
-    firsts = written(originals(heads.select("page_id", "payload_bytes", "payload_digest"), least_bytes))
+    firsts = written(originals(heads.drop("payload"), least_bytes))
     decided = join_checked(heads, firsts, "payload_digest")
     decided = decided.withColumn(
         "revisit", F.coalesce((F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original")) & F.col("original").isNotNull(), F.lit(False))
@@ -99,7 +116,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 100) -> str:
         if low <= largest:
             size = F.col("payload_bytes")
             part = decided.filter((size >= low) & (size < below if below else F.lit(True)))
-            part.select(_record().alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/from-{low}")
+            part.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/from-{low}")
         low = below or low
     return path
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from storyloom.llm import warc as W
 
@@ -23,8 +24,14 @@ def test_round_trip(spark):
     path = W.write_archives(pages)
     got = sorted((tuple(r) for r in W.read_archives(spark, path).collect()), key=repr)
     assert got == brute(rows)
-    text = "".join(r.value for r in spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).collect())
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    text = "".join(bytes(r.content).decode() for r in files.collect())
     assert text.count(BIG) == 1  # kept once
+    ids = re.findall(r"(?<=\nWARC-Record-ID: )<urn:uuid:[0-9a-f-]{36}>", text)
+    assert len(ids) == len(set(ids)) == len(rows)  # repeated rows have ids of their own
+    refers = re.findall(r"WARC-Refers-To: (\S+)\r\nWARC-Refers-To-Target-URI: [^\r]*\r\nWARC-Refers-To-Date: ([0-9TZ:-]{20})\r\n", text)
+    responses = set(re.findall(r"WARC-Type: response\r\nWARC-Record-ID: (\S+)\r\n", text))
+    assert len(refers) == sum(r[3] == "revisit" for r in got) and {i for i, _ in refers} <= responses
 
 
 def test_empty(spark):
