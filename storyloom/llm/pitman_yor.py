@@ -1,23 +1,31 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Words come from one restaurant whose tables draw their dishes from a spelling model: byte restaurants in the context of
-one, two and three preceding bytes (the farther ones by class), each sharing its parent with all contexts that end
+A word comes from the restaurant of the word before it (of the end, at the start of a text).  The tables of all these
+draw their dishes from one word restaurant that they share as parent, and the tables of that from a spelling model: byte
+restaurants in the context of one, two and three preceding bytes (the farther ones by class), each sharing its parent with all contexts that end
 alike, down to a root over all bytes.  Numbers of tables are sampled by Gibbs moves of single customers, with seatings
 at the tables summed out (a moved customer had opened its table with a ratio of generalised Stirling numbers), and
 predictive probabilities are averaged over samples.
 
-Texts are dealt to chunks and words to shards, both in number proportional to the input.  A chunk asks the shards for
-its distinct words, with its training counts; shards add counts up, hold the word restaurant and answer each chunk.  The
-spelling model has at most 65,536 contexts of 226 symbols however large the corpus is; it alone passes the driver.
+Texts are dealt to chunks, words and pairs of words to shards, both in number proportional to the input.  A chunk asks
+the shards for its distinct words and pairs, with its training counts.  Pairs are dealt on a grid, by the class of the
+context and the class of the word, so that neither a frequent context nor a frequent word lands in one shard.  A shard of
+pairs samples its seatings with a word restaurant of its own class of words as parent, answers each chunk and tells the
+shards of words how many customers fewer than tokens their words have, and how many tables fewer than customers their
+restaurants.  Shards of words add counts up, hold the word restaurant and answer each chunk.  The spelling model has at
+most 65,536 contexts of 226 symbols however large the corpus is; it alone passes the driver.
+
+In pairs a word is known by its class and 32 more bits of its hash, and words that agree there are one.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +39,8 @@ SYMBOLS = 256 - 26 - 6 + 1
 DISCOUNT = (0.4, 0.5, 0.6, 0.7)
 STRENGTH = (1.0, 1.0, 2.0, 2.0)
 WORD_STRENGTH = 10.0
+#: Of the restaurants in the context of a word.
+PAIR_DISCOUNT, PAIR_STRENGTH = 0.8, 1.0
 BURN, SAMPLES, MOVES = 6, 8, 4
 STIRLING = 160
 
@@ -166,8 +176,10 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), b""]
 
 
-def shard_of(word: bytes, shards: int) -> int:
-    return zlib.crc32(word) % shards
+def codes(words: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its class, one of ``side``, and the code that tells it from others of the class."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return (h % np.uint64(side)).astype(np.int64), ((h // np.uint64(side)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -187,27 +199,141 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
-def by_shard(words, shards: int) -> dict[int, list[bytes]]:
+def by_shard(words, side: int) -> dict[int, list[bytes]]:
+    ordered = sorted(words)
+    kind, code = codes(ordered, side)
     out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        out.setdefault(shard_of(w, shards), []).append(w)
+    for w, s in zip(ordered, (kind * side + code % side).tolist()):
+        out.setdefault(s, []).append(w)
     return out
 
 
-def _ask(shards: int):
+def tokens_of(texts: list[list[bytes]], at: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For texts laid end to end: each token's number, and that of the token before it (the end, for a first one)."""
+    now = np.fromiter((at[w] for ws in texts for w in ws), np.int64, sum(map(len, texts)))
+    before = np.roll(now, 1)
+    if len(now):
+        before[0] = at[b""]  # every text closes with the end
+    return before, now
+
+
+class Pairs:
+    """The distinct pairs of a chunk in the order in which shards are asked for them."""
+
+    def __init__(self, before: np.ndarray, now: np.ndarray, words: list[bytes], side: int):
+        self.size = max(1, len(words))
+        self.keys = np.unique(before * self.size + now)
+        kind, code = codes(words, side)
+        context, word = self.keys // self.size, self.keys % self.size
+        shard = kind[word] * side + kind[context]
+        self.order = np.lexsort((code[context], code[word], shard))
+        shard = shard[self.order]
+        self.shards, start = np.unique(shard, return_index=True)
+        self.parts = np.split(np.arange(len(shard)), start[1:])
+        self.context, self.word = code[context][self.order], code[word][self.order]
+
+    def find(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The places of pairs in the order of asking."""
+        place = np.empty(len(self.keys), np.int64)
+        place[self.order] = np.arange(len(self.keys))
+        return place[np.searchsorted(self.keys, before * self.size + now)]
+
+
+def pack_pairs(word: np.ndarray, context: np.ndarray, count: np.ndarray) -> bytes:
+    """``word`` is ascending and stored as steps."""
+    step = np.diff(word, prepend=0).astype("<u4")
+    planes = [step.view(np.uint8).reshape(-1, 4).T.ravel(), context.astype("<u4").view(np.uint8), count.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()]
+    return zlib.compress(b"".join(p.tobytes() for p in planes), 1)
+
+
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1)
+    step, count = (np.ascontiguousarray(raw[i].reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for i in (0, 2))
+    return np.cumsum(step), raw[1].view("<u4").astype(np.int64), count
+
+
+ASKED = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("pairs", pa.binary())])
+
+
+def _ask(side: int):
     def run(t: pa.Table) -> pa.Table:
-        learned, seen = Counter(), set()
+        texts = {True: [], False: []}
         for text, learn in zip(t["text"].to_pylist(), t["learn"].to_pylist()):
-            ws = words_of(text)
-            learned.update(ws) if learn else seen.update(ws)
-        chunk, rows = t["chunk"][0].as_py(), []
-        for shard, ws in by_shard(seen.union(learned), shards).items():
-            rows.append((shard, chunk, pack_words(ws), pack(np.array([learned[w] for w in ws], "<i8"))))
-        return pa.table(dict(zip(("shard", "chunk", "words", "counts"), zip(*rows))), schema=pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
+            texts[bool(learn)].append(words_of(text))
+        parts = by_shard({w for some in texts.values() for ws in some for w in ws}, side)
+        words = [w for ws in parts.values() for w in ws]
+        at = dict(zip(words, range(len(words))))
+        learned, others = tokens_of(texts[True], at), tokens_of(texts[False], at)
+        tokens = np.bincount(learned[1], minlength=len(words))
+        pairs = Pairs(*(np.concatenate(x) for x in zip(learned, others)), words, side)
+        count = np.bincount(pairs.find(*learned), minlength=len(pairs.keys))
+        asked = {s: pack_pairs(pairs.word[i], pairs.context[i], count[i]) for s, i in zip(pairs.shards.tolist(), pairs.parts)}
+        chunk, first, rows = t["chunk"][0].as_py(), 0, []
+        for shard in [*parts, *(asked.keys() - parts.keys())]:
+            ws = parts.get(shard, [])
+            rows.append((shard, chunk, pack_words(ws) if ws else None, pack(tokens[first : first + len(ws)].astype("<i8")), asked.get(shard)))
+            first += len(ws)
+        return pa.table(dict(zip(ASKED.names, zip(*rows))), schema=ASKED)
+
+    return run
+
+
+def _seat_pairs(side: int, d: float):
+    """Seat the pairs of a shard; rows for chunks (discounted counts of the pairs asked for) and for shards of words."""
+
+    def run(t: pa.Table) -> pa.Table:
+        shard, asked = t["shard"][0].as_py(), [unpack_pairs(x.as_py()) for x in t["pairs"]]
+        word, context, count = (np.concatenate(x) for x in zip(*asked))
+        keys, at = np.unique((word.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64), return_inverse=True)
+        n = np.bincount(at, count, len(keys)).astype(np.int64)
+        mean, last, rows = np.minimum(n, 1).astype(float), np.minimum(n, 1), []
+        seen = np.flatnonzero(n)
+        words, dish = np.unique((keys[seen] >> np.uint64(32)).astype(np.int64), return_inverse=True)
+        rooms, room = np.unique((keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+        if len(seen):
+            many = np.flatnonzero(n[seen] > 1)  # a single customer has one table
+            rng = np.random.default_rng(shard)
+            seats, tables = Seating(n[seen][many], PAIR_DISCOUNT, rng), np.ones(len(seen), np.int64)
+            parent = Seating(np.bincount(dish, tables, len(words)), d, rng)
+            total = np.zeros(len(many))
+            for step in range(BURN + SAMPLES):
+                parent.refill(np.bincount(dish, tables, len(words)))
+                upper = (WORD_STRENGTH + d * parent.t.sum()) / len(words)
+                if step == 0:
+                    parent.start(np.full(len(words), upper))
+                parent.move(np.full(len(words), upper))
+                chance = (parent.n - d * parent.t + upper) / (WORD_STRENGTH + parent.n.sum())
+                for k in range(MOVES):
+                    pull = (PAIR_STRENGTH / side + PAIR_DISCOUNT * np.bincount(room, tables, len(rooms))[room[many]]) * chance[dish[many]]
+                    if step == 0 and k == 0:
+                        seats.start(pull)
+                    seats.move(pull)
+                    tables[many] = seats.t
+                if step >= BURN:
+                    total += seats.t / SAMPLES
+            last[seen], mean[seen[many]] = tables, total
+            for role, names, row, less in ((1, words, dish, n[seen] - last[seen]), (2, rooms, room, n[seen] - mean[seen])):
+                cut = np.bincount(row, less, len(names))
+                some = np.flatnonzero(cut)
+                kind = shard // side if role == 1 else shard % side
+                to = names[some] % side
+                for k in np.unique(to).tolist():
+                    i = some[to == k]
+                    rows.append((role, kind * side + k, shard, pack(names[i].astype("<u4")), pack(cut[i].astype("<f8"))))
+        left = (n - PAIR_DISCOUNT * mean).astype("<f4")
+        first = 0
+        for chunk, (w, _, _) in zip(t["chunk"].to_pylist(), asked):
+            rows.append((0, chunk, shard, None, pack(left[at[first : first + len(w)]])))
+            first += len(w)
+        return pa.table(dict(zip(PAIRED.names, zip(*rows))), schema=PAIRED)
 
     return run
 
 
+PAIRED = pa.schema([("role", pa.int64()), ("key", pa.int64()), ("shard", pa.int64()), ("codes", pa.binary()), ("data", pa.binary())])
+PAIRED_SQL = "role long, key long, shard long, codes binary, data binary"
+
+
 def _merge(t: pa.Table) -> pa.Table:
     total: dict[bytes, int] = {}
     for data, counts in zip(t["words"], t["counts"]):
@@ -228,14 +354,49 @@ def _merge(t: pa.Table) -> pa.Table:
     )
 
 
-VOCABULARY = "shard long, words binary, counts binary, tokens long, types long, ones long, twos long"
+MERGED = "shard long, words binary, counts binary, tokens long, types long, ones long, twos long"
+
+
+def _seated_customers(side: int):
+    """Of a shard's words: customers in the word restaurant, and tables in the restaurant of the context they are."""
+
+    def run(t: pa.Table, told: pa.Table) -> pa.Table:
+        words = unpack_words(t["words"][0].as_py())[0] if t["words"][0].as_py() else []
+        count = unpack(t["counts"][0].as_py(), "<i8")
+        code, less = codes(words, side)[1], {1: np.zeros(len(words)), 2: np.zeros(len(words))}
+        for role in (1, 2):
+            mine = [(unpack(c.as_py(), "<u4"), unpack(x.as_py(), "<f8")) for r, c, x in zip(told["role"].to_pylist(), told["codes"], told["data"]) if r == role]
+            if mine and len(words):
+                names, at = np.unique(np.concatenate([c for c, _ in mine]).astype(np.int64), return_inverse=True)
+                cut = np.bincount(at, np.concatenate([x for _, x in mine]))
+                i = np.minimum(np.searchsorted(names, code), len(names) - 1)
+                less[role] = np.where(names[i] == code, cut[i], 0.0)
+        customers = np.clip(np.rint(count - less[1]), 1, None).astype("<i8")
+        tables = np.clip(count - less[2], 0, None).astype("<f4")
+        return pa.table(
+            {
+                "shard": t["shard"],
+                "words": t["words"],
+                "counts": t["counts"],
+                "customers": pa.array([pack(customers)], pa.binary()),
+                "tables": pa.array([pack(tables)], pa.binary()),
+                "seated": pa.array([int(customers.sum())], pa.int64()),
+                "ones": pa.array([int((customers == 1).sum())], pa.int64()),
+                "twos": pa.array([int((customers == 2).sum())], pa.int64()),
+            }
+        )
+
+    return run
+
+
+VOCABULARY = "shard long, words binary, counts binary, customers binary, tables binary, seated long, ones long, twos long"
 
 
 def _seat_words(spelling: Spelling | None, d: float, tables: float):
     """Tables of a shard's words, averaged over samples and as last sampled; without a spelling model, one each."""
 
     def run(t: pa.Table) -> pa.Table:
-        shard, data, counts = (t[c][0].as_py() for c in ("shard", "words", "counts"))
+        shard, data, counts = (t[c][0].as_py() for c in ("shard", "words", "customers"))
         n = unpack(counts, "<i8")
         if not len(n):
             keys, weights, mean, mass = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0.0
@@ -274,54 +435,69 @@ def _seat_words(spelling: Spelling | None, d: float, tables: float):
 SEATED = "shard long, mean binary, tables double, mass double, keys array<long>, weights array<long>"
 
 
-def _answer(spelling: Spelling, d: float, tokens: int, tables: float, mass: float):
+TOLD = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("chance", pa.binary()), ("count", pa.binary()), ("tables", pa.binary())])
+
+
+def _answer(spelling: Spelling, d: float, seated: int, tables: float, mass: float):
     # What the spelling model leaves to words that were not learned is one outcome, as it is in the base score.
-    unknown = np.log10((WORD_STRENGTH + d * tables) * max(1e-9, 1 - mass) / (WORD_STRENGTH + tokens))
+    unknown = (WORD_STRENGTH + d * tables) * max(1e-9, 1 - mass) / (WORD_STRENGTH + seated)
 
     def run(asked: pa.Table, vocabulary: pa.Table) -> pa.Table:
         at: dict[bytes, int] = {}
-        count = chance = np.zeros(0)
+        # The last place is that of words that were not learned.
+        count, chance, rooms = np.zeros(1, "<i8"), np.full(1, unknown), np.zeros(1)
         if vocabulary.num_rows and vocabulary["words"][0].as_py():
             known, joined = unpack_words(vocabulary["words"][0].as_py())
             at = dict(zip(known, range(len(known))))
-            count, mean = unpack(vocabulary["counts"][0].as_py(), "<i8"), unpack(vocabulary["mean"][0].as_py(), "<f8")
-            chance = (count - d * mean + (WORD_STRENGTH + d * tables) * np.exp(spelling.words(joined))) / (WORD_STRENGTH + tokens)
+            c, n, mean, t = (unpack(vocabulary[x][0].as_py(), k) for x, k in (("counts", "<i8"), ("customers", "<i8"), ("mean", "<f8"), ("tables", "<f4")))
+            found = (n - d * mean + (WORD_STRENGTH + d * tables) * np.exp(spelling.words(joined))) / (WORD_STRENGTH + seated)
+            count, chance, rooms = np.append(c, 0), np.append(found, unknown), np.append(t, 0.0)
         rows = []
         for chunk, data in zip(asked["chunk"].to_pylist(), asked["words"]):
-            ws = unpack_words(data.as_py())[0]
-            i = np.array([at.get(w, -1) for w in ws])
-            score, c = np.full(len(ws), unknown), np.zeros(len(ws), "<i8")
-            if len(count):
-                score, c = np.where(i >= 0, np.log10(chance[i]), unknown), np.where(i >= 0, count[i], 0)
-            rows.append((chunk, asked["shard"][0].as_py(), pack(score.astype("<f4")), pack(c.astype("<i8"))))
-        return pa.table(dict(zip(("chunk", "shard", "score", "count"), zip(*rows))) if rows else {"chunk": [], "shard": [], "score": [], "count": []}, schema=pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("score", pa.binary()), ("count", pa.binary())]))
+            i = np.array([at.get(w, -1) for w in unpack_words(data.as_py())[0]])
+            rows.append((chunk, asked["shard"][0].as_py(), pack(chance[i].astype("<f4")), pack(count[i].astype("<i8")), pack(rooms[i].astype("<f4"))))
+        return pa.table(dict(zip(TOLD.names, zip(*rows))) if rows else {c: [] for c in TOLD.names}, schema=TOLD)
 
     return run
 
 
-def _score(shards: int, tokens: int, types: int):
+def _score(side: int, tokens: int, types: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [words_of(x) for x in t["text"].to_pylist()]
-        parts = by_shard(set().union(*texts), shards)
-        told = {s: (unpack(a.as_py(), "<f4"), unpack(c.as_py(), "<i8")) for s, a, c in zip(answers["shard"].to_pylist(), answers["score"], answers["count"])}
-        at = {w: i for i, w in enumerate(w for ws in parts.values() for w in ws)}
-        score = np.concatenate([told[s][0] for s in parts] or [np.zeros(0)]).astype(float)
-        count = np.concatenate([told[s][1] for s in parts] or [np.zeros(0, np.int64)])
-        base = np.log10((count + 1) / (tokens + types + 1))
-        found = [np.fromiter(map(at.__getitem__, ws), np.int64, len(ws)) for ws in texts]
+        parts = by_shard(set().union(*texts), side)
+        words = [w for ws in parts.values() for w in ws]
+        before, now = tokens_of(texts, dict(zip(words, range(len(words)))))
+        pairs, told, left = Pairs(before, now, words, side), {}, {}
+        for s, p, c, r, x in zip(answers["shard"].to_pylist(), *(answers[k] for k in ("chance", "count", "tables", "data"))):
+            if x.is_valid:
+                left[s] = unpack(x.as_py(), "<f4")
+            else:
+                told[s] = unpack(p.as_py(), "<f4"), unpack(c.as_py(), "<i8"), unpack(r.as_py(), "<f4")
+        chance, count, tables = (np.concatenate([told[s][k] for s in parts] or [np.zeros(0)]) for k in range(3))
+        own = np.concatenate([left[s] for s in pairs.shards.tolist()] or [np.zeros(0)]).astype(float)[pairs.find(before, now)]
+        upper = (PAIR_STRENGTH + PAIR_DISCOUNT * tables.astype(float)[before]) * chance.astype(float)[now]
+        score = np.log10((own + upper) / (PAIR_STRENGTH + count[before]))
+        base = np.log10((count[now] + 1) / (tokens + types + 1))
+        length = np.array([len(ws) for ws in texts], np.int64)
+        start = np.cumsum(length) - length  # no text is without a token
+        add = lambda x: np.add.reduceat(x, start) if len(start) else x
         return pa.table(
             {
                 "doc_id": t["doc_id"],
-                "n_tokens": pa.array([len(i) for i in found], pa.int64()),
-                "n_known": pa.array([int((count[i] > 0).sum()) for i in found], pa.int64()),
-                "base_score": pa.array([float(base[i].sum()) for i in found], pa.float64()),
-                "score": pa.array([float(score[i].sum()) for i in found], pa.float64()),
+                "n_tokens": pa.array(length, pa.int64()),
+                "n_known": pa.array(add((count[now] > 0).astype(np.int64)), pa.int64()),
+                "base_score": pa.array(add(base), pa.float64()),
+                "score": pa.array(add(score), pa.float64()),
             }
         )
 
     return run
 
 
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.1, (ones + 1) / (ones + 2 * twos + 2)))
+
+
 def _spelling(seated: DataFrame, seed: int) -> Spelling:
     """The spelling model of all shards' tables: at most 65,536 contexts of 226 symbols, whatever the corpus."""
     rows = (
@@ -341,26 +517,35 @@ def score_texts(docs: DataFrame, learn: Column, rounds: int = 2) -> DataFrame:
     The model learns from the rows where ``learn`` holds.  A null text is empty: its only token is the end.  Repeated
     rows count and are scored each.  All words that were not learned are one outcome, whose probability is what the word
     restaurant leaves to its parent times what the spelling model leaves to unlearned words; if nothing was learned it is
-    the only one."""
+    the only one.  After a word that was not learned the word restaurant decides."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), learn.alias("learn"))
     size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     chunks = max(1, (size[0] or 0) // CHUNK_BYTES + size[1] // 500_000)
+    side = math.isqrt(chunks - 1) + 1  # shards are the squares of a grid of this side
     texts = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
-    asked = written(texts.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(_ask(chunks), "shard long, chunk long, words binary, counts binary"))
-    vocabulary = written(asked.groupBy("shard").applyInArrow(_merge, VOCABULARY))
-    tokens, types, ones, twos = (int(x or 0) for x in vocabulary.agg(*[F.sum(c) for c in ("tokens", "types", "ones", "twos")]).first())
-    d = min(0.95, max(0.1, (ones + 1) / (ones + 2 * twos + 2)))
-    seated = written(vocabulary.groupBy("shard").applyInArrow(_seat_words(None, d, types), SEATED))
-    spelling, tables = _spelling(seated, 0), float(types)
+    asked = written(texts.select("chunk", "text", "learn").groupBy("chunk").applyInArrow(_ask(side), "shard long, chunk long, words binary, counts binary, pairs binary"))
+    spoken = asked.filter("words IS NOT NULL")
+    merged = written(spoken.select("shard", "words", "counts").groupBy("shard").applyInArrow(_merge, MERGED))
+    tokens, types, ones, twos = (int(x or 0) for x in merged.agg(*[F.sum(c) for c in ("tokens", "types", "ones", "twos")]).first())
+    paired = written(asked.filter("pairs IS NOT NULL").select("shard", "chunk", "pairs").groupBy("shard").applyInArrow(_seat_pairs(side, _discount(ones, twos)), PAIRED_SQL))
+    told = paired.filter("role > 0").select(F.col("key").alias("shard"), "role", "codes", "data")
+    vocabulary = written(merged.select("shard", "words", "counts").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_seated_customers(side), VOCABULARY))
+    customers, ones, twos = (int(x or 0) for x in vocabulary.agg(*[F.sum(c) for c in ("seated", "ones", "twos")]).first())
+    d = _discount(ones, twos)
+    seats = vocabulary.select("shard", "words", "customers").groupBy("shard")
+    spelling, tables = _spelling(written(seats.applyInArrow(_seat_words(None, d, types), SEATED)), 0), float(types)
     for k in range(rounds):
-        seated = written(vocabulary.groupBy("shard").applyInArrow(_seat_words(spelling, d, tables), SEATED))
+        seated = written(seats.applyInArrow(_seat_words(spelling, d, tables), SEATED))
         tables, mass = (x or 0.0 for x in seated.agg(F.sum("tables"), F.sum("mass")).first())
         if k + 1 < rounds:
             spelling = _spelling(seated, k + 1)
-    model = vocabulary.join(seated.select("shard", "mean"), "shard").select("shard", "words", "counts", "mean")
-    told = asked.select("shard", "chunk", "words").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answer(spelling, d, tokens, tables, mass), "chunk long, shard long, score binary, count binary")
-    scored = texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        _score(chunks, tokens, types), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    model = vocabulary.join(seated.select("shard", "mean"), "shard").select("shard", "words", "counts", "customers", "tables", "mean")
+    answers = spoken.select("shard", "chunk", "words").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(
+        _answer(spelling, d, customers, tables, mass), "chunk long, shard long, chance binary, count binary, tables binary"
+    )
+    answers = answers.unionByName(paired.filter("role = 0").select(F.col("key").alias("chunk"), "shard", "data"), allowMissingColumns=True)
+    scored = texts.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _score(side, tokens, types), "doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

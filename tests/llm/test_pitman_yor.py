@@ -38,12 +38,44 @@ def test_base_columns_against_brute_force(spark, monkeypatch):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
-def test_probabilities_sum_to_one(spark):
-    words = ["aa", "ab", "b", "the"]
-    rows = [(1, "aa aa ab the the the b the"), (2, "aa"), (3, "ab"), (4, "b"), (5, "the"), (6, "new"), (7, None)]
-    got = {r.doc_id: 10**r.score for r in H.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 1).collect()}
-    end = got[7]
-    assert math.isclose(sum(got[i] / end for i in (2, 3, 4, 5, 6)) + end, 1, rel_tol=1e-4), (words, got)
+def test_probabilities_sum_to_one(spark, monkeypatch):
+    """From scores of texts of no, one and two words: what follows the start and each word sums to one."""
+    monkeypatch.setattr(H, "CHUNK_BYTES", 40)  # several chunks, shards and classes
+    words = ["aa", "ab", "b", "the", "new"]
+    texts = ["", *words, *(f"{u} {w}" for u in words for w in words)]
+    rows = [(0, "aa aa ab the the the b the aa ab the aa ab")] + list(enumerate(texts, 1))
+    got = {r.doc_id: 10**r.score for r in H.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 0).collect()}
+    p = {t: got[i] for i, t in enumerate(texts, 1)}
+    # p("u w") / p("w") is first(u) * next(w | u) / first(w), p("u") is first(u) * end(u): with what follows u summing to
+    # one, first(u) = p("u") + the sum over w of p("u w") / p("w") * first(w).
+    m = np.array([[p[f"{u} {w}"] / p[w] for w in words] for u in words])
+    first = np.linalg.solve(np.eye(len(words)) - m, np.array([p[w] for w in words]))
+    assert math.isclose(first.sum() + p[""], 1, rel_tol=1e-3)
+    assert (first > 0).all()
+
+
+def test_word_order_counts(spark):
+    rows = [(i, "the cat sat on a mat") for i in range(20)] + [(20, "the cat sat on a mat"), (21, "mat a on sat cat the")]
+    got = {r.doc_id: r.score for r in H.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 20).collect()}
+    assert got[20] > got[21] + 3
+
+
+def test_pairs_of_a_chunk_and_their_packing():
+    rnd = random.Random(4)
+    texts = [H.words_of(" ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 9)))) for _ in range(50)]
+    words = sorted({w for ws in texts for w in ws})
+    before, now = H.tokens_of(texts, {w: i for i, w in enumerate(words)})
+    want = Counter((u, w) for ws in texts for u, w in zip([b"", *ws], ws))
+    pairs = H.Pairs(before, now, words, 3)
+    count = np.bincount(pairs.find(before, now), minlength=len(pairs.keys))
+    kind, code = H.codes(words, 3)
+    got = Counter()
+    for s, i in zip(pairs.shards, pairs.parts):
+        w, u, c = H.unpack_pairs(H.pack_pairs(pairs.word[i], pairs.context[i], count[i]))
+        for key in zip(u.tolist(), w.tolist(), c.tolist()):
+            got[s % 3, key[0], s // 3, key[1]] = key[2]
+    name = {w: (k, c) for w, k, c in zip(words, kind.tolist(), code.tolist())}
+    assert got == Counter({(*name[u], *name[w]): c for (u, w), c in want.items()})
 
 
 def test_spelling_is_a_distribution():
