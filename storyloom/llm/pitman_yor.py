@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -208,35 +209,44 @@ def by_shard(words, side: int) -> dict[int, list[bytes]]:
     return out
 
 
-def tokens_of(texts: list[list[bytes]], at: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For texts laid end to end: each token's number, and that of the token before it (the end, for a first one)."""
-    now = np.fromiter((at[w] for ws in texts for w in ws), np.int64, sum(map(len, texts)))
-    before = np.roll(now, 1)
-    if len(now):
-        before[0] = at[b""]  # every text closes with the end
-    return before, now
+def tokens_of(texts: list[list[bytes]], side: int) -> tuple[dict[int, list[bytes]], list[bytes], np.ndarray, np.ndarray]:
+    """For texts laid end to end: the distinct words by shard and in one list, the place in it of each token, and that of
+    the token before it (the end, for a first one)."""
+    flat = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
+    found = flat.dictionary.to_pylist()
+    parts = by_shard(found, side)
+    words = list(chain.from_iterable(parts.values()))
+    at = dict(zip(words, range(len(words))))
+    now = np.fromiter(map(at.__getitem__, found), np.int64, len(found))[flat.indices.to_numpy()]
+    before = np.roll(now, 1)  # every text closes with the end
+    return parts, words, before, now
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return ordered[first], at
 
 
 class Pairs:
-    """The distinct pairs of a chunk in the order in which shards are asked for them."""
+    """The distinct pairs of a chunk in the order in which shards are asked for them, and each pair's place in it.
+
+    ``words`` are known by their places in a list."""
 
     def __init__(self, before: np.ndarray, now: np.ndarray, words: list[bytes], side: int):
-        self.size = max(1, len(words))
-        self.keys = np.unique(before * self.size + now)
         kind, code = codes(words, side)
-        context, word = self.keys // self.size, self.keys % self.size
-        shard = kind[word] * side + kind[context]
-        self.order = np.lexsort((code[context], code[word], shard))
-        shard = shard[self.order]
-        self.shards, start = np.unique(shard, return_index=True)
-        self.parts = np.split(np.arange(len(shard)), start[1:])
-        self.context, self.word = code[context][self.order], code[word][self.order]
-
-    def find(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """The places of pairs in the order of asking."""
-        place = np.empty(len(self.keys), np.int64)
-        place[self.order] = np.arange(len(self.keys))
-        return place[np.searchsorted(self.keys, before * self.size + now)]
+        order, size = np.lexsort((code, kind)), max(1, len(words))
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        keys, self.at = distinct((kind[now] * side + kind[before]) * size**2 + rank[now] * size + rank[before])
+        self.word, self.context = code[order][keys // size % size], code[order][keys % size]
+        self.shards, start = np.unique(keys // size**2, return_index=True)
+        self.parts = np.split(np.arange(len(keys)), start[1:])
 
 
 def pack_pairs(word: np.ndarray, context: np.ndarray, count: np.ndarray) -> bytes:
@@ -260,13 +270,11 @@ def _ask(side: int):
         texts = {True: [], False: []}
         for text, learn in zip(t["text"].to_pylist(), t["learn"].to_pylist()):
             texts[bool(learn)].append(words_of(text))
-        parts = by_shard({w for some in texts.values() for ws in some for w in ws}, side)
-        words = [w for ws in parts.values() for w in ws]
-        at = dict(zip(words, range(len(words))))
-        learned, others = tokens_of(texts[True], at), tokens_of(texts[False], at)
-        tokens = np.bincount(learned[1], minlength=len(words))
-        pairs = Pairs(*(np.concatenate(x) for x in zip(learned, others)), words, side)
-        count = np.bincount(pairs.find(*learned), minlength=len(pairs.keys))
+        learned = sum(map(len, texts[True]))  # these come first
+        parts, words, before, now = tokens_of(texts[True] + texts[False], side)
+        tokens = np.bincount(now[:learned], minlength=len(words))
+        pairs = Pairs(before, now, words, side)
+        count = np.bincount(pairs.at[:learned], minlength=len(pairs.word))
         asked = {s: pack_pairs(pairs.word[i], pairs.context[i], count[i]) for s, i in zip(pairs.shards.tolist(), pairs.parts)}
         chunk, first, rows = t["chunk"][0].as_py(), 0, []
         for shard in [*parts, *(asked.keys() - parts.keys())]:
@@ -284,12 +292,12 @@ def _seat_pairs(side: int, d: float):
     def run(t: pa.Table) -> pa.Table:
         shard, asked = t["shard"][0].as_py(), [unpack_pairs(x.as_py()) for x in t["pairs"]]
         word, context, count = (np.concatenate(x) for x in zip(*asked))
-        keys, at = np.unique((word.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64), return_inverse=True)
+        keys, at = distinct((word.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64))
         n = np.bincount(at, count, len(keys)).astype(np.int64)
         mean, last, rows = np.minimum(n, 1).astype(float), np.minimum(n, 1), []
         seen = np.flatnonzero(n)
-        words, dish = np.unique((keys[seen] >> np.uint64(32)).astype(np.int64), return_inverse=True)
-        rooms, room = np.unique((keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+        words, dish = distinct((keys[seen] >> np.uint64(32)).astype(np.int64))
+        rooms, room = distinct((keys[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64))
         if len(seen):
             many = np.flatnonzero(n[seen] > 1)  # a single customer has one table
             rng = np.random.default_rng(shard)
@@ -464,9 +472,7 @@ def _answer(spelling: Spelling, d: float, seated: int, tables: float, mass: floa
 def _score(side: int, tokens: int, types: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [words_of(x) for x in t["text"].to_pylist()]
-        parts = by_shard(set().union(*texts), side)
-        words = [w for ws in parts.values() for w in ws]
-        before, now = tokens_of(texts, dict(zip(words, range(len(words)))))
+        parts, words, before, now = tokens_of(texts, side)
         pairs, told, left = Pairs(before, now, words, side), {}, {}
         for s, p, c, r, x in zip(answers["shard"].to_pylist(), *(answers[k] for k in ("chance", "count", "tables", "data"))):
             if x.is_valid:
@@ -474,7 +480,7 @@ def _score(side: int, tokens: int, types: int):
             else:
                 told[s] = unpack(p.as_py(), "<f4"), unpack(c.as_py(), "<i8"), unpack(r.as_py(), "<f4")
         chance, count, tables = (np.concatenate([told[s][k] for s in parts] or [np.zeros(0)]) for k in range(3))
-        own = np.concatenate([left[s] for s in pairs.shards.tolist()] or [np.zeros(0)]).astype(float)[pairs.find(before, now)]
+        own = np.concatenate([left[s] for s in pairs.shards.tolist()] or [np.zeros(0)]).astype(float)[pairs.at]
         upper = (PAIR_STRENGTH + PAIR_DISCOUNT * tables.astype(float)[before]) * chance.astype(float)[now]
         score = np.log10((own + upper) / (PAIR_STRENGTH + count[before]))
         base = np.log10((count[now] + 1) / (tokens + types + 1))

@@ -63,11 +63,11 @@ def test_word_order_counts(spark):
 def test_pairs_of_a_chunk_and_their_packing():
     rnd = random.Random(4)
     texts = [H.words_of(" ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 9)))) for _ in range(50)]
-    words = sorted({w for ws in texts for w in ws})
-    before, now = H.tokens_of(texts, {w: i for i, w in enumerate(words)})
+    parts, words, before, now = H.tokens_of(texts, 3)
+    assert sorted(words) == sorted({w for ws in texts for w in ws}) and [words[i] for i in now] == [w for ws in texts for w in ws]
     want = Counter((u, w) for ws in texts for u, w in zip([b"", *ws], ws))
     pairs = H.Pairs(before, now, words, 3)
-    count = np.bincount(pairs.find(before, now), minlength=len(pairs.keys))
+    count = np.bincount(pairs.at, minlength=len(pairs.word))
     kind, code = H.codes(words, 3)
     got = Counter()
     for s, i in zip(pairs.shards, pairs.parts):
