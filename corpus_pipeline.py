@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import byte_cnn, decontamination, packing, quality_rules, simhash
+from storyloom.llm import byte_cnn, decontamination, packing, quality_rules, similar
 from storyloom.llm.common import join_checked, table, written
 
 KEY = "storyloom_key"
@@ -39,13 +39,12 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every near-duplicate group, by the operator's contract (four words, four
-    bits); the README says what that catches and why the search at a similarity of 0.8 is not used.
+    """Keep the document with the smallest id of every group of texts whose five-word shingles are similar to 0.8 or more.
 
     Null ids stand behind all others, told apart by their text; of rows that share an id one stays."""
     own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
     named = docs.withColumn(KEY, own)
-    found = written(simhash.near_duplicates(named.select(F.col(KEY).alias("doc_id"), "text")))
+    found = written(similar.similar_groups(named.select(F.col(KEY).alias("doc_id"), "text")))
     firsts = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", KEY))
     gone = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(KEY)).distinct().join(firsts, KEY, "left_anti"))
     repeated = written(firsts.filter("n > 1").select(KEY))
