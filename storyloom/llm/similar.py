@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9
 AT_ONCE, BYTE = 1 << 14, 255
 #: What a candidate pair costs, in probes.
 CANDIDATE = 10.0
+#: So many random prints are added to the statistics: of few texts they would pick the very bits in which near copies differ.
+PRIOR = 1000
 #: A value that so many rows of longs say is sent to every executor, within the limit of bytes.
 SENT = 2_000_000
 #: A miss of one in e**STEP is the step in which recall is counted.
@@ -95,13 +97,14 @@ PRINT = "doc_id long, n long, " + ", ".join(f"{f} long" for f in F_NAMES)
 def allocate(n: int, both: list[np.ndarray], similarity: float, recall: float) -> list[tuple[int, list[int], int]]:
     """(word, bits, threshold) of the partitions to probe, cheapest for ``n`` prints with these bit statistics."""
     p, need = differing(similarity), ceil(-log(1 - recall) / STEP)
+    both, counted = [s + PRIOR / 4 * (1 + np.eye(64)) for s in both], n + PRIOR
     best: tuple[float, list] = (float("inf"), [])
     for count in (2, 3, 4, 5):
         plans: dict[int, tuple[float, list]] = {0: (0.0, [])}
         for word, stats in enumerate(both):
-            q = np.diag(stats) / max(1, n)
+            q = np.diag(stats) / counted
             random = 2 * q * (1 - q)
-            for bits in partitions(count, stats, n):
+            for bits in partitions(count, stats, counted):
                 met, near = np.eye(1, 65)[0], np.eye(1, 65)[0]
                 for b in bits:
                     met = met * (1 - random[b]) + np.concatenate([[0], met[:-1]]) * random[b]
