@@ -1,4 +1,4 @@
-"""The ten opN_ queries and the pipeline, with their SQL where SQL can say it."""
+"""The opN_ queries and the pipeline, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import corpus_pipeline
 from .byte_cnn import op4_quality_classifier
 from .decontamination import op1_decontamination
 from .licenses import op10_license_scans
+from .line_runs import OP11_SQL, op11_line_dedup
 from .packing import op9_best_fit_packing
 from .pitman_yor import op6_language_model
 from .quality_rules import OP2_SQL, op2_quality_rules
@@ -26,12 +27,14 @@ LLM_QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
+    "op11_line_dedup": op11_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {
     "op2_quality_rules": OP2_SQL,
     "op5_url_filters": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
