@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .byte_cnn import op4_quality_classifier
 from .decontamination import op1_decontamination
+from .delta_lloyd import OP12_SQL, op12_centroid_clustering
 from .licenses import op10_license_scans
 from .line_runs import OP11_SQL, op11_line_dedup
 from .packing import op9_best_fit_packing
@@ -28,6 +29,7 @@ LLM_QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scans": op10_license_scans,
     "op11_line_dedup": op11_line_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {
@@ -35,6 +37,7 @@ LLM_SQL = {
     "op5_url_filters": OP5_SQL,
     "op7_warc_revisits": OP7_SQL,
     "op11_line_dedup": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
