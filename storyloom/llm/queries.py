@@ -7,6 +7,7 @@ import corpus_pipeline
 from .byte_cnn import op4_quality_classifier
 from .decontamination import op1_decontamination
 from .delta_lloyd import OP12_SQL, op12_centroid_clustering
+from .impact_search import OP13_SQL, op13_ranked_search
 from .licenses import op10_license_scans
 from .line_runs import OP11_SQL, op11_line_dedup
 from .packing import op9_best_fit_packing
@@ -30,6 +31,7 @@ LLM_QUERIES = {
     "op10_license_scans": op10_license_scans,
     "op11_line_dedup": op11_line_dedup,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 LLM_SQL = {
@@ -38,6 +40,7 @@ LLM_SQL = {
     "op7_warc_revisits": OP7_SQL,
     "op11_line_dedup": OP11_SQL,
     "op12_centroid_clustering": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
