@@ -83,7 +83,7 @@ def skeleton(name: Column) -> Column:
     """A Hebrew name's words with doubled vav and yod collapsed and those that do not stand first dropped; ids (with a
     colon) pass through."""
     once = F.regexp_replace(F.regexp_replace(name, "וו+", "ו"), "יי+", "י")
-    return F.when(name.contains(":"), name).otherwise(F.regexp_replace(once, "(?<=[א-ת])[וי]", ""))
+    return F.when(name.contains(":"), name).otherwise(F.regexp_replace(once, "(?<=[^ ])[וי]", ""))
 
 
 def republished(pairs: DataFrame, hours: float = 6.0, least: float = 0.40, contained: float = 0.55, rare: int = 2) -> DataFrame:
