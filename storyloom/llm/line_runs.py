@@ -106,8 +106,10 @@ class LineRuns:
 def shared_lines(docs: DataFrame, common: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(t1, t2, places): for each text of (text) that holds lines whose exact key is found in ``least`` rows or more, a
     hash of the text and the places of these lines; ``common`` has the hashes (h) that they can have."""
-    named = docs.select(*_text_hash(F.col("text")), F.monotonically_increasing_id().alias("row"), F.posexplode(lines(F.col("text"))).alias("place", "line"))
-    hashed = named.withColumn("h", _hash(F.col("line"))).filter("h IS NOT NULL")
+    # Rows are numbered before they are taken apart: beside a generator the number would be a line's.
+    named = docs.select("text", *_text_hash(F.col("text")), F.monotonically_increasing_id().alias("row"))
+    each = named.select("t1", "t2", "row", F.posexplode(lines(F.col("text"))).alias("place", "line"))
+    hashed = each.withColumn("h", _hash(F.col("line"))).filter("h IS NOT NULL")
     met = join_checked(hashed, common, "h", "left_semi", most_rows=2_000_000)
     # The ids of rows hold from here on, as they are written.
     met = written(met.select("t1", "t2", "row", "place", line_key(F.col("line")).alias("key")))
