@@ -53,7 +53,7 @@ def first_centroids(vectors: DataFrame, k: int = CLUSTERS, salt: str = SALT) ->
     """The ``k`` vectors (fewer, if there are fewer) with the smallest sha256 of salt and id, ties by the vector."""
     named = vectors.select("v", F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256).alias("h"))
     rows = named.orderBy("h", "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def squared(v: np.ndarray, c: np.ndarray) -> np.ndarray:
