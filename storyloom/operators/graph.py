@@ -1,11 +1,10 @@
-"""Stories as connected components of accepted pairs, their coherence and their representatives."""
+"""Stories as connected components of accepted pairs, and their representatives."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +26,30 @@ def saved(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """article_id and component (its smallest id) of every node of the edges (a_id, b_id).
 
-    Smallest labels spread along the edges and labels' own labels are followed, so rounds grow with the logarithm of a
-    chain's length; each round is written out."""
-    both = saved(edges.select("a_id", "b_id").union(edges.select("b_id", "a_id")).distinct())
-    labels = saved(both.groupBy(F.col("a_id").alias("article_id")).agg(F.least(F.first("a_id"), F.min("b_id")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("article_id").alias("b_id"), "component"), "b_id").groupBy(F.col("a_id").alias("article_id")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "article_id").select("article_id", F.least("component", "near").alias("component"))
-        jump = spread.join(labels.select(F.col("article_id").alias("component"), F.col("component").alias("beyond")), "component").select("article_id", F.least("component", "beyond").alias("component"))
-        new = saved(jump)
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+    Every node hangs its larger neighbours, and then its smaller ones, on the smallest node it knows, in turns, until a
+    turn changes nothing: the edges are then stars.  Turns grow with the logarithm of a component's size; each is written,
+    and compared with the one before by two sums."""
+
+    def hung(e: DataFrame, larger: bool) -> DataFrame:
+        """Edges (lo, hi) after each node's larger (or smaller) neighbours hang on the smallest it knows."""
+        around = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))) if larger else e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+        around = saved(around)
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        moved = around.join(least, "u").filter(F.col("v") > F.col("u") if larger else F.col("v") != F.col("m")).select(F.col("m").alias("lo"), F.col("v").alias("hi"))
+        if not larger:
+            moved = moved.unionByName(least.select(F.col("m").alias("lo"), F.col("u").alias("hi")))
+        return saved(moved.filter("lo < hi").distinct())
+
+    def tally(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+
+    nodes = edges.select("a_id").union(edges.select("b_id")).distinct().select(F.col("a_id").alias("article_id"))
+    e = saved(edges.select(F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi")).filter("lo < hi").distinct())
+    before = None
+    while (now := tally(e)) != before:
+        before = now
+        e = hung(hung(e, larger=True), larger=False)
+    return nodes.join(e.select(F.col("hi").alias("article_id"), F.col("lo").alias("component")), "article_id", "left").select("article_id", F.coalesce("component", "article_id").alias("component"))
 
 
 def representative(members: DataFrame) -> DataFrame:
@@ -61,50 +72,3 @@ def kept_ids(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     new = F.concat(F.lit("cluster_"), F.substring(F.sha1("component"), 1, 16))
     return proposed.select("component").distinct().join(best, "component", "left").select("component", F.coalesce("cluster_id", new).alias("cluster_id"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
 
-
-def coherent(members: DataFrame, edges: DataFrame, most: int = 6, span_hours: float = 72.0) -> DataFrame:
-    """component, article_id, story (the story's first member) after coherence repair.
-
-    Within a component a story starts at its earliest edge and takes in further members in (time, id) order while it has
-    at most ``most`` of them, one event and no contradicting sports, spans ``span_hours`` at most, holds a source once,
-    and the newcomer touches the first member or two others; what is left starts the next story.  Single articles tell
-    no story.  A component is bounded by its event's window and by the rare words that link it, and is repaired in one
-    group, since admission depends on who came before."""
-    own = members.select("component", "article_id", "published_at", "source", "event_type", "sport")
-    linked = edges.select("a_id", "b_id").join(members.select(F.col("article_id").alias("a_id"), F.col("component").alias("component_of")), "a_id").withColumnRenamed("component_of", "component")
-
-    def repair(m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.article_id: r for r in m.sort_values(["published_at", "article_id"]).itertuples()}
-        touch: dict[str, set] = {}
-        for a, b in zip(e.a_id, e.b_id):
-            if a in rows and b in rows:
-                touch.setdefault(a, set()).add(b)
-                touch.setdefault(b, set()).add(a)
-        left, out = list(rows), []
-        while True:
-            start = next(((a, b) for b in left for a in left if a in touch.get(b, ()) and rows[a].published_at <= rows[b].published_at and a != b), None)
-            if start is None:
-                break
-            story = [start[0]]
-            for x in left:
-                if x in story or len(story) >= most:
-                    continue
-                sports = {rows[y].sport for y in (*story, x)} - {"unknown"}
-                times = [rows[y].published_at for y in (*story, x)]
-                near = touch.get(x, set()) & set(story)
-                if (
-                    (story[0] in near or len(near) >= 2)
-                    and len({rows[y].event_type for y in (*story, x)}) == 1
-                    and len(sports) <= 1
-                    and (max(times) - min(times)).total_seconds() <= span_hours * 3600
-                    and rows[x].source not in {rows[y].source for y in story}
-                ):
-                    story.append(x)
-            if len(story) > 1:
-                out += [(m.component.iloc[0], x, story[0]) for x in story]
-                left = [x for x in left if x not in story]
-            else:
-                left.remove(start[0])
-        return pd.DataFrame(out, columns=["component", "article_id", "story"])
-
-    return own.groupBy("component").cogroup(linked.groupBy("component")).applyInPandas(repair, "component string, article_id string, story string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import NEVER_GROUPED, WINDOW_HOURS, case, hours_between, jaccard
+from ..functions.columns import WINDOW_HOURS, case, hours_between, jaccard
+from .gates import PROVEN_SPORTS, clusterable, in_play
 
 
 def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -13,64 +14,76 @@ def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def candidate_pairs(df: DataFrame, most_df: int = 6, df_ratio: float = 0.01, widest_hours: int = 48, block: str = "event_type", generic: tuple[str, ...] = ()) -> DataFrame:
+def hashed(tokens: Column) -> Column:
+    """Tokens as longs: a pair's tokens are compared and moved as such, and only read where a token is shown."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def candidate_pairs(df: DataFrame, most_df: int = 6, df_ratio: float = 0.01, widest_hours: int = 48, block: str = "event_type", generic: tuple[str, ...] = (), least: float = 0.0) -> DataFrame:
     """Pairs (a before b by article_id) of one block within the widest window that share a rare token: one of df at most
     ``most_df`` or of at most ``df_ratio`` of all articles, and not generic; n_rare counts them.
 
     The join is on (block, rare token, time slot): slots are as long as the window, and one side stands in its own and the
-    two beside it, so a token brings pairs of one block and window only, however common it is in the corpus."""
-    frequency = document_frequency(df)
+    two beside it, so a token brings pairs of one block and window only, however common it is in the corpus.  Pairs whose
+    numbers of tokens allow no similarity of ``least`` are not made.  ``tokens`` are distinct strings."""
+    own = df.select("article_id", block, "published_at", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.struct(F.xxhash64(t).alias("token"), generic_token(t, generic).alias("generic") if generic else F.lit(False).alias("generic"))).alias("ts"))
+    each = own.select("article_id", block, "published_at", "n", F.inline("ts"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    rare = frequency.join(F.broadcast(total)).filter((F.col("df") <= most_df) | (F.col("df") <= F.col("total") * df_ratio)).select("token")
-    if generic:
-        rare = rare.filter(~F.col("token").isin(*generic))
+    frequency = each.filter("NOT generic").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # A token of one article makes no pair.
+    rare = frequency.crossJoin(F.broadcast(total)).filter((F.col("df") > 1) & ((F.col("df") <= most_df) | (F.col("df") <= F.col("total") * df_ratio))).select("token")
     slot = F.floor(F.unix_micros("published_at") / F.lit(3.6e9 * widest_hours))
-    each = df.select("article_id", block, "published_at", slot.alias("slot"), F.explode("tokens").alias("token")).join(rare, "token")
+    each = each.filter("NOT generic").select("article_id", block, "published_at", "n", slot.alias("slot"), "token").join(rare, "token")
     a, b = each.alias("a"), each.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))).alias("b")
     same = (F.col("a.token") == F.col("b.token")) & (F.col("a.slot") == F.col("b.slot")) & (F.col(f"a.{block}") == F.col(f"b.{block}"))
     met = a.join(b, same & (F.col("a.article_id") < F.col("b.article_id"))).filter(F.abs(hours_between(F.col("a.published_at"), F.col("b.published_at"))) <= widest_hours)
+    if least > 0:
+        met = met.filter(F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n"))
     return met.groupBy(F.col("a.article_id").alias("a_id"), F.col("b.article_id").alias("b_id")).agg(F.count(F.lit(1)).alias("n_rare"))
 
 
 def with_sides(pairs: DataFrame, df: DataFrame) -> DataFrame:
-    """The pairs with both articles as structs a and b."""
-    side = lambda s: df.select(F.col("article_id").alias(f"{s}_id"), F.struct("source", "event_type", "sport", "competition", "claim", "published_at", "tokens", "title").alias(s))
+    """The pairs with both articles as structs a and b, their tokens hashed."""
+    kept = [c for c in ("source", "lang", "room", "event_type", "sport", "competition", "entities", "claim", "published_at", "title", "subtitle") if c in df.columns]
+    side = lambda s: df.select(F.col("article_id").alias(f"{s}_id"), F.struct(*kept, hashed(F.col("tokens")).alias("tokens")).alias(s))
     return pairs.join(side("a"), "a_id").join(side("b"), "b_id")
 
 
-def in_play(title: Column) -> Column:
-    return F.lower(F.coalesce(title, F.lit(""))).contains("live")
-
-
 # Least similarity and rare words of each tier.
 TIERS = {"A": (0.30, 1), "B": (0.35, 1), "C": (0.35, 2)}
 
 
+# Reasons, in the order of the gates.
+REASONS = (
+    "same_source", "not_clusterable_state", "event_state_incompatible", "claim_reversal_mismatch", "in_play", "outside_time_window", "cross_sport", "below_threshold", "no_discriminative_evidence",
+)
+
+
 def verdicts(pairs: DataFrame) -> DataFrame:
     """Adds jaccard (rounded), tier and reason: the first gate that a pair fails, null for an accepted one.
 
     Gates in order: same source, not clusterable (a kind of event that is not listed abstains), other event, one side
     claims what the other does not, in play, outside the window, contradicting sports, too little in common, too few rare
-    words.  News and unproven sports are tier C, pairs of one competition tier A, others B."""
+    words.  News and unproven sports are tier C, pairs that share a competition or an entity tier A, others B."""
     a, b = F.col("a"), F.col("b")
     j = jaccard(a["tokens"], b["tokens"])
-    known = (a["sport"] != "unknown") & (b["sport"] != "unknown")
-    tier = F.when((a["event_type"] == "news") | ~known, "C").when(a["competition"] == b["competition"], "A").otherwise("B")
-    listed = lambda e: e.isin(*WINDOW_HOURS) & ~e.isin(*NEVER_GROUPED)
+    known = a["sport"].isin(*PROVEN_SPORTS) & b["sport"].isin(*PROVEN_SPORTS)
+    backed = F.coalesce(a["competition"] == b["competition"], F.lit(False)) | F.coalesce(F.arrays_overlap(a["entities"], b["entities"]), F.lit(False))
+    tier = F.when((a["event_type"] == "news") | ~known, "C").when(backed, "A").otherwise("B")
     least = case(tier, {t: v for t, (v, _) in TIERS.items()})
     need = case(tier, {t: n for t, (_, n) in TIERS.items()})
-    reason = (
-        F.when(a["source"] == b["source"], "same_source")
-        .when(~(listed(a["event_type"]) & listed(b["event_type"])), "not_clusterable")
-        .when(a["event_type"] != b["event_type"], "event_differs")
-        .when(a["claim"] != b["claim"], "claim_reversed")
-        .when(in_play(a["title"]) | in_play(b["title"]), "in_play")
-        .when(F.abs(hours_between(a["published_at"], b["published_at"])) > case(a["event_type"], WINDOW_HOURS, 24), "outside_window")
-        .when(known & (a["sport"] != b["sport"]), "sport_differs")
-        .when(j < least, "too_little_in_common")
-        .when(F.col("n_rare") < need, "too_few_rare_words")
+    fails = (
+        a["source"] == b["source"],
+        ~(clusterable(a["event_type"]) & clusterable(b["event_type"])),
+        a["event_type"] != b["event_type"],
+        a["claim"] != b["claim"],
+        in_play(a["title"], a["subtitle"]) | in_play(b["title"], b["subtitle"]),
+        F.abs(hours_between(a["published_at"], b["published_at"])) > case(a["event_type"], WINDOW_HOURS, 24),
+        known & (a["sport"] != b["sport"]),
+        j < least,
+        F.col("n_rare") < need,
     )
-    return pairs.withColumn("jaccard", F.round(j, 4)).withColumn("tier", tier).withColumn("reason", reason)
+    return pairs.withColumn("jaccard", F.round(j, 4)).withColumn("tier", tier).withColumn("reason", F.coalesce(*[F.when(f, r) for f, r in zip(fails, REASONS)]))
 
 
 def generic_token(token: Column, generic: tuple[str, ...], prefixes: str = "ובהלמשכ") -> Column:

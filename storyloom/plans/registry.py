@@ -7,8 +7,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import WINDOW_HOURS, clean_html, hours_between, language_of_url, story_id, title_tokens
+from ..functions.columns import WINDOW_HOURS, clean_html, hours_between, jaccard, language_of_url, story_id, title_tokens
 from ..operators import articles as A
+from ..operators import coherence as C
 from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import metrics as M
@@ -43,10 +44,12 @@ RANK = "CASE {} WHEN 'push' THEN 4 WHEN 'high_feed' THEN 3 WHEN 'feed' THEN 2 WH
 LADDER = "CASE WHEN toxic = 1 THEN 'hidden' WHEN quality IS NULL THEN 'low_feed' WHEN quality = 0 THEN 'hidden' WHEN lang = 'en' THEN 'high_feed' ELSE 'feed' END"
 #: Articles a minute apart with the tokens of whole texts, and candidate pairs of one kind of event within 48 hours.
 MARKERS, CONDITIONALS = ("the", "of", "de"), ("and", "to", "la")
+#: Words that are no evidence, however rare.
+GENERIC = ("licensed", "copyright", "permission", "software", "warranty")
 PAIRS = f"""{ART}, tk AS (SELECT article_id, source, lang, event_type, sport, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, title, {_tokens('text')} AS tokens,
-  'c' || CAST(doc_id // 4 % 3 AS VARCHAR) AS competition, list_filter(string_split(lower(title), ' '), lambda x: x <> '') AS ws FROM art),
+  'c' || CAST(doc_id // 4 % 3 AS VARCHAR) AS competition, 'e' || CAST(doc_id // 8 % 25 AS VARCHAR) AS entity, substr(text, 81, 240) AS subtitle, 'room' || CAST(doc_id % 5 AS VARCHAR) AS room, list_filter(string_split(lower(title), ' '), lambda x: x <> '') AS ws FROM art),
 ex AS (SELECT article_id, event_type, published_at, unnest(tokens) AS token FROM tk),
-rare AS (SELECT token FROM ex GROUP BY token HAVING count(*) <= 6 OR count(*) <= (SELECT count(*) FROM art) * 0.01::DOUBLE),
+rare AS (SELECT token FROM ex WHERE token NOT IN {GENERIC} GROUP BY token HAVING count(*) <= 6 OR count(*) <= (SELECT count(*) FROM art) * 0.01::DOUBLE),
 cand AS (
   SELECT a.article_id AS a_id, b.article_id AS b_id, count(*) AS n_rare
   FROM ex a JOIN rare USING (token) JOIN ex b ON a.token = b.token AND a.event_type = b.event_type AND a.article_id < b.article_id
@@ -55,7 +58,7 @@ cl AS (SELECT article_id, len(list_filter(range(1, len(ws) + 1), lambda i: ws[i]
 pr AS (
   SELECT a_id, b_id, n_rare, len(list_intersect(a.tokens, b.tokens)) AS sh, len(a.tokens) AS na, len(b.tokens) AS nb,
     CASE WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.0 ELSE len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) END AS j,
-    a.source AS s1, b.source AS s2, a.event_type AS e1, b.event_type AS e2, a.sport AS p1, b.sport AS p2, a.title AS t1, b.title AS t2, a.competition AS k1, b.competition AS k2, ca.claim AS c1, cb.claim AS c2,
+    a.source AS s1, b.source AS s2, a.event_type AS e1, b.event_type AS e2, a.sport AS p1, b.sport AS p2, concat_ws(' ', a.title, a.subtitle) AS t1, concat_ws(' ', b.title, b.subtitle) AS t2, a.lang AS g1, b.lang AS g2, a.room AS q1, b.room AS q2, a.entity AS n1, b.entity AS n2, a.competition AS k1, b.competition AS k2, ca.claim AS c1, cb.claim AS c2,
     abs(epoch_us(a.published_at) - epoch_us(b.published_at)) / 3600000000.0 AS hours
   FROM cand JOIN tk a ON a.article_id = a_id JOIN tk b ON b.article_id = b_id JOIN cl ca ON ca.article_id = a_id JOIN cl cb ON cb.article_id = b_id)"""
 
@@ -79,16 +82,19 @@ def _us(c) -> F.Column:
     return F.unix_micros(c)
 
 
-def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paired(spark: SparkSession, sf_dir: str, least: float = 0.0) -> DataFrame:
+    """Candidate pairs with both sides; those whose sizes allow no similarity of ``least`` are left out."""
     ws = F.filter(F.split(F.lower("title"), " "), lambda x: x != "")
-    art = articles(spark, sf_dir).select(
-        "article_id", "source", "event_type", "sport", "title",
+    art = G.saved(articles(spark, sf_dir).select(
+        "article_id", "source", "lang", "event_type", "sport", "title", "subtitle",
         F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60000000).alias("published_at"),
         title_tokens(F.col("text")).alias("tokens"),
         F.concat(F.lit("c"), (F.floor(F.col("doc_id") / 4) % 3).cast("string")).alias("competition"),
+        F.concat(F.lit("room"), (F.col("doc_id") % 5).cast("string")).alias("room"),
+        F.array(F.concat(F.lit("e"), (F.floor(F.col("doc_id") / 8) % 25).cast("string"))).alias("entities"),
         claimed(ws, MARKERS, CONDITIONALS).alias("claim"),
-    )
-    return P.with_sides(P.candidate_pairs(art), art)
+    ))
+    return P.with_sides(P.candidate_pairs(art, generic=GENERIC, least=least), art)
 
 
 @query(
@@ -149,10 +155,8 @@ def token_df(spark, sf_dir):
 
 @query("jaccard_pairs", f"WITH {PAIRS} SELECT a_id, b_id, n_rare, round(j, 4) AS jaccard FROM pr WHERE j >= 0.35")
 def jaccard_pairs(spark, sf_dir):
-    from ..functions.columns import jaccard
-
     j = jaccard(F.col("a.tokens"), F.col("b.tokens"))
-    return _paired(spark, sf_dir).filter(j >= 0.35).select("a_id", "b_id", "n_rare", F.round(j, 4).alias("jaccard"))
+    return _paired(spark, sf_dir, 0.35).filter(j >= 0.35).select("a_id", "b_id", "n_rare", F.round(j, 4).alias("jaccard"))
 
 
 _WINDOW = "CASE e1 " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WINDOW_HOURS.items()) + " ELSE 24 END"
@@ -161,21 +165,24 @@ _LISTED = ", ".join(f"'{x}'" for x in WINDOW_HOURS)
 
 @query(
     "pair_verdict_reasons",
-    f"""WITH {PAIRS}, tr AS (SELECT *, CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 'C' WHEN k1 = k2 THEN 'A' ELSE 'B' END AS tier FROM pr), v AS (
+    f"""WITH {PAIRS}, tr AS (SELECT *, CASE WHEN e1 = 'news' OR p1 = 'unknown' OR p2 = 'unknown' THEN 'C' WHEN k1 = k2 OR n1 = n2 THEN 'A' ELSE 'B' END AS tier FROM pr), v AS (
   SELECT tier,
-    CASE WHEN s1 = s2 THEN 'same_source' WHEN e1 NOT IN ({_LISTED}) OR e2 NOT IN ({_LISTED}) THEN 'not_clusterable' WHEN e1 <> e2 THEN 'event_differs' WHEN c1 <> c2 THEN 'claim_reversed'
-      WHEN contains(lower(t1), 'live') OR contains(lower(t2), 'live') THEN 'in_play' WHEN hours > {_WINDOW} THEN 'outside_window'
-      WHEN p1 <> 'unknown' AND p2 <> 'unknown' AND p1 <> p2 THEN 'sport_differs' WHEN j < CASE tier WHEN 'A' THEN 0.30 ELSE 0.35 END THEN 'too_little_in_common'
-      WHEN n_rare < CASE tier WHEN 'C' THEN 2 ELSE 1 END THEN 'too_few_rare_words' END AS reason FROM tr)
+    CASE WHEN s1 = s2 THEN 'same_source' WHEN e1 NOT IN ({_LISTED}) OR e2 NOT IN ({_LISTED}) THEN 'not_clusterable_state' WHEN e1 <> e2 THEN 'event_state_incompatible' WHEN c1 <> c2 THEN 'claim_reversal_mismatch'
+      WHEN contains(lower(t1), 'live') OR contains(lower(t2), 'live') THEN 'in_play' WHEN hours > {_WINDOW} THEN 'outside_time_window'
+      WHEN p1 <> 'unknown' AND p2 <> 'unknown' AND p1 <> p2 THEN 'cross_sport' WHEN j < CASE tier WHEN 'A' THEN 0.30 ELSE 0.35 END THEN 'below_threshold'
+      WHEN n_rare < CASE tier WHEN 'C' THEN 2 ELSE 1 END THEN 'no_discriminative_evidence' END AS reason FROM tr)
 SELECT tier, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM v GROUP BY 1, 2""",
 )
 def pair_verdict_reasons(spark, sf_dir):
     return P.verdicts(_paired(spark, sf_dir)).groupBy("tier", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("republish_pairs", f"WITH {PAIRS} SELECT a_id, b_id FROM pr WHERE s1 = s2 AND e1 = e2 AND e1 <> 'news' AND hours <= 6 AND j >= 0.40 AND sh / greatest(least(na, nb), 1) >= 0.55 AND n_rare >= 2")
+@query("republish_pairs", f"WITH {PAIRS} SELECT a_id, b_id FROM pr WHERE g1 = g2 AND e1 = e2 AND e1 <> 'news' AND hours <= 6 AND j >= 0.40 AND sh / greatest(least(na, nb), 1) >= 0.55 AND n_rare >= 2")
 def republish_pairs(spark, sf_dir):
-    return P.republished(_paired(spark, sf_dir)).select("a_id", "b_id")
+    """Pairs in which a newsroom repeats itself; a language counts as one here, as the tables' sources hardly do."""
+    room = lambda s: F.col(s).withField("source", F.col(f"{s}.lang")).alias(s)
+    both = _paired(spark, sf_dir, 0.40).select("a_id", "b_id", "n_rare", room("a"), room("b"))
+    return P.republished(both).select("a_id", "b_id")
 
 
 def _components(spark, sf_dir):
@@ -232,13 +239,90 @@ def member_overlap(spark, sf_dir):
     return G.kept_ids(_components(spark, sf_dir), old)
 
 
-@query("coherent_stories")
+_IDS = f"""{PAIRS}, ed AS MATERIALIZED (
+  SELECT a_id, b_id, q1 = q2 AS intra FROM pr WHERE q1 <> q2 AND j >= 0.35 OR q1 = q2 AND e1 <> 'news' AND hours <= 6 AND j >= 0.40 AND sh / greatest(least(na, nb), 1) >= 0.55 AND n_rare >= 2),
+e AS (SELECT a_id AS a, b_id AS b FROM ed UNION SELECT b_id, a_id FROM ed), reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+mem AS MATERIALIZED (
+  SELECT component, article_id, epoch_us(published_at) AS pt, room AS source, event_type, CASE WHEN sport IN ('basketball', 'football', 'tennis') THEN sport ELSE '' END AS proven, sport
+  FROM (SELECT a AS article_id, min(b) AS component FROM reach GROUP BY a) JOIN tk USING (article_id))"""
+
+
+def _stories_sql(rounds: int = 4, span: int = 72 * 3_600_000_000) -> str:
+    """Greedy admission in SQL: the start, then one member a round."""
+    agree = "({0}.proven = {1}.proven OR {0}.proven = '' OR {1}.proven = '')"
+    parts = [f"""{_IDS}, ln AS MATERIALIZED (SELECT x.component, x.article_id AS a, y.article_id AS b, bool_or(intra) AS intra FROM (SELECT * FROM ed UNION ALL SELECT b_id, a_id, intra FROM ed) JOIN mem x ON x.article_id = a_id JOIN mem y ON y.article_id = b_id GROUP BY 1, 2, 3),
+sd AS (SELECT ln.component, a, b FROM ln JOIN mem x ON x.article_id = a JOIN mem y ON y.article_id = b WHERE a < b QUALIFY row_number() OVER (PARTITION BY ln.component ORDER BY least(x.pt, y.pt), a, b) = 1),
+st0 AS MATERIALIZED (SELECT m.*, -1::BIGINT AS lat, '' AS lid FROM sd JOIN ln USING (component, a, b) JOIN mem x ON x.article_id = a JOIN mem y ON y.article_id = b JOIN mem m ON m.article_id IN (a, b)
+  WHERE x.event_type = y.event_type AND (intra OR x.source <> y.source) AND {agree.format('x', 'y')} AND abs(x.pt - y.pt) <= {span})"""]
+    for k in range(rounds):
+        parts.append(f"""f{k} AS (SELECT component, first(article_id ORDER BY pt, article_id) AS founder, any_value(lat) AS lat, any_value(lid) AS lid, any_value(event_type) AS event_type, count(*) AS size FROM st{k} GROUP BY component),
+t{k} AS (SELECT ln.component, a, count(*) AS n, bool_or(b = founder) AS hit FROM ln JOIN st{k} s ON s.article_id = b JOIN f{k} f ON f.component = ln.component WHERE a NOT IN (SELECT article_id FROM st{k}) GROUP BY 1, 2),
+p{k} AS (SELECT c.* FROM t{k} t JOIN mem c ON c.article_id = t.a JOIN f{k} f ON f.component = t.component WHERE (n >= 2 OR hit) AND (c.pt, c.article_id) > (lat, lid) AND c.event_type = f.event_type AND size < 6
+  AND NOT EXISTS (SELECT 1 FROM st{k} m WHERE m.component = t.component AND (NOT {agree.format('m', 'c')} OR abs(m.pt - c.pt) > {span} OR m.source = c.source AND NOT EXISTS (SELECT 1 FROM ln i WHERE i.a = c.article_id AND i.b = m.article_id AND i.intra)))
+  QUALIFY row_number() OVER (PARTITION BY c.component ORDER BY c.pt, c.article_id) = 1),
+st{k + 1} AS MATERIALIZED (SELECT s.component, s.article_id, s.pt, s.source, s.event_type, s.proven, s.sport, coalesce(p.pt, s.lat) AS lat, coalesce(p.article_id, s.lid) AS lid FROM st{k} s LEFT JOIN p{k} p USING (component)
+  UNION ALL SELECT component, article_id, pt, source, event_type, proven, sport, pt, article_id FROM p{k})""")
+    parts.append(f"story AS MATERIALIZED (SELECT component, article_id, first_value(article_id) OVER (PARTITION BY component ORDER BY pt, article_id) AS story, sport, event_type, pt FROM st{rounds})")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+STORIES = _stories_sql()
+
+
+def _linked(spark, sf_dir):
+    """Edges between newsrooms, and within one where it repeats itself, and the articles they join."""
+    room = lambda s: F.col(s).withField("source", F.col(f"{s}.room")).alias(s)
+    pairs = G.saved(_paired(spark, sf_dir, 0.35).select("a_id", "b_id", "n_rare", room("a"), room("b")))
+    j = jaccard(F.col("a.tokens"), F.col("b.tokens"))
+    across = pairs.filter((F.col("a.source") != F.col("b.source")) & (j >= 0.35)).select("a_id", "b_id", F.lit(False).alias("intra"))
+    edges = G.saved(across.unionByName(P.republished(pairs).select("a_id", "b_id", F.lit(True).alias("intra"))))
+    art = articles(spark, sf_dir).withColumn("published_at", F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") * 60000000))
+    art = art.withColumn("source", F.concat(F.lit("room"), (F.col("doc_id") % 5).cast("string"))).withColumn("certainty", pick(("confirmed", "probable", "weak"), F.col("doc_id")))
+    return art.join(G.components(edges), "article_id").select("component", "article_id", "published_at", "source", "event_type", "sport", "certainty", "doc_id"), edges
+
+
+@query("coherent_stories", f"{STORIES} SELECT component, article_id, story FROM story")
 def coherent_stories(spark, sf_dir):
-    """Greedy coherence has no SQL; tests hold it against a plain version."""
-    art = articles(spark, sf_dir).withColumn("event_type", F.lit("rumor"))
-    pairs = G.saved(jaccard_pairs(spark, sf_dir).select("a_id", "b_id"))
-    members = G.saved(art.join(G.components(pairs), "article_id").select("component", "article_id", "published_at", "source", "event_type", "sport"))
-    return G.coherent(members, pairs, span_hours=400)
+    """The coherent story of each component, found in rounds over all components at once."""
+    members, edges = _linked(spark, sf_dir)
+    return C.coherent(members, edges)
+
+
+@query(
+    "built_clusters",
+    f"""{STORIES}, r AS (SELECT s.*, doc_id % 3 AS d, (doc_id % 2 = 0)::INT + (doc_id % 5 > 0)::INT + (s.event_type <> 'news')::INT AS facts FROM story s JOIN art USING (article_id))
+SELECT story AS anchor_id, first(article_id ORDER BY facts DESC, CASE d WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END DESC, pt DESC, article_id) AS representative_id, array_to_string(list_sort(list(article_id)), ',') AS member_ids,
+  any_value(event_type) AS event_state, CASE WHEN count(DISTINCT nullif(sport, 'unknown')) = 1 THEN max(nullif(sport, 'unknown')) END AS sport,
+  (SELECT count(*) FROM (SELECT DISTINCT a_id, b_id FROM ed) JOIN story x ON x.article_id = a_id JOIN story y ON y.article_id = b_id WHERE x.story = r.story AND y.story = r.story) AS n_edges FROM r GROUP BY story""",
+)
+def built_clusters(spark, sf_dir):
+    """One row per coherent story: anchor, representative, members, event, sport and the edges kept."""
+    members, edges = _linked(spark, sf_dir)
+    known = members.withColumn("competition", F.when(F.col("doc_id") % 5 > 0, F.lit("c"))).withColumn("n_entities", (F.col("doc_id") % 2 == 0).cast("int"))
+    found = C.built(G.saved(C.coherent(members, edges)), known, edges)
+    return found.withColumn("member_ids", F.array_join("member_ids", ","))
+
+
+@query(
+    "reconciled_clusters",
+    f"""{STORIES}, old AS (SELECT 'old_' || CAST(doc_id // 40 AS VARCHAR) AS cluster_id, article_id FROM art WHERE doc_id % 3 > 0), scope AS (SELECT article_id FROM art WHERE doc_id % 7 > 0),
+pr2 AS (SELECT DISTINCT story, article_id FROM story JOIN scope USING (article_id)),
+bst AS (SELECT story, cluster_id FROM pr2 JOIN old USING (article_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY story ORDER BY count(*) DESC, cluster_id) = 1),
+nm AS (SELECT article_id, coalesce(cluster_id, 'cluster_' || substr(sha1(story), 1, 16)) AS new_id, CASE WHEN cluster_id IS NULL THEN 'created' ELSE 'retained' END AS how FROM pr2 LEFT JOIN bst USING (story)),
+mv AS MATERIALIZED (
+  SELECT article_id, CASE WHEN new_id IS NULL AND s.article_id IS NULL THEN cluster_id ELSE new_id END AS cluster_id, CASE WHEN new_id IS NULL AND s.article_id IS NULL THEN 'kept_out_of_scope' WHEN new_id IS NULL THEN 'unclustered' ELSE how END AS change, cluster_id AS was, s.article_id IS NOT NULL AS asked
+  FROM nm FULL JOIN old USING (article_id) LEFT JOIN scope s USING (article_id)),
+sz AS (SELECT cluster_id FROM mv WHERE cluster_id IS NOT NULL GROUP BY 1 HAVING count(*) < 2 AND (bool_or(change <> 'kept_out_of_scope') OR cluster_id IN (SELECT was FROM mv WHERE was IS NOT NULL AND asked)))
+SELECT article_id, CASE WHEN sz.cluster_id IS NULL THEN mv.cluster_id END AS cluster_id, CASE WHEN sz.cluster_id IS NOT NULL THEN 'removed' ELSE change END AS change FROM mv LEFT JOIN sz ON sz.cluster_id = mv.cluster_id""",
+)
+def reconciled_clusters(spark, sf_dir):
+    """Memberships after a part of the articles is grouped anew over clusters that were there before."""
+    members, edges = _linked(spark, sf_dir)
+    art = articles(spark, sf_dir).select("article_id", "doc_id")
+    scope = art.filter("doc_id % 7 > 0").select("article_id")
+    proposed = C.coherent(members, edges).join(scope, "article_id", "left_semi").select("story", "article_id")
+    existing = art.filter("doc_id % 3 > 0").select(F.concat(F.lit("old_"), F.floor(F.col("doc_id") / 40).cast("string")).alias("cluster_id"), "article_id")
+    return C.reconciled(G.saved(proposed), existing, scope)
 
 
 @query(

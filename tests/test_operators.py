@@ -43,14 +43,6 @@ def test_components_of_a_long_chain_whatever_the_order(spark):
     assert got == {**dict.fromkeys(ids, "n000"), "z1": "z1", "z2": "z1", "z3": "z1"}
 
 
-def test_coherence_keeps_bridges_apart(spark):
-    rows = [("c", f"m{i}", T0 + timedelta(hours=h), s, "rumor", sp) for i, (h, s, sp) in enumerate([(0, "a", "football"), (1, "b", "unknown"), (2, "c", "tennis"), (3, "a", "football"), (90, "d", "football"), (91, "e", "football")])]
-    edges = [("m0", "m1"), ("m1", "m2"), ("m0", "m3"), ("m0", "m4"), ("m4", "m5")]
-    members = spark.createDataFrame(rows, "component string, article_id string, published_at timestamp, source string, event_type string, sport string")
-    got = sorted((r.story, r.article_id) for r in G.coherent(members, spark.createDataFrame(edges, "a_id string, b_id string")).collect())
-    assert got == [("m0", "m0"), ("m0", "m1"), ("m4", "m4"), ("m4", "m5")]
-
-
 def test_authority_and_guarded_levels(spark):
     rows = [(1, "team", "x", -1, "calibration", 9), (1, "team", "x", 1, "learned", 1), (1, "team", "x", 2, "learned", 2), (1, "team", "y", 0, "explicit", 0), (1, "team", "y", 2, "learned", 5)]
     got = sorted((r.target, r.level) for r in L.effective(spark.createDataFrame(rows, "user_id int, scope string, target string, level int, origin string, pos int")).collect())

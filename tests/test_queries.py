@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from storyloom.plans import evidence, facts, reports, rules  # noqa: F401
+from storyloom.plans import evidence, facts, names, reports, rules  # noqa: F401
 from storyloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
