@@ -3,15 +3,17 @@
 Two sets of similarity J have shingle vectors at a cosine of 2J / (1 + J), so their prints differ in about
 acos(cosine) / pi of their bits; at 0.8 that is 0.15, far beyond what short prints tell apart.  Prints of 512 bits
 estimate a similarity near 0.8 to about 0.02.  Equal prints are merged first.  Each 64-bit word of a print is split into
-partitions of correlated bits; dynamic programming gives partitions thresholds such that the candidates and probes it
-expects cost least while a pair at the limit is met with the recall asked for.  Texts meet by a partition's value, with
-up to half its threshold of bits flipped.  Where two meet that is their pair; where more meet, each is first held against
-the least, and then only those still apart against one another.  Pairs are verified on sizes and whole prints.
+small groups of correlated bits, and a partition is two such groups of different words: there are as many partitions as
+pairs of groups, so wide ones, which few texts share by chance, can be had in any number.  Dynamic programming gives
+partitions thresholds (none, exact, or some bits) such that the candidates and probes it expects cost least while a pair
+at the limit is met with the recall asked for.  Texts meet by a partition's value, with up to half its threshold of bits
+flipped.  Where two meet that is their pair; where more meet, each is first held against the least, and then only those
+still apart against one another.  Pairs are verified on sizes and whole prints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 from math import acos, ceil, log, pi, sqrt
@@ -29,13 +31,15 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9
 #: Shingles whose bits are summed at once, so that memory does not grow with a text; fewer than a byte counts to.
 AT_ONCE, BYTE = 1 << 14, 255
 #: What a candidate pair costs, in probes.
-CANDIDATE = 10.0
+CANDIDATE = 5.0
+#: Groups of bits that a word is split into, and how many groups further on a group's partners stand.
+GROUPS, PARTNERS = (4, 5, 6, 7, 8, 9), range(1, 8)
 #: So many random prints are added to the statistics: of few texts they would pick the very bits in which near copies differ.
 PRIOR = 1000
 #: A value that so many rows of longs say is sent to every executor, within the limit of bytes.
 SENT = 2_000_000
 #: A miss of one in e**STEP is the step in which recall is counted.
-STEP = 0.02
+STEP = 0.002
 
 
 def differing(similarity: float) -> float:
@@ -94,48 +98,64 @@ F_NAMES = [f"f{k}" for k in range(WORDS)]
 PRINT = "doc_id long, n long, " + ", ".join(f"{f} long" for f in F_NAMES)
 
 
-def allocate(n: int, both: list[np.ndarray], similarity: float, recall: float) -> list[tuple[int, list[int], int]]:
-    """(word, bits, threshold) of the partitions to probe, cheapest for ``n`` prints with these bit statistics."""
-    p, need = differing(similarity), ceil(-log(1 - recall) / STEP)
+def allocate(n: int, both: list[np.ndarray], similarity: float, recall: float) -> list[tuple[list[tuple[int, list[int]]], int]]:
+    """(groups as (word, bits), threshold) of the partitions to probe, cheapest for ``n`` prints with these bit statistics.
+
+    A pair that differs in as many bits as a link may must be met by one of them with the given probability; partitions
+    meet it independently, as the number of its differing bits is given."""
+    p, need = most_bits(similarity) / BITS, ceil(-log(1 - recall) / STEP)
     both, counted = [s + PRIOR / 4 * (1 + np.eye(64)) for s in both], n + PRIOR
     best: tuple[float, list] = (float("inf"), [])
-    for count in (2, 3, 4, 5):
-        plans: dict[int, tuple[float, list]] = {0: (0.0, [])}
-        for word, stats in enumerate(both):
-            q = np.diag(stats) / counted
-            random = 2 * q * (1 - q)
-            for bits in partitions(count, stats, counted):
-                met, near = np.eye(1, 65)[0], np.eye(1, 65)[0]
-                for b in bits:
-                    met = met * (1 - random[b]) + np.concatenate([[0], met[:-1]]) * random[b]
+    for count in GROUPS:
+        split = [partitions(count, stats, counted) for stats in both]
+        groups = [(word, split[word][k]) for k in range(count) for word in range(len(both))]
+        # least[d]: the least cost of d steps or more; said[i][d]: the threshold that partition i takes there, or -1.
+        least, said, pairs = np.full(need + 1, np.inf), [], []
+        least[0] = 0.0
+        for shift in PARTNERS:
+            for i in range(len(groups)):
+                pair = [groups[i], groups[(i + shift) % len(groups)]]
+                if pair[0][0] == pair[1][0]:
+                    continue
+                q = np.concatenate([np.diag(both[word])[bits] / counted for word, bits in pair])
+                met, near = np.eye(1, 129)[0], np.eye(1, 129)[0]
+                for random in 2 * q * (1 - q):
+                    met = met * (1 - random) + np.concatenate([[0], met[:-1]]) * random
                     near = near * (1 - p) + np.concatenate([[0], near[:-1]]) * p
-                nxt = dict(plans)
-                for done, (cost, chosen) in plans.items():
-                    for t in (0, 2, 4):
-                        caught = float(near[: t + 1].sum())
-                        c = cost + n * probes(len(bits), t) + CANDIDATE * n * n / 2 * float(met[: t + 1].sum())
-                        to = min(need, done + int(-log(1 - caught) / STEP))
-                        if to > done and (to not in nxt or c < nxt[to][0]):
-                            nxt[to] = (c, [*chosen, (word, bits, t)])
-                plans = nxt
-        done = max(plans)
-        best = min(best, (plans[done][0] if done == need else float("inf"), plans[done][1]), key=lambda x: x[0])
+                gains = {t: int(-log(1 - float(near[: t + 1].sum())) / STEP) for t in (0, 2)}
+                before, takes = least, np.full(need + 1, -1, np.int8)
+                for t, gain in gains.items():
+                    c = n * probes(len(q), t) + CANDIDATE * n * n / 2 * float(met[: t + 1].sum())
+                    new = before[np.maximum(np.arange(need + 1) - gain, 0)] + c
+                    takes[new < least] = t
+                    least = np.minimum(least, new)
+                said.append((takes, gains))
+                pairs.append(pair)
+        if least[need] < best[0]:
+            chosen, d = [], need
+            for pair, (takes, gains) in zip(reversed(pairs), reversed(said)):
+                if takes[d] >= 0:
+                    chosen.append((pair, int(takes[d])))
+                    d = max(0, d - gains[int(takes[d])])
+            best = (float(least[need]), chosen)
     return best[1]
 
 
-def _key(part: int, value: Column) -> Callable[[Column], Column]:
-    return lambda flip: F.xxhash64(F.lit(part), value.bitwiseXOR(flip))
-
-
-def _probes(nodes: DataFrame, chosen: list[tuple[int, list[int], int]]) -> DataFrame:
+def _probes(nodes: DataFrame, chosen: list[tuple[list[tuple[int, list[int]]], int]]) -> DataFrame:
     """node and k (the hash of a partition and a probed value)."""
-    keys = []
-    for part, (word, bits, threshold) in enumerate(chosen):
-        own = signed(reduce(int.__or__, (1 << b for b in bits)))
-        value = F.col(F_NAMES[word]).bitwiseAND(F.lit(own))
-        flips = [signed(sum(1 << b for b in c)) for r in range(threshold // 2 + 1) for c in combinations(bits, r)]
-        keys.append(F.transform(F.array(*[F.lit(m) for m in flips]), _key(part, value)))
-    return nodes.select("node", F.explode(F.concat(*keys)).alias("k"))
+
+    def keys(part: int, pair: list[tuple[int, list[int]]], threshold: int) -> Column:
+        (one, bits), (two, more) = pair
+        value = lambda word, own: F.col(F_NAMES[word]).bitwiseAND(F.lit(signed(sum(1 << b for b in own))))
+        a, b = value(one, bits), value(two, more)
+        if not threshold:
+            return F.array(F.xxhash64(F.lit(part), a, b))
+        where = [(one, x) for x in bits] + [(two, x) for x in more]
+        flips = [tuple(signed(sum(1 << x for w, x in c if w == word)) for word in (one, two)) for r in range(threshold // 2 + 1) for c in combinations(where, r)]
+        masks = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in flips])
+        return F.transform(masks, lambda m: F.xxhash64(F.lit(part), a.bitwiseXOR(m["x"]), b.bitwiseXOR(m["y"])))
+
+    return nodes.select("node", F.explode(F.concat(*[keys(part, pair, t) for part, (pair, t) in enumerate(chosen)])).alias("k"))
 
 
 def _apart(one: str, two: str) -> Column:

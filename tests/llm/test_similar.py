@@ -85,8 +85,10 @@ def test_thresholds_reach_the_recall():
     for n in (1, 500, 10**6, 10**9):
         plan = S.allocate(n, [bits.T @ bits * max(1, n // 500)] * 8, 0.8, 0.98)
         missed = 1.0
-        for _, group, t in plan:
-            missed *= 1 - sum(__import__("math").comb(len(group), k) * p**k * (1 - p) ** (len(group) - k) for k in range(t + 1))
+        for groups, t in plan:
+            assert len({word for word, _ in groups}) == 2
+            width = sum(len(bits) for _, bits in groups)
+            missed *= 1 - sum(__import__("math").comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(t + 1))
         assert missed <= 0.021
 
 
