@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from math import acos, ceil, log, pi, sqrt
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,10 @@ AT_ONCE, BYTE = 1 << 14, 255
 CANDIDATE = 5.0
 #: Groups of bits that a word is split into, and how many groups further on a group's partners stand.
 GROUPS, PARTNERS = (4, 5, 6, 7, 8, 9), range(1, 8)
-#: So many random prints are added to the statistics: of few texts they would pick the very bits in which near copies differ.
-PRIOR = 1000
+#: So many random prints, and so many a print, are added to the statistics, and chances of meeting are told apart by powers of
+#: two only.  A large group of near copies would else make the very bits in which its members differ look cheapest; so
+#: partitions are taken in their order, the most correlated groups first, unless one is much more common than another.
+PRIOR, PRIOR_SHARE = 1000, 4
 #: A value that so many rows of longs say is sent to every executor, within the limit of bytes.
 SENT = 2_000_000
 #: A miss of one in e**STEP is the step in which recall is counted.
@@ -47,10 +49,10 @@ def differing(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def most_bits(similarity: float) -> int:
-    """Prints that differ in no more bits count as similar: half a standard deviation beyond the mean at the limit."""
+def most_bits(similarity: float, beyond: float = 1.0) -> int:
+    """Prints that differ in no more bits count as similar: some standard deviations beyond the mean at the limit."""
     p = differing(similarity)
-    return int(BITS * p + 0.5 * sqrt(BITS * p * (1 - p)))
+    return int(BITS * p + beyond * sqrt(BITS * p * (1 - p)))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -101,10 +103,11 @@ PRINT = "doc_id long, n long, " + ", ".join(f"{f} long" for f in F_NAMES)
 def allocate(n: int, both: list[np.ndarray], similarity: float, recall: float) -> list[tuple[list[tuple[int, list[int]]], int]]:
     """(groups as (word, bits), threshold) of the partitions to probe, cheapest for ``n`` prints with these bit statistics.
 
-    A pair that differs in as many bits as a link may must be met by one of them with the given probability; partitions
-    meet it independently, as the number of its differing bits is given."""
-    p, need = most_bits(similarity) / BITS, ceil(-log(1 - recall) / STEP)
-    both, counted = [s + PRIOR / 4 * (1 + np.eye(64)) for s in both], n + PRIOR
+    A pair that differs in half a standard deviation more bits than one at the limit must be met by one of them with the
+    given probability; partitions meet it independently, as the number of its differing bits is given."""
+    p, need = most_bits(similarity, 0.5) / BITS, ceil(-log(1 - recall) / STEP)
+    prior = PRIOR + PRIOR_SHARE * n
+    both, counted = [s + prior / 4 * (1 + np.eye(64)) for s in both], n + prior
     best: tuple[float, list] = (float("inf"), [])
     for count in GROUPS:
         split = [partitions(count, stats, counted) for stats in both]
@@ -125,7 +128,7 @@ def allocate(n: int, both: list[np.ndarray], similarity: float, recall: float) -
                 gains = {t: int(-log(1 - float(near[: t + 1].sum())) / STEP) for t in (0, 2)}
                 before, takes = least, np.full(need + 1, -1, np.int8)
                 for t, gain in gains.items():
-                    c = n * probes(len(q), t) + CANDIDATE * n * n / 2 * float(met[: t + 1].sum())
+                    c = n * probes(len(q), t) + CANDIDATE * n * n / 2 * 2.0 ** round(log2(float(met[: t + 1].sum())))
                     new = before[np.maximum(np.arange(need + 1) - gain, 0)] + c
                     takes[new < least] = t
                     least = np.minimum(least, new)
