@@ -78,6 +78,24 @@ def test_one_large_group_of_copies(spark):
     assert got == {0}
 
 
+def test_stars_in_turn_find_what_pairs_find(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = ["w%d" % rnd.randrange(10**6) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        if i % 20 == 0:
+            base = ["w%d" % rnd.randrange(10**6) for _ in range(300)]
+        w = list(base)
+        for _ in range(rnd.choice((0, 2, 4, 5))):
+            w[rnd.randrange(300)] = "new%d" % i
+        rows.append((i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    by_pairs = {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()}
+    monkeypatch.setattr(S, "PAIRS_A_NODE", 0.2)
+    assert {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()} == by_pairs
+    assert len(set(by_pairs.values())) >= 3
+
+
 def test_thresholds_reach_the_recall():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (500, 64))
