@@ -163,25 +163,103 @@ def pruned(entities: Column, sport: Column, clubs: dict[str, str]) -> Column:
     return F.array_distinct(F.filter(entities, lambda e: ~other(e)))
 
 
-def parsed_proposal(raw: Column, sports: tuple[str, ...], events: tuple[str, ...], most_entities: int = 10, longest_reason: int = 500) -> Column:
-    """A model's answer as (sport, event_type, confidence, entities, reason): the JSON object in the text, wrong sports
-    turned to unknown and events to news, confidence held within 0 and 1, lists and reasons cut to their limits; null if
-    there is no object or it cannot be read."""
-    schema = "sport string, event_type string, confidence double, entities array<string>, reason string"
-    got = F.from_json(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{.*\}", 0), schema, {"mode": "PERMISSIVE"})
-    sport, event = F.lower(F.trim(got["sport"])), F.lower(F.trim(got["event_type"]))
+# How important a report may be, from least to most, and what is assumed where nothing is said.
+IMPORTANCE = ("low", "medium", "high", "very_high")
+LEAST_CONFIDENCE = 0.65
+
+
+def first_object(raw: Column) -> Column:
+    """The first balanced JSON object of a text, with keys such as "reason:" mended; null if there is none."""
+    mended = F.regexp_replace(F.coalesce(raw, F.lit("")), r'"(\w+):"\s*:', '"$1":')
+    opened = F.regexp_extract(mended, r"(?s)\{.*", 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def close(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.length(part) - F.length(F.replace(part, F.lit("{"), F.lit(""))) - 1
+        done = (acc["depth"] == 0) & (acc["text"] != "")
+        return F.when(done, acc).otherwise(F.struct(depth.alias("depth"), F.concat(acc["text"], part, F.lit("}")).alias("text")))
+
+    pieces = F.split(opened, r"\}")
+    found = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, close)
+    return F.when((found["depth"] == 0) & (found["text"] != ""), found["text"])
+
+
+def parsed_proposal(raw: Column, sports: tuple[str, ...], events: tuple[str, ...], most_entities: int = 10, longest_reason: int = 500, leagues: tuple[str, ...] = ()) -> Column:
+    """A model's answer as (sport, league, event_type, importance, confidence, entities, reason).
+
+    The first balanced object of the text is read; null if there is none or it is no JSON.  What is not among the known
+    values becomes unknown, no league, news and medium; a confidence that is missing, no number or outside 0 to 1 counts
+    as none at all (0); lists and reasons are cut to their limits."""
+    names = ("sport", "league", "event_type", "importance", "confidence", "entities", "reason")
+    text = first_object(raw)
+    got = F.from_json(text, ", ".join(f"{n} string" for n in names) + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    known = lambda name, values, other: F.when(got[name].isin(*values), got[name]).otherwise(F.lit(other)) if values else F.lit(other).cast("string")
+    sure = got["confidence"].try_cast("double")
     return F.when(
-        got["confidence"].isNotNull(),
+        text.isNotNull() & got["_corrupt"].isNull(),
         F.struct(
-            F.when(sport.isin(*sports), sport).otherwise("unknown").alias("sport"),
-            F.when(event.isin(*events), event).otherwise("news").alias("event_type"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), got["confidence"])).alias("confidence"),
-            F.slice(F.coalesce(got["entities"], F.array().cast("array<string>")), 1, most_entities).alias("entities"),
-            F.substring(got["reason"], 1, longest_reason).alias("reason"),
+            known("sport", sports, "unknown").alias("sport"),
+            known("league", leagues, None).alias("league"),
+            known("event_type", events, "news").alias("event_type"),
+            known("importance", IMPORTANCE, "medium").alias("importance"),
+            F.when((sure >= 0) & (sure <= 1), sure).otherwise(0.0).alias("confidence"),
+            F.slice(F.filter(F.coalesce(F.from_json(got["entities"], "array<string>"), F.array().cast("array<string>")), lambda e: e.isNotNull()), 1, most_entities).alias("entities"),
+            F.substring(F.coalesce(got["reason"], F.lit("")), 1, longest_reason).alias("reason"),
         ),
     )
 
 
+def guarded(df: DataFrame, leagues: dict[str, str], least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """Adds final_sport, final_league, final_event, final_certainty, final_importance, classified_by and guards (the
+    guardrails that fired, in order): a model's answer stands, and what the text proves corrects it, one guardrail after
+    the other.
+
+    unsupported: a sport that is not modelled is unknown.  football_club: a club that only plays football.  committed:
+    words of one sport only.  rules_sport, rules_league, rules_event: what the rules found where the model found nothing.
+    evidence: an event that the text does not bear falls back to the rules' event, or to news.  importance: never below
+    the rules'.  league_sport: a league has its sport.  hint: what the source's address says, unless the text commits to
+    another sport.  No answer, or one below ``least``, leaves the rules' facts.
+
+    ``df``: said (struct of parsed_proposal) or null; sport, league, event_type, certainty and importance of the rules;
+    unsupported and football_club (booleans), committed and hint (sports or null), and borne (array of (event, certainty):
+    the events that the text bears)."""
+    c, said = F.col, F.col("said")
+    rank = lambda of: F.coalesce(F.array_position(F.array(*[F.lit(i) for i in IMPORTANCE]), of), F.lit(0))
+    certain = lambda event: F.get(F.transform(F.filter("borne", lambda x: x["event"] == event), lambda x: x["certainty"]), F.lit(0))
+    used = said.isNotNull() & (said["confidence"] >= least)
+    out = df.withColumns({"_s": said["sport"], "_l": said["league"], "_e": said["event_type"], "_i": said["importance"], "_g": F.array().cast("array<string>")})
+
+    def guard(name: str, fires: Column, **to: Column) -> None:
+        nonlocal out
+        out = out.withColumn("_f", F.coalesce(fires, F.lit(False)))
+        changed = {k: F.when(c("_f"), v).otherwise(c(k)) for k, v in to.items()}
+        out = out.withColumns({**changed, "_g": F.when(c("_f"), F.array_append("_g", F.lit(name))).otherwise(c("_g"))})
+
+    none = F.lit(None).cast("string")
+    out = out.withColumn("_l", F.when(c("unsupported"), none).otherwise(c("_l")))
+    guard("unsupported", c("unsupported") & (c("_s") != "unknown"), _s=F.lit("unknown"))
+    guard("football_club", ~c("unsupported") & c("football_club") & (c("_s") != "football"), _s=F.lit("football"), _l=c("league"))
+    guard("committed", (c("_s") != "unknown") & (c("committed") != c("_s")), _s=c("committed"), _l=F.when(c("sport") == c("committed"), c("league")))
+    guard("rules_sport", (c("_s") == "unknown") & (c("sport") != "unknown") & ~c("unsupported"), _s=c("sport"))
+    guard("rules_league", c("_l").isNull() & c("league").isNotNull(), _l=c("league"))
+    guard("rules_event", (c("event_type") != "news") & (c("_e") == "news"), _e=c("event_type"))
+    fallback = F.when((c("event_type") != c("_e")) & certain(c("event_type")).isNotNull(), c("event_type")).otherwise("news")
+    borne = F.coalesce(certain(c("_e")), F.when(c("_e") == "news", "confirmed"))
+    guard("evidence", borne.isNull(), _e=fallback)
+    agreed = (c("_e") == c("event_type")) | (c("_e") == "news")
+    out = out.withColumn("_c", F.when(F.array_contains("_g", "evidence"), F.coalesce(certain(c("_e")), F.lit("confirmed"))).when(agreed, "confirmed").otherwise(certain(c("_e"))))
+    guard("importance", rank(c("_i")) < rank(c("importance")), _i=c("importance"))
+    of_league = first_match([(c("_l") == k, v) for k, v in leagues.items()])
+    guard("league_sport", of_league != c("_s"), _s=of_league)
+    guard("hint", (c("hint") != c("_s")) & ~c("unsupported") & (c("committed").isNull() | (c("committed") == c("hint"))), _s=c("hint"))
+    final = {"sport": "_s", "league": "_l", "event": "_e", "certainty": "_c", "importance": "_i"}
+    own = {"sport": "sport", "league": "league", "event": "event_type", "certainty": "certainty", "importance": "importance"}
+    out = out.withColumns({f"final_{k}": F.when(F.coalesce(used, F.lit(False)), c(v)).otherwise(c(own[k])) for k, v in final.items()})
+    by = F.when(~F.coalesce(used, F.lit(False)), "rules").when(F.size("_g") > 0, "model_guarded").otherwise("model")
+    guards = F.when(F.coalesce(used, F.lit(False)), c("_g")).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"classified_by": by, "guards": guards}).drop("_s", "_l", "_e", "_i", "_g", "_f", "_c")
+
+
 def merged(df: DataFrame, least: float = 0.65) -> DataFrame:
     """Adds final_sport, final_event, final_importance and merge_rule from the rules' and a model's answer, in order: an
     answer below ``least`` or none keeps the rules'; a sport the rules proved stands against the model's; an event the

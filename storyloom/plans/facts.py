@@ -149,19 +149,58 @@ def pruned_entities(spark, sf_dir):
 
 
 def _raw(sport, event, confidence):
-    return F.concat(F.lit('Sure: {"sport": "'), sport, F.lit('", "event_type": "'), event, F.lit('", "confidence": '), confidence.cast("string"), F.lit(', "entities": ["x", "y", "z"], "reason": "because it says so"} ok'))
+    return F.concat(F.lit('Sure: {"sport": "'), sport, F.lit('", "event_type": "'), event, F.lit('", "confidence": '), confidence.cast("string"), F.lit(', "entities": ["x", "y", "z"], "importance": "high", "note": {"a": 1}, "reason:": "because it says so"} or {"sport": "tennis"}'))
 
 
 @query(
     "parsed_proposal",
     f"""WITH {ART} SELECT article_id, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 4 = 3 THEN 'unknown' ELSE sport END END AS sport, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN event_type IN ('signing', 'injury') THEN event_type ELSE 'news' END END AS event_type,
-  CASE WHEN doc_id % 5 <> 0 THEN least(1.0, (doc_id % 15) / 10.0) END::DOUBLE AS confidence, CASE WHEN doc_id % 5 <> 0 THEN 'x,y' END AS entities, CASE WHEN doc_id % 5 <> 0 THEN 'because' END AS reason FROM art""",
+  CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 15 <= 10 THEN (doc_id % 15) / 10.0 ELSE 0 END END::DOUBLE AS confidence, CASE WHEN doc_id % 5 <> 0 THEN 'x,y' END AS entities, CASE WHEN doc_id % 5 <> 0 THEN 'high' END AS importance, CASE WHEN doc_id % 5 <> 0 THEN 'because' END AS reason FROM art""",
 )
 def parsed_proposal(spark, sf_dir):
-    sport = F.when(F.col("doc_id") % 4 == 3, "curling").otherwise(F.concat(F.lit(" "), F.initcap("sport")))
-    raw = F.when(F.col("doc_id") % 5 != 0, _raw(sport, F.upper("event_type"), (F.col("doc_id") % 15) / 10)).when(F.col("doc_id") % 10 == 0, "no object here")
+    sport = F.when(F.col("doc_id") % 4 == 3, "curling").otherwise(F.col("sport"))
+    raw = F.when(F.col("doc_id") % 5 != 0, _raw(sport, F.col("event_type"), (F.col("doc_id") % 15) / 10)).when(F.col("doc_id") % 10 == 0, "no object { here")
     said = E.parsed_proposal(raw, ("football", "basketball", "tennis"), ("signing", "injury"), 2, 7)
-    return articles(spark, sf_dir).select("article_id", said.alias("s")).select("article_id", "s.sport", "s.event_type", "s.confidence", F.array_join("s.entities", ",").alias("entities"), "s.reason")
+    return articles(spark, sf_dir).select("article_id", said.alias("s")).select("article_id", "s.sport", "s.event_type", "s.confidence", F.array_join("s.entities", ",").alias("entities"), "s.importance", "s.reason")
+
+
+_LEAGUE_SPORT = {"NBA": "basketball", "EuroLeague": "basketball", "Bundesliga": "football"}
+_RANK = "coalesce(list_position(['low', 'medium', 'high', 'very_high'], {}), 0)"
+
+
+@query(
+    "guarded_answers",
+    f"""WITH {CLASSIFIED}, m AS (
+  SELECT *, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 10 + 3) / 10.0 END AS conf, ['football', 'basketball', 'unknown'][1 + doc_id % 3] AS s0, CASE WHEN doc_id % 4 = 0 THEN 'NBA' WHEN doc_id % 4 = 1 THEN 'Bundesliga' END AS l0, ['news', 'signing', 'injury'][1 + doc_id // 3 % 3] AS e0, ['low', 'medium', 'high'][1 + doc_id % 3] AS i0,
+    CASE WHEN league IS NULL THEN 'low' ELSE 'very_high' END AS imp, doc_id % 11 = 0 AS uns, doc_id % 5 = 0 AS club, CASE WHEN doc_id % 6 = 0 THEN 'basketball' WHEN doc_id % 6 = 1 THEN 'football' END AS com, CASE WHEN doc_id % 9 = 0 THEN 'tennis' WHEN doc_id % 9 = 1 THEN 'basketball' END AS hint,
+    CASE WHEN doc_id % 8 < 4 THEN 'probable' END AS b_sig, CASE WHEN event_type = 'injury' THEN 'weak' END AS b_inj FROM cs),
+g0 AS (SELECT *, CASE WHEN uns THEN NULL ELSE l0 END AS l1, CASE WHEN uns THEN 'unknown' ELSE s0 END AS s1, CASE WHEN uns AND s0 <> 'unknown' THEN ['unsupported'] ELSE [] END AS t1 FROM m),
+g1 AS (SELECT *, NOT uns AND club AND s1 <> 'football' AS f FROM g0), g2 AS (SELECT *, CASE WHEN f THEN 'football' ELSE s1 END AS s2, CASE WHEN f THEN league ELSE l1 END AS l2, CASE WHEN f THEN t1 || ['football_club'] ELSE t1 END AS t2 FROM g1),
+g3 AS (SELECT * EXCLUDE (f), coalesce(s2 <> 'unknown' AND com <> s2, false) AS f FROM g2), g4 AS (SELECT *, CASE WHEN f THEN com ELSE s2 END AS s3, CASE WHEN NOT f THEN l2 WHEN sport = com THEN league END AS l3, CASE WHEN f THEN t2 || ['committed'] ELSE t2 END AS t3 FROM g3),
+g5 AS (SELECT *, CASE WHEN s3 = 'unknown' AND sport <> 'unknown' AND NOT uns THEN sport ELSE s3 END AS s4, CASE WHEN s3 = 'unknown' AND sport <> 'unknown' AND NOT uns THEN t3 || ['rules_sport'] ELSE t3 END AS t4 FROM g4),
+g6 AS (SELECT *, coalesce(l3, league) AS l4, CASE WHEN l3 IS NULL AND league IS NOT NULL THEN t4 || ['rules_league'] ELSE t4 END AS t5, CASE WHEN e0 = 'news' THEN event_type ELSE e0 END AS e1 FROM g5),
+g7 AS (SELECT *, CASE WHEN e0 = 'news' AND event_type <> 'news' THEN t5 || ['rules_event'] ELSE t5 END AS t6, CASE e1 WHEN 'signing' THEN b_sig WHEN 'injury' THEN b_inj WHEN 'news' THEN 'confirmed' END AS b1, CASE event_type WHEN 'signing' THEN b_sig WHEN 'injury' THEN b_inj END AS br FROM g6),
+g8 AS (SELECT *, CASE WHEN b1 IS NOT NULL THEN e1 WHEN event_type <> e1 AND br IS NOT NULL THEN event_type ELSE 'news' END AS e2, CASE WHEN b1 IS NULL THEN t6 || ['evidence'] ELSE t6 END AS t7 FROM g7),
+g9 AS (SELECT *, CASE WHEN b1 IS NULL THEN CASE WHEN e2 = 'news' THEN 'confirmed' ELSE br END WHEN e2 = event_type OR e2 = 'news' THEN 'confirmed' ELSE b1 END AS c2, CASE WHEN {_RANK.format('i0')} < {_RANK.format('imp')} THEN imp ELSE i0 END AS i1, CASE WHEN {_RANK.format('i0')} < {_RANK.format('imp')} THEN t7 || ['importance'] ELSE t7 END AS t8,
+  CASE l4 WHEN 'NBA' THEN 'basketball' WHEN 'EuroLeague' THEN 'basketball' WHEN 'Bundesliga' THEN 'football' END AS ls FROM g8),
+g10 AS (SELECT *, CASE WHEN ls <> s4 THEN ls ELSE s4 END AS s5, CASE WHEN ls <> s4 THEN t8 || ['league_sport'] ELSE t8 END AS t9 FROM g9), g11 AS (SELECT * EXCLUDE (f), coalesce(hint <> s5 AND NOT uns AND (com IS NULL OR com = hint), false) AS f FROM g10),
+g12 AS (SELECT *, CASE WHEN f THEN hint ELSE s5 END AS s6, CASE WHEN f THEN t9 || ['hint'] ELSE t9 END AS t10, coalesce(conf >= 0.65, false) AS used FROM g11)
+SELECT article_id, CASE WHEN used THEN s6 ELSE sport END AS final_sport, CASE WHEN used THEN l4 ELSE league END AS final_league, CASE WHEN used THEN e2 ELSE event_type END AS final_event, CASE WHEN used THEN c2 ELSE certainty END AS final_certainty, CASE WHEN used THEN i1 ELSE imp END AS final_importance,
+  CASE WHEN NOT used THEN 'rules' WHEN len(t10) > 0 THEN 'model_guarded' ELSE 'model' END AS classified_by, CASE WHEN used THEN array_to_string(t10, ',') ELSE '' END AS guards FROM g12""",
+)
+def guarded_answers(spark, sf_dir):
+    """A model's answers, corrected by what the texts prove."""
+    i = F.col("doc_id")
+    said = F.when(i % 7 != 0, F.struct(
+        pick(("football", "basketball", "unknown"), i).alias("sport"), F.when(i % 4 == 0, "NBA").when(i % 4 == 1, "Bundesliga").alias("league"), pick(("news", "signing", "injury"), F.floor(i / 3)).alias("event_type"), pick(("low", "medium", "high"), i).alias("importance"), ((i % 10 + 3) / 10).alias("confidence"),
+    ))
+    bears = lambda event, certainty, holds: F.when(holds, F.struct(F.lit(event).alias("event"), F.lit(certainty).alias("certainty")))
+    df = _classified(spark, sf_dir).withColumns({
+        "said": said, "importance": F.when(F.col("league").isNull(), "low").otherwise("very_high"), "unsupported": i % 11 == 0, "football_club": i % 5 == 0, "committed": F.when(i % 6 == 0, "basketball").when(i % 6 == 1, "football"),
+        "hint": F.when(i % 9 == 0, "tennis").when(i % 9 == 1, "basketball"), "borne": F.array_compact(F.array(bears("signing", "probable", i % 8 < 4), bears("injury", "weak", F.col("event_type") == "injury"))),
+    })
+    found = E.guarded(df, _LEAGUE_SPORT)
+    return found.select("article_id", *[f"final_{k}" for k in ("sport", "league", "event", "certainty", "importance")], "classified_by", F.array_join("guards", ",").alias("guards"))
 
 
 @query(

@@ -53,9 +53,42 @@ def test_resolved_sport(spark, found, current, want):
 
 
 def test_proposals_that_cannot_be_read_are_null(spark):
-    raw = [None, "", "no object", '{"sport": "golf", "confidence": 7}', '{"confidence": -1, "sport": " Tennis "}']
+    raw = [None, "", "no object", '{"sport": "golf", "confidence": 1.7}', '{"confidence": -1, "sport": "tennis"}', '{"sport": "tennis"} {"sport": "golf"}', '{"sport": "tennis", "confidence": 0.9']
     df = spark.createDataFrame([(r,) for r in raw], "raw string").select(E.parsed_proposal(F.col("raw"), ("tennis",), ()).alias("s"))
-    assert [(r.s.sport, r.s.confidence) if r.s else None for r in df.collect()] == [None, None, None, ("unknown", 1.0), ("tennis", 0.0)]
+    assert [(r.s.sport, r.s.confidence) if r.s else None for r in df.collect()] == [None, None, None, ("unknown", 0.0), ("tennis", 0.0), ("tennis", 0.0), None]
+
+
+def test_answers_are_mended_and_cut(spark):
+    raw = ['Here: {"sport:": "tennis", "confidence": "0.8", "league": "ATP", "importance": "urgent", "entities": ["a", null, "b", "c"], "reason": {"x": 1}} done }', '{"sport": 5, "entities": "a", "confidence": "much"}', "{broken: json,}"]
+    df = spark.createDataFrame([(r,) for r in raw], "raw string").select(E.parsed_proposal(F.col("raw"), ("tennis",), (), 2, 5, ("ATP",)).alias("s"))
+    got = [r.s for r in df.collect()]
+    assert (got[0].sport, got[0].league, got[0].importance, got[0].confidence, got[0].entities, got[0].reason) == ("tennis", "ATP", "medium", 0.8, ["a", "b"], '{"x":')
+    assert (got[1].sport, got[1].entities, got[1].confidence) == ("unknown", [], 0.0) and got[2] is None
+
+
+SAID = "said struct<sport:string,league:string,event_type:string,importance:string,confidence:double>"
+RULES = "sport string, league string, event_type string, certainty string, importance string, unsupported boolean, football_club boolean, committed string, hint string, borne array<struct<event:string,certainty:string>>"
+
+
+def test_guardrails_correct_the_model_in_order(spark):
+    rules = ("football", "LaLiga", "signing", "probable", "high", False, False, None, None, [("signing", "probable"), ("injury", "weak")])
+
+    def row(said, **to):
+        names = [c.split()[0] for c in RULES.split(", ") if not c.startswith("certainty:")]
+        return (said, *[to.get(n, v) for n, v in zip(names, rules)])
+
+    cases = [
+        (row(None), ("football", "LaLiga", "signing", "probable", "high", "rules", "")),
+        (row(("tennis", None, "injury", "low", 0.6)), ("football", "LaLiga", "signing", "probable", "high", "rules", "")),
+        (row(("football", "LaLiga", "injury", "very_high", 0.65)), ("football", "LaLiga", "injury", "weak", "very_high", "model", "")),
+        (row(("football", "X", "news", "low", 0.9), unsupported=True, hint="tennis"), ("unknown", "LaLiga", "signing", "confirmed", "high", "model_guarded", "unsupported,rules_league,rules_event,importance")),
+        (row(("basketball", "NBA", "title_win", "high", 0.9), football_club=True), ("football", "LaLiga", "signing", "probable", "high", "model_guarded", "football_club,evidence")),
+        (row(("football", "LaLiga", "signing", "high", 0.9), committed="basketball", hint="tennis"), ("basketball", "LaLiga", "signing", "confirmed", "high", "model_guarded", "committed,rules_league")),
+        (row(("unknown", "NBA", "title_win", "high", 0.9), event_type="news", borne=[], hint="tennis"), ("tennis", "NBA", "news", "confirmed", "high", "model_guarded", "rules_sport,evidence,league_sport,hint")),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], f"{SAID}, {RULES}")
+    got = E.guarded(df, {"NBA": "basketball"}).collect()
+    assert [(r.final_sport, r.final_league, r.final_event, r.final_certainty, r.final_importance, r.classified_by, ",".join(r.guards)) for r in got] == [w for _, w in cases]
 
 
 def test_streaks_and_health_of_empty_tables(spark):
