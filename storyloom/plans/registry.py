@@ -17,6 +17,7 @@ from ..operators import scoring as S
 from ..operators import similarity as P
 from ..operators.evidence import claimed
 from ..sources.tables import EVENT_TYPES, SPORTS, articles, pick, read
+from ..streaming.stories import StoryFeed
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -288,6 +289,21 @@ def coherent_stories(spark, sf_dir):
     return C.coherent(members, edges)
 
 
+@query("replayed_stories", f"{STORIES} SELECT article_id, story FROM story")
+def replayed_stories(spark, sf_dir):
+    """The same stories, from articles that come in three batches out of order, each grouped as it comes."""
+    members, edges = _linked(spark, sf_dir)
+
+    def match(new, known):
+        side = lambda s: known.join(new.select("article_id", F.lit(True).alias("new")), "article_id", "left").select(F.col("article_id").alias(f"{s}_id"), F.col("new").alias(f"new_{s}"))
+        return edges.join(side("a"), "a_id").join(side("b"), "b_id").filter("new_a OR new_b").select("a_id", "b_id", "intra")
+
+    feed = StoryFeed(spark, G.shared_folder(spark), match)
+    for k in range(3):
+        feed.add(members.filter(F.col("doc_id") % 3 == k), k)
+    return feed.stories().select("article_id", "story")
+
+
 @query(
     "built_clusters",
     f"""{STORIES}, r AS (SELECT s.*, doc_id % 3 AS d, (doc_id % 2 = 0)::INT + (doc_id % 5 > 0)::INT + (s.event_type <> 'news')::INT AS facts FROM story s JOIN art USING (article_id))
