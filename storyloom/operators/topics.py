@@ -42,13 +42,30 @@ def competition_matches(articles: DataFrame, reach: DataFrame, inferred: DataFra
     return best.withColumn("kind", case(F.col("tier"), {1: "explicit", 3: "participant_inference", 4: "membership"})).drop("tier")
 
 
-def topic_decisions(articles: DataFrame, topics: DataFrame, competitions: DataFrame, rules: DataFrame) -> DataFrame:
+#: The event of a topic's rule for all that is written about an entity that is followed.
+CATCH_ALL = "followed_entity_news"
+
+
+def with_aliases(rules: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The rules (topic_id, entity, event_type, decision), and for every event without one of its own that of its first
+    alias that has one."""
+    own = rules.withColumn("place", F.lit(0))
+    for event, others in aliases.items():
+        for i, other in enumerate(others):
+            own = own.unionByName(rules.filter(F.col("event_type") == other).withColumn("event_type", F.lit(event)).withColumn("place", F.lit(i + 1)))
+    return own.groupBy("topic_id", "entity", "event_type").agg(F.min_by("decision", "place").alias("decision"))
+
+
+def topic_decisions(articles: DataFrame, topics: DataFrame, competitions: DataFrame, rules: DataFrame, follows: DataFrame | None = None, aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """user_id, article_id, topic_id, decision, rule: of the topics an article falls under the best decision, the topic of
     highest priority of equals, then the earliest; pairs without a topic are hidden and left out.
 
     ``articles``: article_id, sport, event_type, importance, entities (array); ``topics``: user_id, topic_id, scope (sport,
     competition, entity), target, mode, priority, pos; ``competitions`` as from ``competition_matches``; ``rules``: topic_id,
-    entity (null: any), event_type, decision.  Topics meet articles by equal keys, never all against all."""
+    entity (null: any), event_type, decision; ``follows``: topic_id, entity (without it, any entity counts as followed).  A
+    topic that is hidden for an event falls back to importance where only importance counts, and to its catch-all rule, or
+    feed, where followed entities count.  Topics meet articles by equal keys, never all against all."""
+    rules = with_aliases(rules, aliases or {})
     facts = articles.select("article_id", "sport", "event_type", "importance", "entities")
     keys = (
         facts.select("article_id", F.lit("sport").alias("scope"), F.col("sport").alias("target"), F.lit("explicit").alias("kind"))
@@ -61,23 +78,29 @@ def topic_decisions(articles: DataFrame, topics: DataFrame, competitions: DataFr
     by_entity = met.select("topic_id", "article_id", "event_type", F.explode("entities").alias("of")).distinct().join(named, ["topic_id", "event_type", "of"]).groupBy("topic_id", "article_id").agg(F.max("r").alias("r"))
     met = met.join(own, ["topic_id", "event_type"], "left").join(by_entity, ["topic_id", "article_id"], "left")
     entity_rule = case(F.col("r"), dict(enumerate(DECISIONS)))
+    if follows is None:
+        met = met.withColumn("followed", F.size("entities") > 0)
+    else:
+        each = met.select("topic_id", "article_id", F.explode("entities").alias("entity")).distinct().join(follows.distinct(), ["topic_id", "entity"]).select("topic_id", "article_id", F.lit(True).alias("followed")).distinct()
+        met = met.join(each, ["topic_id", "article_id"], "left").withColumn("followed", F.coalesce("followed", F.lit(False)))
+    catch = rules.filter((F.col("event_type") == CATCH_ALL) & F.col("entity").isNull() & (F.col("decision") != "hidden")).select("topic_id", F.col("decision").alias("catch_all"))
+    met = met.join(catch, "topic_id", "left")
     event_rule, mode, big = F.col("by_event"), F.col("mode"), F.col("importance") == "very_high"
     plain = fallback(F.col("importance"), F.col("priority"))
     visible = F.when(event_rule != "hidden", event_rule)
-    with_entity = F.size("entities") > 0
     decision = (
         F.when(mode == "muted", "hidden")
         .when(mode.isin("titles_only", "major_only"), F.coalesce(visible, F.lit("hidden")))
         .when((mode == "high_importance_only") & F.col("importance").isin("low", "very_low"), "hidden")
-        .when(mode == "high_importance_only", F.coalesce(event_rule, plain))
-        .when((mode == "followed_entities_only") & ~with_entity, "hidden")
-        .when(mode == "followed_entities_only", F.coalesce(raised(entity_rule, big), event_rule, F.lit("feed")))
+        .when(mode == "high_importance_only", F.coalesce(visible, plain))
+        .when((mode == "followed_entities_only") & ~F.col("followed"), "hidden")
+        .when(mode == "followed_entities_only", F.coalesce(raised(entity_rule, big), visible, F.col("catch_all"), F.lit("feed")))
         .otherwise(F.coalesce(raised(entity_rule, big), F.when(event_rule == "hidden", "hidden").otherwise(raised(event_rule, big | ((F.col("scope") == "entity") & (event_rule == "feed")))), plain))
     )
-    rule = F.when(mode == "muted", "topic_muted").when(entity_rule.isNotNull() & ~mode.isin("titles_only", "major_only", "high_importance_only"), "entity_event").when(event_rule.isNotNull(), "event").otherwise("fallback")
-    # Reach by membership alone justifies feed at most.
+    rule = F.when(mode == "muted", "topic_muted").when(entity_rule.isNotNull() & ~mode.isin("titles_only", "major_only", "high_importance_only"), "entity_event").when(F.when(mode.isin("high_importance_only", "followed_entities_only"), visible).otherwise(event_rule).isNotNull(), "event").otherwise("fallback")
+    # Reach by membership alone, without an entity that is followed, justifies feed at most.
     met = met.withColumn("decision", decision).withColumn("rule", rule).withColumn("rank", decision_rank(F.col("decision")))
-    capped = (F.col("kind") == "membership") & (F.col("rank") > 2)
+    capped = (F.col("kind") == "membership") & ~F.col("followed") & (F.col("rank") > 2)
     met = met.withColumn("decision", F.when(capped, "feed").otherwise(F.col("decision"))).withColumn("rank", F.when(capped, 2).otherwise(F.col("rank")))
     by = Window.partitionBy("user_id", "article_id").orderBy(F.col("rank").desc(), F.col("priority").desc(), "pos", "topic_id")
     return met.withColumn("place", F.row_number().over(by)).filter("place = 1").select("user_id", "article_id", "topic_id", "decision", "rule")

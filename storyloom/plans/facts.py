@@ -338,16 +338,17 @@ _MODES = ("all", "followed_entities_only", "titles_only", "high_importance_only"
     _SCORED + f"""cm AS (SELECT id, comp, min(tier) AS tier FROM (SELECT id, comp, 1 AS tier FROM a WHERE imp <> 'low' UNION ALL SELECT id, comp, 3 FROM a WHERE ev IN ('match_result', 'match_summary') UNION ALL SELECT id, nk, 4 FROM ent JOIN a USING (id) WHERE ev IN ('signing', 'injury')) GROUP BY 1, 2),
 tp AS (SELECT n_regionkey AS u, 'k' || n_nationkey AS topic, 'competition' AS scope, 'c' || n_nationkey AS target, {list(_MODES)}[1 + n_nationkey % 5] AS mode, 60 + n_nationkey % 4 * 10 AS pr, n_nationkey AS pos FROM nation
   UNION ALL SELECT r_regionkey, 'r' || r_regionkey, 'sport', 's' || r_regionkey, 'all', 75, 100 + r_regionkey FROM region UNION ALL SELECT r, 't' || sk, 'entity', 't' || sk, 'all', 80, 200 + sk FROM sup WHERE sk % 4 = 0),
-er AS (SELECT topic, 'signing' AS ev, 'feed' AS d FROM tp WHERE pos % 2 = 0 UNION ALL SELECT topic, 'match_result', CASE WHEN pos % 3 = 0 THEN 'hidden' ELSE 'low_feed' END FROM tp), nr AS (SELECT 'r' || r AS topic, 'injury' AS ev, 't' || sk AS e, CASE WHEN sk % 2 = 0 THEN 3 ELSE 1 END AS rk FROM sup),
+er AS (SELECT topic, 'signing' AS ev, 'feed' AS d FROM tp WHERE pos % 2 = 0 UNION ALL SELECT topic, 'match_result', CASE WHEN pos % 3 = 0 THEN 'hidden' ELSE 'low_feed' END FROM tp
+  UNION ALL SELECT topic, 'match_summary', CASE WHEN pos % 3 = 0 THEN 'hidden' ELSE 'low_feed' END FROM tp), ca AS (SELECT topic, 'high_feed' AS d FROM tp WHERE pos % 5 = 1), fw AS (SELECT tp.topic, 't' || sk AS e FROM tp JOIN sup ON r = u WHERE sk % 3 > 0), nr AS (SELECT 'r' || r AS topic, 'injury' AS ev, 't' || sk AS e, CASE WHEN sk % 2 = 0 THEN 3 ELSE 1 END AS rk FROM sup),
 ky AS (SELECT id, 'sport' AS scope, sport AS target, 1 AS tier FROM a UNION ALL SELECT id, 'entity', t, 1 FROM ent UNION ALL SELECT id, 'competition', comp, tier FROM cm),
-ne AS (SELECT id, count(*) AS n FROM ent GROUP BY 1), m AS (SELECT ky.id, u, tp.topic, tp.scope, mode, pr, pos, tier, imp, a.ev, er.d AS evd, coalesce(ne.n, 0) > 0 AS we FROM ky JOIN tp ON ky.scope = tp.scope AND ky.target = tp.target JOIN a ON a.id = ky.id LEFT JOIN er ON er.topic = tp.topic AND er.ev = a.ev LEFT JOIN ne ON ne.id = ky.id),
+ne AS (SELECT id, count(*) AS n FROM ent GROUP BY 1), m AS (SELECT ky.id, u, tp.topic, tp.scope, mode, pr, pos, tier, imp, a.ev, er.d AS evd, EXISTS (SELECT 1 FROM ent JOIN fw ON fw.e = ent.t WHERE ent.id = ky.id AND fw.topic = tp.topic) AS we, ca.d AS cad FROM ky JOIN tp ON ky.scope = tp.scope AND ky.target = tp.target JOIN a ON a.id = ky.id LEFT JOIN er ON er.topic = tp.topic AND er.ev = a.ev LEFT JOIN ca ON ca.topic = tp.topic),
 be AS (SELECT m.topic, m.id, max(rk) AS rk FROM m JOIN ent ON ent.id = m.id JOIN nr ON nr.topic = m.topic AND nr.ev = m.ev AND nr.e = ent.t GROUP BY 1, 2),
 q AS (SELECT m.*, CASE be.rk WHEN 3 THEN 'high_feed' WHEN 1 THEN 'low_feed' END AS end_, CASE WHEN be.rk = 1 AND imp = 'very_high' THEN 'feed' WHEN be.rk = 3 THEN 'high_feed' WHEN be.rk = 1 THEN 'low_feed' END AS enb,
   CASE WHEN imp = 'very_high' AND pr >= 80 THEN 'high_feed' WHEN imp = 'medium' AND pr >= 70 THEN 'feed' WHEN imp = 'medium' THEN 'low_feed' WHEN imp = 'low' AND pr >= 70 THEN 'low_feed' ELSE 'hidden' END AS fb,
   CASE WHEN evd = 'hidden' THEN 'hidden' WHEN evd = 'low_feed' AND imp = 'very_high' THEN 'feed' WHEN evd = 'feed' AND (imp = 'very_high' OR m.scope = 'entity') THEN 'high_feed' ELSE evd END AS evb FROM m LEFT JOIN be ON be.topic = m.topic AND be.id = m.id),
-dd AS (SELECT *, CASE mode WHEN 'muted' THEN 'hidden' WHEN 'titles_only' THEN coalesce(evd, 'hidden') WHEN 'high_importance_only' THEN CASE WHEN imp = 'low' THEN 'hidden' ELSE coalesce(evd, fb) END WHEN 'followed_entities_only' THEN CASE WHEN we THEN coalesce(enb, evd, 'feed') ELSE 'hidden' END ELSE coalesce(enb, evb, fb) END AS dec,
-  CASE WHEN mode = 'muted' THEN 'topic_muted' WHEN end_ IS NOT NULL AND mode NOT IN ('titles_only', 'high_importance_only') THEN 'entity_event' WHEN evd IS NOT NULL THEN 'event' ELSE 'fallback' END AS rule FROM q),
-cp AS (SELECT *, CASE WHEN tier = 4 AND {RANK.format('dec')} > 2 THEN 'feed' ELSE dec END AS decision FROM dd)
+dd AS (SELECT *, CASE mode WHEN 'muted' THEN 'hidden' WHEN 'titles_only' THEN coalesce(evd, 'hidden') WHEN 'high_importance_only' THEN CASE WHEN imp = 'low' THEN 'hidden' ELSE coalesce(nullif(evd, 'hidden'), fb) END WHEN 'followed_entities_only' THEN CASE WHEN we THEN coalesce(enb, nullif(evd, 'hidden'), cad, 'feed') ELSE 'hidden' END ELSE coalesce(enb, evb, fb) END AS dec,
+  CASE WHEN mode = 'muted' THEN 'topic_muted' WHEN end_ IS NOT NULL AND mode NOT IN ('titles_only', 'high_importance_only') THEN 'entity_event' WHEN CASE WHEN mode IN ('high_importance_only', 'followed_entities_only') THEN nullif(evd, 'hidden') ELSE evd END IS NOT NULL THEN 'event' ELSE 'fallback' END AS rule FROM q),
+cp AS (SELECT *, CASE WHEN tier = 4 AND NOT we AND {RANK.format('dec')} > 2 THEN 'feed' ELSE dec END AS decision FROM dd)
 SELECT u AS user_id, id AS article_id, topic AS topic_id, decision, rule FROM cp QUALIFY row_number() OVER (PARTITION BY u, id ORDER BY {RANK.format('decision')} DESC, pr DESC, pos, topic) = 1""",
 )
 def topic_decisions(spark, sf_dir):
@@ -361,4 +362,6 @@ def topic_decisions(spark, sf_dir):
     none = F.lit(None).cast("string")
     rules = topics.filter("pos % 2 = 0").select("topic_id", none.alias("entity"), F.lit("signing").alias("event_type"), F.lit("feed").alias("decision"))
     rules = rules.union(topics.select("topic_id", none, F.lit("match_result"), F.when(F.col("pos") % 3 == 0, "hidden").otherwise("low_feed"))).union(sup.select(_named("r", "r"), _named("t", sk), F.lit("injury"), F.when(sk % 2 == 0, DECISIONS[3]).otherwise(DECISIONS[1])))
-    return T.topic_decisions(arts, topics, comps, rules)
+    rules = rules.union(topics.filter("pos % 5 = 1").select("topic_id", none, F.lit(T.CATCH_ALL), F.lit("high_feed")))
+    follows = topics.join(sup.filter(sk % 3 > 0), F.col("user_id") == F.col("r")).select("topic_id", _named("t", sk).alias("entity"))
+    return T.topic_decisions(arts, topics, comps, rules, follows, {"match_summary": ("match_recap", "match_result")})
