@@ -7,8 +7,8 @@ small groups of correlated bits, and a partition is two such groups of different
 pairs of groups, so wide ones, which few texts share by chance, can be had in any number.  Dynamic programming gives
 partitions thresholds (none, exact, or some bits) such that the candidates and probes it expects cost least while a pair
 at the limit is met with the recall asked for.  Texts meet by a partition's value, with up to half its threshold of bits
-flipped.  Where two meet that is their pair; where more meet, each is first held against the least, and then one of
-those still apart after the other, until few enough are apart to be compared with one another.  Pairs are verified on sizes and whole prints.
+flipped.  Where two meet that is their pair; where more meet, each is first held against the least, and then those
+still apart against one another, in blocks of prints rather than by rows of pairs.  Pairs are verified on sizes and whole prints.
 """
 
 from __future__ import annotations
@@ -38,9 +38,8 @@ GROUPS, PARTNERS = (4, 5, 6, 7, 8, 9), range(1, 8)
 #: two only.  A large group of near copies would else make the very bits in which its members differ look cheapest; so
 #: partitions are taken in their order, the most correlated groups first, unless one is much more common than another.
 PRIOR, PRIOR_SHARE = 1000, 4
-#: All that is still apart at its values is compared pair by pair once there are no more such pairs than so many a print; until
-#: then one star after the other is held against the members of its value.
-PAIRS_A_NODE = 2
+#: Prints that are compared with as many others at once, where texts at a value are still apart.
+BLOCK = 128
 #: A value that so many rows of longs say is sent to every executor, within the limit of bytes.
 SENT = 2_000_000
 #: A miss of one in e**STEP is the step in which recall is counted.
@@ -183,6 +182,43 @@ def _meeting(members: DataFrame) -> DataFrame:
     return written(members.join(mixed, "k"))
 
 
+def _compared(similarity: float):
+    most = most_bits(similarity)
+
+    def side(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = column[row].values
+        longs = [rows.field(f).to_numpy(zero_copy_only=False) for f in ("node", "comp", "n", *F_NAMES)]
+        return longs[0], longs[1], longs[2], np.stack(longs[3:], axis=1).astype(np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for row in range(batch.num_rows):
+                (node, comp, n, bits), (node_b, comp_b, n_b, bits_b) = side(batch.column(0), row), side(batch.column(1), row)
+                near = np.bitwise_count(bits[:, None, :] ^ bits_b[None, :, :]).sum(axis=2, dtype=np.int64) <= most
+                near &= np.minimum(n[:, None], n_b[None, :]) >= similarity * np.maximum(n[:, None], n_b[None, :])
+                i, j = np.nonzero(near & (comp[:, None] != comp_b[None, :]))
+                # One link between two components is enough.
+                _, first = np.unique(np.stack([comp[i], comp_b[j]], axis=1), axis=0, return_index=True)
+                links += zip(node[i[first]].tolist(), node_b[j[first]].tolist())
+            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _linked_in_blocks(left: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components that meet at the values of ``left`` (k, node, comp), enough to join all that are
+    linked.  At a value all members of components but the largest are compared with all others, in blocks of prints."""
+    main = left.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    main = written(main.select("k", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("apart")))
+    each = written(left.join(nodes, "node").join(main, "k"))
+    block = lambda size: F.pmod(F.xxhash64("node"), F.ceil(F.col(size) / BLOCK)).alias("block")
+    members = F.collect_list(F.struct("node", "comp", "n", *F_NAMES))
+    every = each.groupBy("k", block("all")).agg(members.alias("x"))
+    others = each.filter("comp <> main").groupBy("k", block("apart")).agg(members.alias("y"))
+    return every.drop("block").join(others.drop("block"), "k").select("x", "y").mapInArrow(_compared(similarity), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable by links) of every row of (doc_id, text).
 
@@ -203,24 +239,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     star = written(star.unionByName(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct())
     comps = written(connected(_verified(star, nodes, similarity)))
     left = join_checked(met.select("k", "node"), comps, "node").select("k", "node", F.coalesce("label", "node").alias("comp"))
-    left, tried = _meeting(left), star
-    while True:
-        # Members of the largest component at a value meet all others, but not one another.
-        main = left.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-        main = written(main.select("k", F.col("m.comp").alias("main"), "all", (F.col("all") - F.col("m.n")).alias("apart")))
-        rest, held = left.join(main, "k").filter("comp <> main").select("k", F.col("node").alias("b"), F.col("comp").alias("comp_b")), left
-        few = (main.agg(F.sum(F.col("all") * F.col("apart"))).first()[0] or 0) <= PAIRS_A_NODE * nodes.count()
-        if not few:
-            # One member of another component meets all at its value; its links there are then known.
-            rest = rest.groupBy("k").agg(F.min(F.struct("b", "comp_b")).alias("c")).select("k", "c.*")
-            held = left.join(rest.select("k", F.col("b").alias("node")), ["k", "node"], "left_anti")
-        pairs = left.withColumnRenamed("node", "a").join(rest, "k").filter((F.col("comp") != F.col("comp_b")) & (F.col("a") != F.col("b")))
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        links = written(_verified(pairs, nodes, similarity).unionByName(comps.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        if few:
-            break
-        comps, tried = written(connected(links)), written(tried.unionByName(pairs))
-        left = _meeting(join_checked(held.select("k", "node"), comps, "node").select("k", "node", F.coalesce("label", "node").alias("comp")))
+    apart = _linked_in_blocks(_meeting(left), nodes, similarity)
+    links = written(apart.unionByName(comps.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     # Rows of one id are one document.
     named = written(prints.filter("doc_id IS NOT NULL").join(nodes, ["n", *F_NAMES]).select("doc_id", "node").distinct())
     links = links.unionByName(named.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))

@@ -78,7 +78,7 @@ def test_one_large_group_of_copies(spark):
     assert got == {0}
 
 
-def test_stars_in_turn_find_what_pairs_find(spark, monkeypatch):
+def test_blocks_of_any_size_find_the_same(spark, monkeypatch):
     rnd = random.Random(6)
     base = ["w%d" % rnd.randrange(10**6) for _ in range(300)]
     rows = []
@@ -90,10 +90,10 @@ def test_stars_in_turn_find_what_pairs_find(spark, monkeypatch):
             w[rnd.randrange(300)] = "new%d" % i
         rows.append((i, " ".join(w)))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    by_pairs = {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()}
-    monkeypatch.setattr(S, "PAIRS_A_NODE", 0.2)
-    assert {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()} == by_pairs
-    assert len(set(by_pairs.values())) >= 3
+    by_one = {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()}
+    monkeypatch.setattr(S, "BLOCK", 3)
+    assert {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()} == by_one
+    assert len(set(by_one.values())) >= 3
 
 
 def test_thresholds_reach_the_recall():
