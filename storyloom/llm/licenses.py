@@ -8,6 +8,7 @@ priority, is suppressed; the labels of what remains are the method's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,25 +138,43 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), OTHER, " ")), F.lit(" "))
 
 
-def _starts(norm: Column, found: Column) -> Column:
-    """Places (1-based, of the space before them) of the matches ``found``, which stand in this order in ``norm``."""
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+#: Values that a running sum or maximum takes at once: its work on n values is of n * BLOCK, not of n * n.
+BLOCK = 512
 
-    def add(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, norm, acc["next"])
-        # The space after a match may be the one before the next.
-        return F.struct((at + F.length(m) - 1).alias("next"), F.concat(acc["at"], F.array(at)).alias("at"))
 
-    return F.aggregate(found, start, add)["at"]
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; in a lambda's body an expression is else worked out at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _whole(found: Column) -> Column:
-    """The matches with the space after them, too; the next match may start with it."""
-    return F.transform(found, lambda m: F.concat(m, F.lit(" ")))
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The running sum or maximum (``op``) of an array of positive ints, in blocks whose results are then carried on."""
+    none = F.array().cast("array<int>")
 
+    def along(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("last"), none.alias("all"))
+        step = lambda acc, x: _let(op(acc["last"], x), lambda y: F.struct(y.alias("last"), F.array_append(acc["all"], y).alias("all")))
+        return F.aggregate(part, start, step)["all"]
 
-def _matches(norm: Column, pattern: str) -> Column:
-    return _whole(F.regexp_extract_all(norm, F.lit(f"( {pattern}(?= ))"), F.lit(1)))
+    def carried(blocks: Column) -> Column:
+        # What comes before a block: nothing, and then the last values of those before.
+        before = F.concat(F.array(F.lit(0)), along(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, o: F.transform(b, lambda x: op(o, x))))
+
+    split = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(BLOCK)), lambda s: along(F.slice(v, s, F.lit(BLOCK))))
+    return _let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(_let(split(v), carried)))
+
+
+def _places(norm: Column, pattern: Column | str) -> Column:
+    """(at, until) of the matches of a pattern of words, as places (1-based) of the spaces before and after each.
+
+    The space after a match may be the one before the next.  The expression takes what lies before a match along, from the end of
+    the last one and nowhere else, so that it reads a text once and places are running sums of lengths."""
+    word = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    whole = F.concat(F.lit(r"\G.*?( "), word, F.lit("(?= ))"))
+    sizes = lambda group: F.transform(F.regexp_extract_all(norm, whole, F.lit(group)), lambda m: F.length(m))
+    found = F.zip_with(running(sizes(0), lambda x, y: x + y), sizes(1), lambda end, n: F.struct((end - n + 1).alias("at"), (end + 1).alias("until")))
+    return F.when(F.rlike(norm, F.concat(F.lit(" "), word, F.lit("(?= )"))), found).otherwise(F.array().cast("array<struct<at:int,until:int>>"))
 
 
 DETECTION = "array<struct<at:int,until:int,label:string,priority:int>>"
@@ -165,33 +184,30 @@ def detect(norm: Column, ordered: list[Rule]) -> Column:
     """All detections in a normalised text; a rule is tried only where a word begins with its keyword."""
     groups: dict[str, list[str]] = {}
     for r in ordered:  # no pattern holds a quote or a backslash
-        groups.setdefault(r.keyword, []).append(f"named_struct('pattern', '( {r.pattern}(?= ))', 'label', '{r.label}', 'priority', {r.priority})")
+        groups.setdefault(r.keyword, []).append(f"named_struct('pattern', '{r.pattern}', 'label', '{r.label}', 'priority', {r.priority})")
     table = F.expr("array(" + ", ".join(f"named_struct('keyword', ' {k}', 'rules', array({', '.join(rs)}))" for k, rs in groups.items()) + ")")
 
     def of(rule: Column) -> Column:
-        found = _whole(F.regexp_extract_all(norm, rule["pattern"], F.lit(1)))
-        return F.zip_with(
-            _starts(norm, found),
-            found,
-            lambda at, m: F.struct(at.alias("at"), (at + F.length(m) - 1).alias("until"), rule["label"].alias("label"), rule["priority"].alias("priority")),
-        )
+        return F.transform(_places(norm, rule["pattern"]), lambda p: F.struct(p["at"].alias("at"), p["until"].alias("until"), rule["label"].alias("label"), rule["priority"].alias("priority")))
 
     tried = F.flatten(F.transform(F.filter(table, lambda g: norm.contains(g["keyword"])), lambda g: g["rules"]))
     return F.when(norm == "", F.array().cast(DETECTION)).otherwise(F.flatten(F.transform(tried, of)).cast(DETECTION))
 
 
 def unsuppressed(found: Column) -> Column:
-    """The detections that no other contains: longer ones win, of equal ones the higher priority, then the first label."""
+    """The detections that no other contains: longer ones win, of equal ones the higher priority, then the first label.
+
+    In order of start, the longer and better first, a detection is inside an earlier one if that ends no sooner; so one
+    running maximum of ends tells.  Of equal detections the first stays."""
+    keyed = F.transform(found, lambda d: F.struct(d["at"].alias("at"), (-d["until"]).alias("less"), (-d["priority"]).alias("lower"), d["label"].alias("label")))
 
-    def beaten(d: Column) -> Column:
-        wider = lambda o: (o["at"] <= d["at"]) & (o["until"] >= d["until"]) & (
-            (o["until"] - o["at"] > d["until"] - d["at"])
-            | (o["priority"] > d["priority"])
-            | ((o["priority"] == d["priority"]) & (o["label"] < d["label"]))
-        )
-        return F.exists(found, wider)
+    def apart(ordered: Column) -> Column:
+        ends = running(F.transform(ordered, lambda d: -d["less"]), lambda x, y: F.greatest(x, y))
+        before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ordered))
+        return F.filter(F.zip_with(ordered, before, lambda d, e: F.struct(d.alias("d"), (e < -d["less"]).alias("stays"))), lambda x: x["stays"])
 
-    return F.filter(found, lambda d: ~beaten(d))
+    own = _let(F.array_sort(keyed), apart)
+    return F.transform(own, lambda x: F.struct(x["d"]["at"].alias("at"), (-x["d"]["less"]).alias("until"), x["d"]["label"].alias("label"), (-x["d"]["lower"]).alias("priority")))
 
 
 def _words_before(norm: Column, at: Column) -> Column:
@@ -214,7 +230,7 @@ def scan(docs: DataFrame) -> DataFrame:
     norm = F.col("norm")
 
     def places(phrase: str, label: str) -> Column:
-        return F.transform(_starts(norm, _matches(norm, phrase)), lambda at: F.struct(at.alias("at"), F.lit(label).alias("label")))
+        return F.transform(_places(norm, phrase), lambda p: F.struct(p["at"].alias("at"), F.lit(label).alias("label")))
 
     base = F.flatten(F.array(*[places(p, b) for p, b in BASE]))
     found = normal.withColumn("base", base).withColumn("detections", detect(norm, ordered))

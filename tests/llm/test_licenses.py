@@ -1,4 +1,7 @@
 import re
+from itertools import accumulate
+
+from pyspark.sql import functions as F
 
 from storyloom.llm import licenses as L
 
@@ -41,6 +44,8 @@ TEXTS = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy. BSD 3-Clause License",
     "Neither the name of the Äther Project may be used to endorse or promote products. All rights reserved.",
     "word " * 20000 + "mit license",
+    # More matches than a block of running sums holds, and letters of more than one byte.
+    "gpl 2 " * 600 + "Ä gnu gpl v3 or any later version é " * 40,
 ]
 
 
@@ -54,6 +59,18 @@ def test_scan_against_brute_force(spark):
     assert L.scan(docs).count() == len(rows)
 
 
+def test_running_values_in_blocks(spark):
+    values = [(i * 37) % 11 + 1 for i in range(L.BLOCK * 2 + 5)]
+    df = spark.createDataFrame([(values[:n],) for n in (0, 1, L.BLOCK, L.BLOCK + 1, len(values))], "v array<int>")
+    got = df.select("v", L.running(F.col("v"), lambda x, y: x + y).alias("s"), L.running(F.col("v"), lambda x, y: F.greatest(x, y)).alias("m")).collect()
+    assert all(r.s == list(accumulate(r.v)) and r.m == list(accumulate(r.v, max)) for r in got)
+
+
+def test_a_dense_megabyte_is_scanned(spark):
+    r = L.scan(spark.createDataFrame([(1, "gpl 2 " * 170_000)], "doc_id long, text string")).first()
+    assert (r.n_words, r.labels) == (340_000, "gpl-2")
+
+
 def test_every_pattern_holds_its_keyword():
     assert len(L.rules()) > 300
     for r in L.rules():
