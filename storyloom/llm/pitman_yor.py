@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, table, written
 
 CHUNK_BYTES = 12 << 20
+#: Texts of a chunk whose words are Python objects at a time.
+BLOCK = 256
 #: The end of a word, and what stands before its first byte; also the spelling of the end of a text, the empty word.
 STOP = 10
 #: Bytes that a lower-cased word can have, and the stop.
@@ -200,26 +204,39 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
-def by_shard(words, side: int) -> dict[int, list[bytes]]:
-    ordered = sorted(words)
-    kind, code = codes(ordered, side)
-    out: dict[int, list[bytes]] = {}
-    for w, s in zip(ordered, (kind * side + code % side).tolist()):
-        out.setdefault(s, []).append(w)
-    return out
+def words_in(texts: pa.ChunkedArray, kept: list[bool]) -> Iterator[list[bytes]]:
+    """The words of each text that is ``kept``; few texts are unpacked at a time."""
+    for at in range(0, len(texts), BLOCK):
+        yield from map(words_of, compress(texts.slice(at, BLOCK).to_pylist(), kept[at : at + BLOCK]))
 
 
-def tokens_of(texts: list[list[bytes]], side: int) -> tuple[dict[int, list[bytes]], list[bytes], np.ndarray, np.ndarray]:
+def tokens_of(texts: Iterable[list[bytes]], side: int) -> tuple[dict[int, list[bytes]], list[bytes], np.ndarray, np.ndarray]:
     """For texts laid end to end: the distinct words by shard and in one list, the place in it of each token, and that of
-    the token before it (the end, for a first one)."""
-    flat = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
-    found = flat.dictionary.to_pylist()
-    parts = by_shard(found, side)
-    words = list(chain.from_iterable(parts.values()))
-    at = dict(zip(words, range(len(words))))
-    now = np.fromiter(map(at.__getitem__, found), np.int64, len(found))[flat.indices.to_numpy()]
-    before = np.roll(now, 1)  # every text closes with the end
-    return parts, words, before, now
+    the token before it (the end, for a first one).  No more than a block of texts is held as lists of words."""
+    blocks = [pa.array(list(chain.from_iterable(some)), pa.binary()) for some in batched(texts, BLOCK)]
+    if not blocks:
+        return {}, [], np.zeros(0, np.int32), np.zeros(0, np.int32)
+    flat = pa.chunked_array(blocks, pa.binary()).dictionary_encode().unify_dictionaries()
+    del blocks
+    found, now = flat.chunk(0).dictionary, np.concatenate([x.indices.to_numpy() for x in flat.chunks])
+    del flat
+    order = pc.sort_indices(found).to_numpy()
+    words = found.to_numpy(zero_copy_only=False)
+    kind, code = codes(words.tolist(), side)
+    shard = kind * side + code % side
+    order = order[np.argsort(shard[order], kind="stable")]
+    words, shard = words[order].tolist(), shard[order]
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    parts = {s: words[a:b] for s, a, b in zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(words)])}
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    now = place[now]
+    return parts, words, np.roll(now, 1), now  # every text closes with the end
+
+
+def lengths_of(words: list[bytes], now: np.ndarray) -> np.ndarray:
+    """The number of tokens of each text; none is without the end."""
+    return np.diff(np.flatnonzero(now == words.index(b"")), prepend=-1) if words else np.zeros(0, np.int64)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +245,9 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = ordered[1:] != ordered[:-1]
-    at = np.empty(len(keys), np.int64)
-    at[order] = np.cumsum(first) - 1
-    return ordered[first], at
+    ordered, at = ordered[first], np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return ordered, at
 
 
 class Pairs:
@@ -243,7 +260,14 @@ class Pairs:
         order, size = np.lexsort((code, kind)), max(1, len(words))
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        keys, self.at = distinct((kind[now] * side + kind[before]) * size**2 + rank[now] * size + rank[before])
+        keys = kind[now]  # in place, as this array has the length of the chunk
+        keys *= side
+        keys += kind[before]
+        keys *= size
+        keys += rank[now]
+        keys *= size
+        keys += rank[before]
+        keys, self.at = distinct(keys)
         self.word, self.context = code[order][keys // size % size], code[order][keys % size]
         self.shards, start = np.unique(keys // size**2, return_index=True)
         self.parts = np.split(np.arange(len(keys)), start[1:])
@@ -267,11 +291,10 @@ ASKED = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("words", pa.bi
 
 def _ask(side: int):
     def run(t: pa.Table) -> pa.Table:
-        texts = {True: [], False: []}
-        for text, learn in zip(t["text"].to_pylist(), t["learn"].to_pylist()):
-            texts[bool(learn)].append(words_of(text))
-        learned = sum(map(len, texts[True]))  # these come first
-        parts, words, before, now = tokens_of(texts[True] + texts[False], side)
+        learn = [bool(x) for x in t["learn"].to_pylist()]
+        texts = chain(words_in(t["text"], learn), words_in(t["text"], [not x for x in learn]))
+        parts, words, before, now = tokens_of(texts, side)
+        learned = lengths_of(words, now)[: sum(learn)].sum()  # these come first
         tokens = np.bincount(now[:learned], minlength=len(words))
         pairs = Pairs(before, now, words, side)
         count = np.bincount(pairs.at[:learned], minlength=len(pairs.word))
@@ -291,8 +314,11 @@ def _seat_pairs(side: int, d: float):
 
     def run(t: pa.Table) -> pa.Table:
         shard, asked = t["shard"][0].as_py(), [unpack_pairs(x.as_py()) for x in t["pairs"]]
+        sizes = [len(w) for w, _, _ in asked]
         word, context, count = (np.concatenate(x) for x in zip(*asked))
+        del asked
         keys, at = distinct((word.astype(np.uint64) << np.uint64(32)) | context.astype(np.uint64))
+        del word, context
         n = np.bincount(at, count, len(keys)).astype(np.int64)
         mean, last, rows = np.minimum(n, 1).astype(float), np.minimum(n, 1), []
         seen = np.flatnonzero(n)
@@ -330,9 +356,9 @@ def _seat_pairs(side: int, d: float):
                     rows.append((role, kind * side + k, shard, pack(names[i].astype("<u4")), pack(cut[i].astype("<f8"))))
         left = (n - PAIR_DISCOUNT * mean).astype("<f4")
         first = 0
-        for chunk, (w, _, _) in zip(t["chunk"].to_pylist(), asked):
-            rows.append((0, chunk, shard, None, pack(left[at[first : first + len(w)]])))
-            first += len(w)
+        for chunk, size in zip(t["chunk"].to_pylist(), sizes):
+            rows.append((0, chunk, shard, None, pack(left[at[first : first + size]])))
+            first += size
         return pa.table(dict(zip(PAIRED.names, zip(*rows))), schema=PAIRED)
 
     return run
@@ -471,8 +497,7 @@ def _answer(spelling: Spelling, d: float, seated: int, tables: float, mass: floa
 
 def _score(side: int, tokens: int, types: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = [words_of(x) for x in t["text"].to_pylist()]
-        parts, words, before, now = tokens_of(texts, side)
+        parts, words, before, now = tokens_of(words_in(t["text"], [True] * t.num_rows), side)
         pairs, told, left = Pairs(before, now, words, side), {}, {}
         for s, p, c, r, x in zip(answers["shard"].to_pylist(), *(answers[k] for k in ("chance", "count", "tables", "data"))):
             if x.is_valid:
@@ -480,18 +505,21 @@ def _score(side: int, tokens: int, types: int):
             else:
                 told[s] = unpack(p.as_py(), "<f4"), unpack(c.as_py(), "<i8"), unpack(r.as_py(), "<f4")
         chance, count, tables = (np.concatenate([told[s][k] for s in parts] or [np.zeros(0)]) for k in range(3))
-        own = np.concatenate([left[s] for s in pairs.shards.tolist()] or [np.zeros(0)]).astype(float)[pairs.at]
-        upper = (PAIR_STRENGTH + PAIR_DISCOUNT * tables.astype(float)[before]) * chance.astype(float)[now]
-        score = np.log10((own + upper) / (PAIR_STRENGTH + count[before]))
-        base = np.log10((count[now] + 1) / (tokens + types + 1))
-        length = np.array([len(ws) for ws in texts], np.int64)
-        start = np.cumsum(length) - length  # no text is without a token
+        own = np.concatenate([left[s] for s in pairs.shards.tolist()] or [np.zeros(0)])[pairs.at]
+        score = (PAIR_STRENGTH + PAIR_DISCOUNT * tables.astype(float))[before]
+        score *= chance.astype(float)[now]
+        score += own
+        score /= (PAIR_STRENGTH + count)[before]
+        np.log10(score, out=score)
+        base = np.log10((count + 1) / (tokens + types + 1))[now]
+        length = lengths_of(words, now)
+        start = np.cumsum(length) - length
         add = lambda x: np.add.reduceat(x, start) if len(start) else x
         return pa.table(
             {
                 "doc_id": t["doc_id"],
                 "n_tokens": pa.array(length, pa.int64()),
-                "n_known": pa.array(add((count[now] > 0).astype(np.int64)), pa.int64()),
+                "n_known": pa.array(add((count > 0).astype(np.int64)[now]), pa.int64()),
                 "base_score": pa.array(add(base), pa.float64()),
                 "score": pa.array(add(score), pa.float64()),
             }

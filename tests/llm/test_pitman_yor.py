@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -115,3 +118,30 @@ def test_nothing_to_learn(spark):
     assert [(r.n_known, r.train_tokens) for r in rows] == [(0, 0)] * 3
     assert all(math.isfinite(r.score) for r in rows)
     assert zlib.crc32(b"") == 0
+
+
+GROWS_BY = """
+import random
+import pyarrow as pa
+from storyloom.llm import pitman_yor as H
+
+def peak():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1]) * 1024
+
+def texts(n):
+    rnd = random.Random(n)
+    some = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 8))) for _ in range(8 * n)]
+    return pa.table({"chunk": [0] * n, "text": [" ".join(rnd.choices(some, k=500)) for _ in range(n)], "learn": [i % 7 > 0 for i in range(n)]})
+
+H._ask(9)(texts(300))
+t = texts(3000)
+open("/proc/self/clear_refs", "w").write("5")
+before = peak()
+H._ask(9)(t)
+print((peak() - before) / t["text"].nbytes)
+"""
+
+
+def test_a_chunk_is_not_held_as_words():
+    done = subprocess.run([sys.executable, "-c", GROWS_BY], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(done.stdout) < 18, "bytes a byte of text"
