@@ -9,7 +9,6 @@ gets; the pieces find theirs by their rank among pieces of their length.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,10 +24,12 @@ CAPACITY, END_ID = 1024, 2
 PARTS = (8, 4, 3, 2)
 #: Pieces in a bucket, in the mean; ranks are counted within buckets.
 BUCKET = 10_000
-#: Distinct words whose ids a Python worker remembers before it starts anew.
+#: Distinct words whose ids a Python worker remembers before it forgets the later half.
 WORDS_KEPT, LONGEST_KEPT = 1_000_000, 40
 #: White space but for the space and the line feed.
-OTHER_SPACE = re.compile("[^\\S \n]")
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Marks that are words of their own behind letters, and the letters below which Unicode versions agree.
+MARKS, LETTERS_END = ".,", "\u0250"
 #: How byte-level vocabularies write the byte of a space.
 SPACE_BYTE = "\u0120"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,9 +40,10 @@ def _word_ids(path: str):
     """A function from a text to its ids as little-endian 32-bit bytes.
 
     Byte-level BPE splits a text before a space that stands between two visible characters, so a text cut at such spaces
-    has the ids of its parts, each with the space before it.  The ids of short parts are remembered.  Parts not seen
-    before are encoded in one go: as they hold no space but the first character, a new part begins where an id's bytes
-    begin with a space."""
+    has the ids of its parts, each with the space before it.  The ids of short parts are remembered; parts seen first,
+    which are the frequent ones, longest.  Letters with a mark behind have the ids of the letters, then that of the
+    mark.  Other parts not seen before are encoded in one go: as they hold no space but the first character, a new part
+    begins where an id's bytes begin with a space."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,8 +54,9 @@ def _word_ids(path: str):
         tokenizer.encode_special_tokens = True
         opens = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
         opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE_BYTE)]] = True
-        _memory[path] = (tokenizer, opens, {})
-    tokenizer, opens, known = _memory[path]
+        marks = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in MARKS}
+        _memory[path] = (tokenizer, opens, {}, marks)
+    tokenizer, opens, known, marks = _memory[path]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,7 +64,7 @@ def _word_ids(path: str):
     def ids(text: str) -> bytes:
         parts = text.split(" ")
         # White space beside a cut changes how the text is split; then the neighbours stay together.
-        odd = "  " in text or "\n " in text or " \n" in text or parts[0] == "" or parts[-1] == "" or OTHER_SPACE.search(text)
+        odd = "  " in text or "\n " in text or " \n" in text or parts[0] == "" or parts[-1] == "" or any(c in text for c in OTHER_SPACE)
         if odd:
             joined, parts = parts, []
             for p in joined:
@@ -71,15 +74,25 @@ def _word_ids(path: str):
                     parts.append(p)
         first, rest = parts[0], parts[1:]
         if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list(set(rest).difference(known))
+            for _ in range(len(known) // 2):
+                known.popitem()
+        found = list(map(known.get, rest))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for p in {rest[i] for i in gaps}:
+            if p[-1:] in marks and (letters := known.get(p[:-1])) and p[:-1].isalpha() and max(p) < LETTERS_END:
+                known[p] = letters + marks[p[-1]]
+            else:
+                new.append(p)
         spaced = [p for p in new if " " in p] if odd else []
         whole = [p for p in new if " " not in p] if odd else new
         head, run, *apart = encode([first, "".join(" " + p for p in whole), *(" " + p for p in spaced)])
         data, at = run.tobytes(), (4 * np.flatnonzero(opens[run])).tolist()
         known.update(zip(whole, (data[a:b] for a, b in zip(at, [*at[1:], len(data)]))))
         known.update(zip(spaced, (a.tobytes() for a in apart)))
-        data = head.tobytes() + b"".join(map(known.__getitem__, rest))
+        for i in gaps:
+            found[i] = known[rest[i]]
+        data = head.tobytes() + b"".join(found)
         for p in new:
             if len(p) > LONGEST_KEPT:
                 del known[p]

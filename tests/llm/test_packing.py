@@ -27,6 +27,17 @@ def test_ids_of_parts_are_ids_of_the_text():
         assert [*got, P.END_ID] == want, repr(text)
 
 
+def test_frequent_words_stay_remembered_and_marks_are_words(monkeypatch):
+    monkeypatch.setattr(P, "WORDS_KEPT", 40)
+    monkeypatch.setattr(P, "_memory", {})
+    ids = P._word_ids(P.default_tokenizer())
+    texts = ["the erth and onten", "the erth, and. onten. and, x, y2. é, a.. 'b. ,. . , don't. it's, ERTH. erth.", "one erth.\nThe end.\nof erth\tx\ny z\n\nw erth.\nThe end.\nof"]
+    texts += [" ".join(f"the w{i}{k} zq{'abcdefghij'[k]}," for k in range(10)) for i in range(9)] + texts
+    for text, want in zip(texts, encoded(texts)):
+        assert [*np.frombuffer(ids(text), "<u4").tolist(), P.END_ID] == want, text
+        assert {"erth", "and", "onten"} <= P._memory[P.default_tokenizer()][2].keys()
+
+
 def check(rows, want, capacity):
     pieces = {}
     sequences = {}
