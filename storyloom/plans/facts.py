@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import DECISIONS
+from ..functions.columns import DECISIONS, exact_sum
 from ..operators import facts as E
 from ..operators import preferences as W
 from ..operators import similarity as P
@@ -315,7 +315,7 @@ SELECT n.user_id, target, greatest(-1, least(2, coalesce(l.level, 0) + sign(net)
 )
 def learned_levels(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    nets = e.groupBy("user_id", F.col("event_type").alias("target")).agg(F.bround(F.sum("value") / 100 - 3, 3).alias("net")).withColumn("active", F.abs("net") >= 0.5)
+    nets = e.groupBy("user_id", F.col("event_type").alias("target")).agg(F.bround(exact_sum(F.col("value")) / 100 - 3, 3).alias("net")).withColumn("active", F.abs("net") >= 0.5)
     levels = e.select("user_id", F.lit("click").alias("target"), (F.col("user_id") % 5 - 2).cast("int").alias("level")).distinct()
     return W.learned_levels(nets, levels)
 
