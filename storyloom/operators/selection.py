@@ -32,7 +32,7 @@ def edition(df: DataFrame) -> DataFrame:
     return placed.withColumn("section", section).drop("rank", "top")
 
 
-def recent_or_all(df: DataFrame, now: datetime, hours: int = 24, at: str = "published_at") -> DataFrame:
+def recent_or_all(df: DataFrame, now: datetime | Column, hours: int = 24, at: str = "published_at") -> DataFrame:
     """The rows of the last ``hours``, or all rows if there are none, with ``fallback`` saying which."""
     cut = F.lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
     some = df.agg(F.coalesce(F.max(F.col(at) >= cut), F.lit(False)).alias("some"))
