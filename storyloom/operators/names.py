@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hebrew as H
-from .gates import PERSON_STATES, band_counts, gated
+from .gates import PERSON_STATES, gated
+from .graph import saved
 from .similarity import skeleton
 
 # Frequencies (log10 of occurrences in a billion words) of ordinary words and of names.
@@ -64,8 +65,9 @@ def forms(word: Column, rules: NameRules) -> Column:
     return F.when((F.length(word) > 3) & _prefixed(word, rules), F.array(word, F.substring(word, 2, 1000))).otherwise(F.array(word))
 
 
-def not_vocabulary(found: DataFrame, vocabulary: DataFrame, rules: NameRules) -> DataFrame:
-    """(w) of the distinct words of ``found`` (w) of which no form is in ``vocabulary`` (word, kinds)."""
+def vocabulary_forms(found: DataFrame, vocabulary: DataFrame, rules: NameRules) -> DataFrame:
+    """(w) of the distinct words of ``found`` (w) of which a form is in ``vocabulary`` (word, kinds): each word of it has
+    few forms, by the prefixes of the script."""
     own = found.select("w").distinct()
     one, two = F.substring("w", 2, 1000), F.substring("w", 3, 1000)
     n, first = F.length("w"), _prefixed(F.col("w"), rules)
@@ -77,8 +79,7 @@ def not_vocabulary(found: DataFrame, vocabulary: DataFrame, rules: NameRules) ->
         F.when(again & (n > 4), look(two, LISTED | NON_NAME)).when(again, look(two, NON_NAME)),
     )
     looked = own.select("w", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("x")).select("w", "x.*")
-    hit = looked.join(vocabulary, "word").filter(F.col("kinds").bitwiseAND(F.col("allowed")) > 0).select("w").distinct()
-    return own.join(hit, "w", "left_anti")
+    return looked.join(vocabulary, "word").filter(F.col("kinds").bitwiseAND(F.col("allowed")) > 0).select("w").distinct()
 
 
 def role(prev: Column, prev2: Column, rules: NameRules) -> Column:
@@ -88,62 +89,111 @@ def role(prev: Column, prev2: Column, rules: NameRules) -> Column:
     return F.when(holder, "role_holder").when(said(prev, rules.opponents), "opponent").otherwise("unknown")
 
 
-def mentions(articles: DataFrame, vocabulary: DataFrame, rules: NameRules) -> DataFrame:
-    """Every word of every title and subtitle that is not vocabulary, with its place, what stands beside it, next_name
-    (the following word if that is not vocabulary either) and pairs (the words of such pairs in the same text)."""
-    texts = articles.select("article_id", F.explode(F.array(*[F.struct(F.lit(c).alias("source"), words(F.col(c), rules).alias("ws")) for c in ("title", "subtitle")])).alias("t"))
-    each = texts.select("article_id", "t.source", "t.ws", F.posexplode("t.ws").alias("i", "w"))
-    free = not_vocabulary(each, vocabulary, rules).withColumn("free", F.lit(True))
+def _skeleton_key(word: Column) -> Column:
+    return F.concat(F.lit("translit:"), skeleton(word))
+
+
+SOURCES = ("title", "subtitle")
+
+
+def _texts(articles: DataFrame, vocabulary: DataFrame, rules: NameRules) -> DataFrame:
+    """The articles with what the gates ask for, a row number, and their titles and subtitles as ts: source, ws (words),
+    free (whether each word is none of the vocabulary) and pairs (the words of pairs of such).  A written table.
+
+    The words that are vocabulary in any form become one set of literals: as many as ``vocabulary`` has, times the forms."""
+    every = articles.select(F.explode(F.concat(*[words(F.col(c), rules) for c in SOURCES])).alias("w"))
+    listed = [r.w for r in vocabulary_forms(every, vocabulary, rules).collect()]
+    is_free = lambda w: ~w.isin(*listed) if listed else F.lit(True)
+    t = gated(articles).select("article_id", "kind", "proven", "at", "band", "live", *[words(F.col(c), rules).alias(f"{c}_ws") for c in SOURCES])
+    t = t.withColumns({f"{c}_free": F.transform(f"{c}_ws", is_free) for c in SOURCES})
+    beside = lambda c, i: F.coalesce(F.get(f"{c}_free", i + 1), F.lit(False)) | F.coalesce(F.get(f"{c}_free", i - 1), F.lit(False))
+    paired = lambda c: F.array_distinct(F.filter(f"{c}_ws", lambda w, i: F.get(f"{c}_free", i) & beside(c, i)))
+    t = t.withColumns({f"{c}_pairs": paired(c) for c in SOURCES})
+    parts = [F.struct(F.lit(c).alias("source"), *[F.col(f"{c}_{x}").alias(x) for x in ("ws", "free", "pairs")]) for c in SOURCES]
+    return saved(t.select("article_id", "kind", "proven", "at", "band", "live", F.monotonically_increasing_id().alias("row"), F.array(*parts).alias("ts")))
+
+
+def _rated(texts: DataFrame, frequencies: DataFrame, rules: NameRules) -> DataFrame:
+    """The texts with z: by place, the frequency of each word that is none of the vocabulary, by its most common form."""
+    each = texts.select("row", F.posexplode("ts").alias("s", "t")).select("row", "s", F.posexplode("t.ws").alias("i", "w"), "t.free").filter(F.get("free", F.col("i"))).select("row", _place(F.col("s"), F.col("i")).alias("place"), "w")
+    forms_of = each.select("w").distinct().select("w", F.explode(forms(F.col("w"), rules)).alias("word"))
+    known = forms_of.join(frequencies, "word").groupBy("w").agg(F.max("zipf").alias("z"))
+    z = each.join(known, "w").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", "z"))).alias("z"))
+    return texts.join(z, "row", "left")
+
+
+def _place(s: Column, i: Column) -> Column:
+    return i * len(SOURCES) + s
+
+
+def _mentions(texts: DataFrame, rules: NameRules) -> DataFrame:
+    """Every word of the texts that is not vocabulary, with its place, what stands beside it, next_name (the following word
+    if that is not vocabulary either), in_text (whether the text has it in a pair) and own (whether an article that its own
+    gates admit has it so)."""
+    both = F.array_distinct(F.flatten(F.transform(F.flatten("ts.pairs"), lambda w: forms(w, rules))))
+    counts = F.col("kind").isNotNull() & ~F.col("live")
+    rated = ["z"] if "z" in texts.columns else []
+    each = texts.select("*", F.when(counts, both).alias("named")).select("row", "article_id", "kind", "proven", "at", "band", *rated, "named", F.posexplode("ts").alias("s", "t"))
+    each = each.select("*", "t.*").select("*", F.posexplode("ws").alias("i", "w")).filter(F.get("free", F.col("i")))
     i = F.col("i")
-    before = F.slice("ws", F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT)))
-    each = each.select("article_id", "source", "i", "w", F.get("ws", i - 1).alias("prev"), F.get("ws", i - 2).alias("prev2"), before.alias("left_context"), F.slice("ws", i + 2, CONTEXT + 1).alias("after"))
-    text = Window.partitionBy("article_id", "source")
-    by = text.orderBy("i")
-    known = each.join(free, "w", "left").withColumn("next_name", F.when(F.col("free") & F.lead("free").over(by), F.lead("w").over(by)))
-    paired = F.col("next_name").isNotNull() | F.coalesce(F.col("free") & F.lag("free").over(by), F.lit(False))
-    known = known.withColumn("paired", paired).withColumn("pairs", F.collect_set(F.when(F.col("paired"), F.col("w"))).over(text))
-    return known.filter("free").drop("free", "paired")
+    own = forms(F.col("w"), rules)
+    return each.select(
+        "row", "article_id", "kind", "proven", "at", "band", "source", "s", "i", "w", F.get("ws", i - 1).alias("prev"), F.get("ws", i - 2).alias("prev2"),
+        F.slice("ws", F.greatest(i - CONTEXT, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT))).alias("left_context"), F.slice("ws", i + 2, CONTEXT + 1).alias("after"),
+        F.when(F.get("free", i + 1), F.get("ws", i + 1)).alias("next_name"), F.arrays_overlap(own, "pairs").alias("in_text"), F.coalesce(F.arrays_overlap(own, "named"), F.lit(False)).alias("own"),
+        *[F.coalesce(F.element_at("z", _place(F.col("s"), i + k)), F.lit(0.0)).alias(f"z{k}") for k in (0, 1) if rated],
+    )
 
 
-def _skeleton_key(word: Column) -> Column:
-    return F.concat(F.lit("translit:"), skeleton(word))
+def _keys(word: Column, rules: NameRules) -> Column:
+    return F.array_append(forms(word, rules), _skeleton_key(word))
+
 
+def _known_around(texts: DataFrame, asked: DataFrame, rules: NameRules) -> DataFrame:
+    """row, s and i of the mentions ``asked`` of which a pair in an article that the gates admit beside theirs has a form or
+    skeleton, and known: whether a form.
 
-def lexicon(found: DataFrame, gates: DataFrame, rules: NameRules) -> DataFrame:
-    """(key, kind, proven, at, band): when the forms and skeletons of paired words were used, of articles whose stories are
-    grouped and that are not in play.  ``found`` are mentions, ``gates`` gated articles."""
-    both = found.filter("next_name IS NOT NULL").select("article_id", F.explode(F.array("w", "next_name")).alias("w")).distinct()
-    keys = both.select("article_id", F.explode(F.array_append(forms(F.col("w"), rules), _skeleton_key(F.col("w")))).alias("key"))
-    return keys.join(gates.filter("kind IS NOT NULL AND NOT live").select("article_id", "kind", "proven", "at", "band"), "article_id").drop("article_id")
+    Time is cut into slots as long as the band, so a band reaches into the slot before and the one after; of each slot
+    it is enough to know when a key was used first and last."""
+    slot = lambda k: F.expr(f"(at - pmod(at, band)) div band + {k}")
+    group = F.xxhash64("key", "kind").alias("g")
+    used = texts.filter("kind IS NOT NULL AND NOT live").select("kind", "proven", "at", "band", F.explode(F.array_distinct(F.flatten(F.transform(F.flatten("ts.pairs"), lambda w: _keys(w, rules))))).alias("key"))
+    span = used.select(group, slot(0).alias("slot"), "proven", "at").repartition("g", "slot").groupBy("g", "slot", "proven").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    probes = asked.select("row", "s", "i", "kind", "proven", "at", "band", F.explode(_keys(F.col("w"), rules)).alias("key"))
+    probes = probes.select("row", "s", "i", group, "proven", "at", "band", (~F.startswith("key", F.lit("translit:"))).alias("surface"), F.explode(F.array(slot(-1), slot(0), slot(1))).alias("slot"))
+    p, e = probes.alias("p"), span.alias("e")
+    near = F.expr("p.g = e.g AND p.slot = e.slot AND e.last >= p.at - p.band AND e.first <= p.at + p.band AND (p.proven = e.proven OR p.proven = '' OR e.proven = '')")
+    return p.join(e, near, "left_semi").groupBy("row", "s", "i").agg(F.max("surface").alias("known"))
 
 
-def candidates(articles: DataFrame, vocabulary: DataFrame, rules: NameRules = HEBREW, resolved: DataFrame | None = None) -> DataFrame:
+def candidates(articles: DataFrame, vocabulary: DataFrame, rules: NameRules = HEBREW, resolved: DataFrame | None = None, frequencies: DataFrame | None = None) -> DataFrame:
     """Candidate names: article_id, source (title or subtitle), token_start, token_end, anchor, generation_rule,
-    confidence, role, left_context, right_context, population_corroborated, entity_id.
+    confidence, role, left_context, right_context, population_corroborated, entity_id; and, with ``frequencies`` (word,
+    zipf), max_zipf, as ``validated`` has it.
 
     name_bigram: two words beside each other of which neither is vocabulary.  corroborated_single: one such word that is
     part of a pair in the same text, or whose form or skeleton a pair in an article of its population has
     (population_corroborated: a form, not only the skeleton).  canonical_taxonomy: what ``resolved`` (article_id, source,
     entity_id, taxonomy_kind) says is named there.  An article whose stories are not grouped has no population.
     ``articles``: article_id (once each), title, subtitle, event_type, sport, published_at; null texts have no words."""
-    found = mentions(articles, vocabulary, rules)
-    gates = gated(articles).select("article_id", "kind", "proven", "at", "band", "live")
+    texts = _texts(articles, vocabulary, rules)
+    found = _mentions(texts if frequencies is None else saved(_rated(texts, frequencies, rules)), rules)
     common = ["article_id", "source", F.col("i").alias("token_start")]
     part = role(F.col("prev"), F.col("prev2"), rules).alias("role")
     none = F.lit(None).cast("string").alias("entity_id")
+    rated = lambda of: [] if frequencies is None else [of.alias("max_zipf")]
     pairs = found.filter("next_name IS NOT NULL").select(
         *common, (F.col("i") + 2).alias("token_end"), F.concat_ws(" ", "w", "next_name").alias("anchor"), F.lit("name_bigram").alias("generation_rule"), F.lit("strong").alias("confidence"),
-        part, "left_context", F.slice("after", 2, CONTEXT).alias("right_context"), F.lit(False).alias("population_corroborated"), none,
+        part, "left_context", F.slice("after", 2, CONTEXT).alias("right_context"), F.lit(False).alias("population_corroborated"), none, *rated(F.greatest("z0", "z1")),
     )
-    asked = found.select("article_id", "source", "i", "w").join(gates.filter("kind IS NOT NULL"), "article_id")
-    asked = asked.select("article_id", "source", "i", "kind", "proven", "at", "band", F.explode(F.array_append(forms(F.col("w"), rules), _skeleton_key(F.col("w")))).alias("key"))
-    hits = band_counts(lexicon(found, gates, rules), asked).filter("n > 0").select("key", "kind", "proven", "at")
-    surface = ~F.startswith("key", F.lit("translit:"))
-    known = asked.join(hits, ["key", "kind", "proven", "at"]).groupBy("article_id", "source", "i").agg(F.max(surface).alias("known"))
-    lone = found.join(known, ["article_id", "source", "i"], "left").filter(F.col("known").isNotNull() | F.arrays_overlap(forms(F.col("w"), rules), "pairs"))
-    single = lone.select(
+    # Only words that their own article does not settle are looked up in others.
+    asked = F.col("kind").isNotNull() & ~F.col("own")
+    known = _known_around(texts, _mentions(texts, rules).filter(asked), rules)
+    sure = found.filter(~asked & (F.col("own") | F.col("in_text"))).withColumn("known", F.col("own"))
+    looked = found.filter(asked).join(known, ["row", "s", "i"], "left").filter(F.col("known").isNotNull() | F.col("in_text"))
+    single = sure.unionByName(looked).select(
         *common, (F.col("i") + 1).alias("token_end"), F.col("w").alias("anchor"), F.lit("corroborated_single").alias("generation_rule"), F.lit("weak").alias("confidence"),
-        part, "left_context", F.slice("after", 1, CONTEXT).alias("right_context"), F.coalesce("known", F.lit(False)).alias("population_corroborated"), none,
+        part, "left_context", F.slice("after", 1, CONTEXT).alias("right_context"), F.coalesce("known", F.lit(False)).alias("population_corroborated"), none, *rated(F.col("z0")),
     )
     out = pairs.unionByName(single)
     if resolved is not None:
@@ -151,7 +201,7 @@ def candidates(articles: DataFrame, vocabulary: DataFrame, rules: NameRules = HE
         out = out.unionByName(resolved.select(
             "article_id", "source", F.lit(-1).alias("token_start"), F.lit(-1).alias("token_end"), F.col("entity_id").alias("anchor"), F.lit("canonical_taxonomy").alias("generation_rule"),
             F.lit("canonical").alias("confidence"), F.when(F.col("taxonomy_kind") == "coach", "role_holder").otherwise("unknown").alias("role"), empty.alias("left_context"), empty.alias("right_context"),
-            F.lit(False).alias("population_corroborated"), "entity_id",
+            F.lit(False).alias("population_corroborated"), "entity_id", *rated(F.lit(None).cast("double")),
         ))
     return out
 
@@ -167,18 +217,19 @@ def validated(found: DataFrame, frequencies: DataFrame | None, rules: NameRules
     """The candidates with decision (accepted, rejected, abstained), reason_code and max_zipf.
 
     A span is as ordinary as the most common form of its most common word; a form that ``frequencies`` (word, zipf) does
-    not have is at 0.  Named entities of the catalogue are accepted as they are; without frequencies, or without a word of
-    the script, nothing is claimed."""
-    named = F.col("entity_id").isNotNull()
+    not have is at 0; what ``candidates`` has rated already is taken as it is.  Named entities of the catalogue are
+    accepted as they are; without frequencies, or without a word of the script, nothing is claimed."""
+    named, z = F.col("entity_id").isNotNull(), F.col("max_zipf")
+    reason = F.when(named, "canonical_taxonomy").when(z.isNull(), "no_tokens").when(z >= ordinary, "ordinary_word").when(z <= name, "rare_in_language").otherwise("uncertain_band")
     if frequencies is None:
         judged = found.withColumn("max_zipf", F.lit(None).cast("double")).withColumn("reason_code", F.when(named, "canonical_taxonomy").otherwise("resource_unavailable"))
+    elif "max_zipf" in found.columns:
+        judged = found.withColumn("reason_code", reason)
     else:
         spans = found.filter(~named).select("anchor").distinct()
         own = F.filter(F.split("anchor", " "), lambda w: w.rlike(f"^(?:{rules.word})$"))
         each = spans.select("anchor", F.explode(own).alias("w")).select("anchor", F.explode(forms(F.col("w"), rules)).alias("word"))
         rated = each.join(frequencies, "word", "left").groupBy("anchor").agg(F.max(F.coalesce("zipf", F.lit(0.0))).alias("max_zipf"))
-        z = F.col("max_zipf")
-        reason = F.when(named, "canonical_taxonomy").when(z.isNull(), "no_tokens").when(z >= ordinary, "ordinary_word").when(z <= name, "rare_in_language").otherwise("uncertain_band")
         judged = found.join(rated, "anchor", "left").withColumn("reason_code", reason)
     decision = F.when(F.col("reason_code").isin("canonical_taxonomy", "rare_in_language"), "accepted").when(F.col("reason_code") == "ordinary_word", "rejected").otherwise("abstained")
     return judged.withColumn("decision", decision)
