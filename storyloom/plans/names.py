@@ -30,14 +30,15 @@ def _articles(spark, sf_dir) -> DataFrame:
     return articles(spark, sf_dir).select("article_id", "title", "subtitle", "event_type", "sport", "published_at", "source", "text", "doc_id")
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
+def _candidates(spark, sf_dir, frequencies: DataFrame | None = None) -> DataFrame:
     art = _articles(spark, sf_dir)
-    return N.candidates(art, saved(_vocabulary(art)), RULES)
+    return N.candidates(art, saved(_vocabulary(art)), RULES, frequencies=frequencies)
 
 
 def _judged(spark, sf_dir) -> DataFrame:
     """The candidates, held against the language of the conversations."""
-    return N.validated(_candidates(spark, sf_dir), saved(N.word_frequencies(read(spark, sf_dir, "conversations"), RULES)), RULES)
+    language = saved(N.word_frequencies(read(spark, sf_dir, "conversations"), RULES))
+    return N.validated(_candidates(spark, sf_dir, language), language, RULES)
 
 
 def _anchors(spark, sf_dir) -> DataFrame:
