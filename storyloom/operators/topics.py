@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DECISIONS, case, decision_rank
+from .graph import joined, saved
 from .rules import first_match
 
 # Events that say which team, or which competition, an article is about.
@@ -62,29 +63,37 @@ def topic_decisions(articles: DataFrame, topics: DataFrame, competitions: DataFr
 
     ``articles``: article_id, sport, event_type, importance, entities (array); ``topics``: user_id, topic_id, scope (sport,
     competition, entity), target, mode, priority, pos; ``competitions`` as from ``competition_matches``; ``rules``: topic_id,
-    entity (null: any), event_type, decision; ``follows``: topic_id, entity (without it, any entity counts as followed).  A
-    topic that is hidden for an event falls back to importance where only importance counts, and to its catch-all rule, or
+    entity (null: any), event_type, decision; ``follows``: entity and topic_id, or user_id for all topics of a user (without
+    it, any entity counts as followed).  A topic that is hidden for an event falls back to importance where only importance counts, and to its catch-all rule, or
     feed, where followed entities count.  Topics meet articles by equal keys, never all against all."""
     rules = with_aliases(rules, aliases or {})
     facts = articles.select("article_id", "sport", "event_type", "importance", "entities")
+    about = ["article_id", "event_type", "importance", "entities"]
     keys = (
-        facts.select("article_id", F.lit("sport").alias("scope"), F.col("sport").alias("target"), F.lit("explicit").alias("kind"))
-        .union(facts.select("article_id", F.lit("entity"), F.explode("entities"), F.lit("explicit")))
-        .union(competitions.select("article_id", F.lit("competition"), "competition", "kind"))
+        facts.select(*about, F.lit("sport").alias("scope"), F.col("sport").alias("target"), F.lit("explicit").alias("kind"))
+        .union(facts.select(*about, F.lit("entity"), F.explode("entities"), F.lit("explicit")))
+        .union(competitions.join(facts, "article_id").select(*about, F.lit("competition"), "competition", "kind"))
     )
-    met = keys.join(topics, ["scope", "target"]).join(facts, "article_id")
-    own = rules.filter("entity IS NULL").select("topic_id", "event_type", F.col("decision").alias("by_event"))
+    # What a topic says of events goes with the topic: topics are few beside what they meet.
+    own = rules.filter("entity IS NULL").groupBy("topic_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "decision"))).alias("by_events"))
     named = rules.filter("entity IS NOT NULL").select("topic_id", "event_type", F.col("entity").alias("of"), decision_rank(F.col("decision")).alias("r"))
-    by_entity = met.select("topic_id", "article_id", "event_type", F.explode("entities").alias("of")).distinct().join(named, ["topic_id", "event_type", "of"]).groupBy("topic_id", "article_id").agg(F.max("r").alias("r"))
-    met = met.join(own, ["topic_id", "event_type"], "left").join(by_entity, ["topic_id", "article_id"], "left")
+    own = topics.join(own, "topic_id", "left").join(named.select("topic_id", F.lit(True).alias("names")).distinct(), "topic_id", "left")
+    said = lambda event: F.element_at("by_events", event)
+    catch = F.when(said(F.lit(CATCH_ALL)) != "hidden", said(F.lit(CATCH_ALL)))
+    met = joined(keys, saved(own.withColumn("catch_all", catch)), ["scope", "target"]).withColumn("by_event", said(F.col("event_type")))
+    each = met.filter("names").select("topic_id", "article_id", "event_type", F.explode(F.array_distinct("entities")).alias("of"))
+    by_entity = each.join(named, ["topic_id", "event_type", "of"]).groupBy("topic_id", "article_id").agg(F.max("r").alias("r"))
+    met = met.withColumn("any_entity", F.size("entities") > 0)
+    slim = met.select("user_id", "topic_id", "article_id", "scope", "kind", "mode", "priority", "pos", "importance", "by_event", "catch_all", "any_entity").join(by_entity, ["topic_id", "article_id"], "left")
     entity_rule = case(F.col("r"), dict(enumerate(DECISIONS)))
     if follows is None:
-        met = met.withColumn("followed", F.size("entities") > 0)
+        met = slim.withColumn("followed", F.col("any_entity"))
     else:
-        each = met.select("topic_id", "article_id", F.explode("entities").alias("entity")).distinct().join(follows.distinct(), ["topic_id", "entity"]).select("topic_id", "article_id", F.lit(True).alias("followed")).distinct()
-        met = met.join(each, ["topic_id", "article_id"], "left").withColumn("followed", F.coalesce("followed", F.lit(False)))
-    catch = rules.filter((F.col("event_type") == CATCH_ALL) & F.col("entity").isNull() & (F.col("decision") != "hidden")).select("topic_id", F.col("decision").alias("catch_all"))
-    met = met.join(catch, "topic_id", "left")
+        # Asked only where it counts: for topics of followed entities, and for membership, which is held back without one.
+        asked = met.filter((F.col("mode") == "followed_entities_only") | (F.col("kind") == "membership"))
+        by = "user_id" if "user_id" in follows.columns else "topic_id"
+        hits = asked.select("user_id", "topic_id", "article_id", F.explode("entities").alias("entity")).join(follows.select(by, "entity").distinct(), [by, "entity"], "left_semi")
+        met = slim.join(hits.select("topic_id", "article_id", F.lit(True).alias("followed")).distinct(), ["topic_id", "article_id"], "left").withColumn("followed", F.coalesce("followed", F.lit(False)))
     event_rule, mode, big = F.col("by_event"), F.col("mode"), F.col("importance") == "very_high"
     plain = fallback(F.col("importance"), F.col("priority"))
     visible = F.when(event_rule != "hidden", event_rule)

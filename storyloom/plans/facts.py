@@ -9,6 +9,7 @@ from ..operators import facts as E
 from ..operators import preferences as W
 from ..operators import similarity as P
 from ..operators import topics as T
+from ..operators.graph import saved
 from ..sources.tables import articles, pick, read
 from .registry import ART, RANK, query
 
@@ -354,7 +355,7 @@ SELECT u AS user_id, id AS article_id, topic AS topic_id, decision, rule FROM cp
 def topic_decisions(spark, sf_dir):
     region, nation = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
     sup = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sk"), F.col("n_regionkey").alias("r"))
-    arts = _order_articles(spark, sf_dir).withColumn("entities", F.col("teams")).withColumn("competitions", F.when(F.col("importance") != "low", F.array("competition")).otherwise(F.array().cast("array<string>")))
+    arts = saved(_order_articles(spark, sf_dir).withColumn("entities", F.col("teams")).withColumn("competitions", F.when(F.col("importance") != "low", F.array("competition")).otherwise(F.array().cast("array<string>"))))
     comps = T.competition_matches(arts, arts.select("article_id", F.explode("reach").alias("competition")), arts.select("article_id", "competition"))
     nk, rk, sk = F.col("n_nationkey"), F.col("r_regionkey"), F.col("sk")
     topics = nation.select(F.col("n_regionkey").alias("user_id"), _named("k", nk).alias("topic_id"), F.lit("competition").alias("scope"), _named("c", nk).alias("target"), pick(_MODES, nk).alias("mode"), (60 + nk % 4 * 10).alias("priority"), nk.cast("long").alias("pos"))
@@ -363,5 +364,5 @@ def topic_decisions(spark, sf_dir):
     rules = topics.filter("pos % 2 = 0").select("topic_id", none.alias("entity"), F.lit("signing").alias("event_type"), F.lit("feed").alias("decision"))
     rules = rules.union(topics.select("topic_id", none, F.lit("match_result"), F.when(F.col("pos") % 3 == 0, "hidden").otherwise("low_feed"))).union(sup.select(_named("r", "r"), _named("t", sk), F.lit("injury"), F.when(sk % 2 == 0, DECISIONS[3]).otherwise(DECISIONS[1])))
     rules = rules.union(topics.filter("pos % 5 = 1").select("topic_id", none, F.lit(T.CATCH_ALL), F.lit("high_feed")))
-    follows = topics.join(sup.filter(sk % 3 > 0), F.col("user_id") == F.col("r")).select("topic_id", _named("t", sk).alias("entity"))
+    follows = sup.filter(sk % 3 > 0).select(F.col("r").alias("user_id"), _named("t", sk).alias("entity"))
     return T.topic_decisions(arts, topics, comps, rules, follows, {"match_summary": ("match_recap", "match_result")})
